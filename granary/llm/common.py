@@ -34,19 +34,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Like checkpointed, as a Parquet table: for wide rows of which readers want some columns."""
-    spark = df.sparkSession
+def shared_table(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed when the application ends in good order."""
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     if not _scratch:
         atexit.register(_clean)
     _scratch.append((spark, path))
+    return path
+
+
+def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
+    """Like checkpointed, as a Parquet table: for wide rows of which readers want some columns."""
+    spark, path = df.sparkSession, shared_table(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def _clean() -> None:
-    """Removes the tables of stored() when the application ends in good order."""
     for spark, path in _scratch:
         try:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import chat, exact_dedup, line_dedup, mixing, packing, quality_rules, simhash
+from granary.llm import byte_cnn, chat, exact_dedup, line_dedup, mixing, packing, quality_rules, simhash, token_output, toxicity
+from granary.llm.common import shared_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +22,23 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.grade(docs, model, F.col("doc_id"))
+    return out.select(F.col("row").alias("doc_id"), "severity", "grade", (F.col("grade") > 0).cast("int").alias("toxic"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matrix = token_output.token_matrix(table(spark, sf_dir, "documents"))
+    return token_output.segments(token_output.write_matrix(matrix, shared_table(spark)))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,6 +63,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), quality_rules.trusted_ids(table(spark, sf_dir, "labels")))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = byte_cnn.fit(docs, table(spark, sf_dir, "labels"))
+    out = byte_cnn.score(docs, net, F.col("doc_id").alias("row"))
+    return out.select(F.col("row").alias("doc_id"), byte_cnn.held_out("row").alias("held_out"), "score", (F.col("score") >= byte_cnn.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -59,7 +79,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op4_line_dedup, op6_exact_dedup, op7_mixing, op8_quality_rules, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_toxicity, op4_line_dedup, op5_token_output, op6_exact_dedup, op7_mixing, op8_quality_rules, op9_quality_classifier, op10_chat)}
 
 
 def _mixing_sql() -> str:
