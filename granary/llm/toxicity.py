@@ -2,8 +2,8 @@
 
 A document's words (runs of letters and digits, lower case) are hashed into DIMS features of log(1 + count). One
 weight vector w serves all grades: P(grade > k) = sigmoid(w x - theta_k) for ordered thresholds theta_0 < theta_1 < ...,
-and the expected severity is the sum of these probabilities. The weights are kept sparse by a soft threshold, so
-long documents don't gather noise.
+and the expected severity is the sum of these probabilities. The weights are at least zero (a word is
+evidence of toxicity or of nothing) and kept sparse by a soft threshold, so long documents don't gather noise.
 
 The labels say toxic or not; grades 1 to GRADES for training are the thirds of the toxic documents by how many of
 their words are marked, that is far commoner (by document frequency, smoothed) in toxic than in other documents.
@@ -32,9 +32,9 @@ from pyspark.sql import types as T
 from granary.llm.byte_cnn import labelled_sample
 
 DIMS, GRADES = 1 << 18, 3
-PER_CLASS, STEPS, RATE, SPARSE = 3000, 300, 0.3, 2e-4
-#: A word is marked if its smoothed document frequency in toxic documents is so many times that in others.
-MARKED = 8.0
+PER_CLASS, STEPS, RATE, SPARSE = 3000, 300, 0.3, 2e-3
+#: A feature is used, and a word marked, if at least LEAST toxic documents have it and its smoothed document frequency in them is so many times that in others.
+USED, MARKED, LEAST = 2.5, 8.0, 3
 _WORD = re.compile(r"\w+")
 
 
@@ -64,14 +64,18 @@ class Severity:
         return sum(passed), sum(p >= 0.5 for p in passed)
 
 
-def grades(rows: list[Counter[int]], toxic: np.ndarray) -> np.ndarray:
-    """0 for others; toxic documents by thirds of their marked words."""
+def contrast(rows: list[Counter[int]], toxic: np.ndarray) -> dict[int, float]:
+    """Of each feature in LEAST toxic documents or more, how much commoner it is in toxic documents than in others."""
     seen = [Counter(), Counter()]
     for row, y in zip(rows, toxic.tolist(), strict=True):
         seen[y].update(row.keys())
     n = np.bincount(toxic, minlength=2)
-    marked = {i for i, c in seen[1].items() if c >= 3 and (c + 0.5) / (n[1] + 1) > MARKED * (seen[0][i] + 0.5) / (n[0] + 1)}
-    hits = np.array([sum(v for i, v in row.items() if i in marked) for row in rows])
+    return {i: (c + 0.5) / (n[1] + 1) / ((seen[0][i] + 0.5) / (n[0] + 1)) for i, c in seen[1].items() if c >= LEAST}
+
+
+def grades(rows: list[Counter[int]], toxic: np.ndarray, ratio: dict[int, float]) -> np.ndarray:
+    """0 for others; toxic documents by thirds of their marked words."""
+    hits = np.array([sum(v for i, v in row.items() if ratio.get(i, 0) > MARKED) for row in rows])
     cuts = np.quantile(hits[toxic == 1], [k / GRADES for k in range(1, GRADES)])
     return np.where(toxic == 1, 1 + (hits[:, None] > cuts[None]).sum(axis=1), 0)
 
@@ -83,7 +87,9 @@ def train(texts: list[str | None], toxic: list[int]) -> Severity:
     if len(set(toxic)) < 2:
         return none
     rows = [features(t) for t in texts]
-    over = grades(rows, y)[:, None] > np.arange(GRADES)[None]  # documents x thresholds
+    ratio = contrast(rows, y)
+    over = grades(rows, y, ratio)[:, None] > np.arange(GRADES)[None]  # documents x thresholds
+    rows = [Counter({i: v for i, v in r.items() if ratio.get(i, 0) > USED}) for r in rows]
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     which, at = np.unique(np.array([i for r in rows for i in r], np.int64), return_inverse=True)
     value = np.log1p(np.array([n for r in rows for n in r.values()], np.float64))
@@ -98,7 +104,7 @@ def train(texts: list[str | None], toxic: list[int]) -> Severity:
         scale += g * g
         rate = RATE / np.sqrt(scale)
         w -= rate * g
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * SPARSE, 0)
+        w = np.maximum(w - rate * SPARSE, 0)
         g = -error.sum(axis=0)
         scale_t += g * g
         theta = np.maximum.accumulate(theta - RATE * g / np.sqrt(scale_t))
