@@ -95,5 +95,5 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of docs: doc_id, keep_id (largest doc_id of its group), group_size, kept, text_sha256."""
     named = checkpointed(identities(docs, id_col, text_col, block_bytes))
-    groups = named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "uid")).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    groups = checkpointed(named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "uid")).alias("best"), F.count(F.lit(1)).alias("group_size")))
     return named.join(groups, ["level", "name"]).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), F.col("sha").alias("text_sha256"))
