@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import SPACE, as_row, stored, task_id_base
+from granary.llm.common import SPACE, as_row, checkpointed, stored, task_id_base
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BITS_PER_LINE, PROBES = 12, 4
@@ -186,5 +186,5 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held = stored(source.mapInArrow(_splitter(shared, min_chars, True), suspects))
     lines = held.select("uid", F.coalesce(F.col(f"row.`{id_col}`").cast("long"), F.lit(-(2**63))).alias("doc"), F.explode("keys").alias("key"))
     often = lines.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("stays")).where(F.col("docs") >= min_docs)
-    drops = lines.join(often.select("key", "stays"), "key").where("doc <> stays").groupBy("uid").agg(F.collect_list("key").alias("drop"))
+    drops = lines.join(checkpointed(often.select("key", "stays")), "key").where("doc <> stays").groupBy("uid").agg(F.collect_list("key").alias("drop"))
     return clean.unionByName(held.join(drops, "uid", "left").select("row", "text", "drop").mapInArrow(_finish, results))
