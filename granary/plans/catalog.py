@@ -1,6 +1,6 @@
 """Every query of the library by name, with the SQL that must give the same rows."""
 
-from __future__ import annotations
+from granary.plans import analysis, buckets, documents, filters, linking, ranking, search, text  # noqa: F401  they register their queries
+from granary.plans.registry import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
