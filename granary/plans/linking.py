@@ -43,7 +43,7 @@ def reference_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("o_orderkey"), "total", "hits", F.round("ratio", 6).alias("ratio"))
 
 
-@query("""SELECT l_orderkey, list({'id': l_partkey, 'p_brand': p_brand} ORDER BY l_linenumber) AS refs FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size < 30) ON p_partkey = l_partkey WHERE l_orderkey < 400 GROUP BY 1""".replace("list({'id': l_partkey, 'p_brand': p_brand} ORDER BY l_linenumber) AS refs", "string_agg(l_partkey || ':' || coalesce(p_brand, '-'), ',' ORDER BY l_linenumber) AS refs").replace(" WHERE l_orderkey < 400", ""))
+@query("""SELECT l_orderkey, list({'id': l_partkey, 'p_brand': p_brand} ORDER BY l_linenumber) AS refs FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size < 30) ON p_partkey = l_partkey WHERE l_orderkey < 400 GROUP BY 1""".replace("list({'id': l_partkey, 'p_brand': p_brand} ORDER BY l_linenumber) AS refs", "string_agg(l_partkey || ':' || coalesce(p_brand, '-'), ',' ORDER BY l_linenumber, l_partkey) AS refs").replace(" WHERE l_orderkey < 400", ""))
 def expanded_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of ids with the metadata of those known, in order (J2, SC11, SC12)."""
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("l"))

@@ -71,9 +71,9 @@ def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "tier", S.priority(level, F.col("v")).cast("int").alias("priority"), S.article_priority(F.col("v")).cast("int").alias("article_priority"))
 
 
-@query("""WITH s AS (SELECT event_id, value / 100.0 AS raw, (value / 100.0) * 0.9 AS model, (user_id % 10) / 10.0 AS other FROM events),
-b AS (SELECT event_id, CASE WHEN raw > 0.98 OR raw < 0.02 THEN 0.7 WHEN raw > 0.8 OR raw < 0.2 THEN 0.65 ELSE 0.6 END AS w, model, other FROM s)
-SELECT event_id, round(model * w + other * (1 - w), 6) AS blended, round((model * w + other * (1 - w)) * 0.65 + other * 0.35, 6) AS final FROM b""")
+@query("""WITH s AS (SELECT event_id, value / 100.0 AS raw, (value / 100.0::DOUBLE) * 0.9::DOUBLE AS model, (user_id % 10) / 10.0::DOUBLE AS other FROM events),
+b AS (SELECT event_id, CASE WHEN raw > 0.98 OR raw < 0.02 THEN 0.7 WHEN raw > 0.8 OR raw < 0.2 THEN 0.65 ELSE 0.6 END::DOUBLE AS w, model, other FROM s)
+SELECT event_id, round(model * w + other * (1 - w), 6) AS blended, round((model * w + other * (1 - w)) * 0.65::DOUBLE + other * 0.35::DOUBLE, 6) AS final FROM b""")
 def blended_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two scores blended by confidence, then with quality by type (M-7, M-8)."""
     e = table(spark, sf_dir, "events").select("event_id", (F.col("value") / 100.0).alias("raw"), ((F.col("value") / 100.0) * 0.9).alias("model"), ((F.col("user_id") % 10) / 10.0).alias("other"))
