@@ -7,13 +7,17 @@ k1 = 1.2 and b = 0.75. Every ranking ends with the id, so pages are stable.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+import re
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.text import tokens
+from granary.functions.text import TOKEN, tokens
 
 K1, B = 1.2, 0.75
 #: Fixed values of the recency boost: its share, and the age in milliseconds at which it ends.
@@ -26,25 +30,32 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _counted(text: Column, term: str) -> Column:
+    """How often the term is a token of the lower-case text; texts without the substring aren't scanned."""
+    return F.when(text.contains(term), F.regexp_count(text, F.lit(rf"(?<![\p{{L}}\p{{N}}_]){re.escape(term)}(?![\p{{L}}\p{{N}}_])"))).otherwise(F.lit(0))
+
+
 def bm25(docs: DataFrame, id_col: str, text_col: str, terms: Sequence[str], boost: float = 1.0) -> DataFrame:
-    """id, score of the documents with one of the terms."""
+    """id, score of the documents with one of the terms.
+
+    One pass gives the corpus numbers (a row), a second one scores; a document's counts of the few terms are columns,
+    so nothing is exploded or shuffled.
+    """
     wanted = sorted({t.lower() for t in terms})
-    rows = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean"))
-    # a document's counts of the few terms are columns, so nothing is exploded
-    rows = rows.select("id", F.size("t").alias("len"), *((F.size("t") - F.size(F.array_remove("t", w))).alias(f"tf{i}") for i, w in enumerate(wanted)))
-    hits = rows.where(reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(wanted))], F.lit(False)))
-    found = hits.agg(*(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted)))) if wanted else None
-    n, mean = sizes.first()
-    df = found.first() if found is not None else ()
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    size = F.regexp_count(low, F.lit(TOKEN))
+    if not wanted:
+        return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).where(F.lit(False))
+    n, mean, *df = docs.select(size.alias("len"), *(_counted(low, w).alias(f"tf{i}") for i, w in enumerate(wanted))).agg(F.count(F.lit(1)), F.avg("len"), *(F.count_if(F.col(f"tf{i}") > 0) for i in range(len(wanted)))).first()
+    hits = docs.where(reduce(lambda a, b: a | b, [low.contains(w) for w in wanted])).select(F.col(id_col).alias("id"), size.alias("len"), *(_counted(low, w).cast("double").alias(f"tf{i}") for i, w in enumerate(wanted)))
 
     def part(i: int) -> Column:
-        tf = F.col(f"tf{i}").cast("double")
+        tf = F.col(f"tf{i}")
         idf = F.log(F.lit(1.0) + (F.lit(float(n)) - df[i] + 0.5) / (F.lit(float(df[i])) + 0.5))
         return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(float(mean or 1.0))))
 
     score = reduce(lambda a, b: a + b, [part(i) for i in range(len(wanted))], F.lit(0.0))
-    return hits.select("id", (score * boost).alias("score"))
+    return hits.select("id", (score * boost).alias("score")).where(F.col("score") > 0)
 
 
 def best_fields(docs: DataFrame, id_col: str, fields: dict[str, float], terms: Sequence[str]) -> DataFrame:
@@ -107,23 +118,67 @@ def suggest(titles: DataFrame, title_col: str, prefix: str, size: int = 5) -> Da
 
 
 def more_like(docs: DataFrame, id_col: str, text_col: str, doc_id: object, size: int = 5, most_terms: int = 12) -> DataFrame:
-    """id, score: the documents that share most of this one's weightiest terms."""
-    post = postings(docs, id_col, text_col)
-    n = docs.count()
-    terms = post.where(F.col("id") == doc_id).select("term", F.col("tf").alias("own")).join(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
-    weight = F.col("own") * F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    top = terms.select("term", weight.alias("w")).orderBy(F.desc("w"), "term").limit(most_terms)
-    return post.where(F.col("id") != doc_id).join(F.broadcast(top), "term").groupBy("id").agg(F.sum("w").alias("score")).orderBy(F.desc("score"), "id").limit(size)
+    """id, score: the documents that share most of this one's weightiest terms.
+
+    The terms of one document are a short list; their document frequencies come from one pass, the scores from another.
+    """
+    own = docs.where(F.col(id_col) == doc_id).select(F.explode(tokens(F.col(text_col))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf")).collect()
+    if not own:
+        return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).where(F.lit(False))
+    listed = F.array(*(F.lit(r.term) for r in own))
+    seen = docs.select(F.explode(F.array_intersect(tokens(F.col(text_col)), listed)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n, df = docs.count(), {r.term: r.df for r in seen.collect()}
+    weights = {r.term: r.tf * math.log(1 + (n - df[r.term] + 0.5) / (df[r.term] + 0.5)) for r in own}
+    top = sorted(weights.items(), key=lambda t: (-t[1], t[0]))[:most_terms]
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    score = reduce(lambda a, b: a + b, [F.when(_counted(low, t) > 0, F.lit(w)).otherwise(F.lit(0.0)) for t, w in top])
+    rows = docs.where(F.col(id_col) != doc_id).select(F.col(id_col).alias("id"), score.alias("score"))
+    return rows.where(F.col("score") > 0).orderBy(F.desc("score"), "id").limit(size)
+
+
+#: Queries that are compared at a time.
+QUERY_BLOCK = 4096
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, least: float = 0.7, size: int = 10) -> DataFrame:
     """query, id, similarity, rank: of a stated set of query rows, each one's nearest rows but itself.
 
-    The query set is compared with all rows block by block: partial top lists of each partition of `vectors`, then one
-    merge per query. `queries` should be a stated, limited set; its size is what is sent to every task.
+    The queries go to the tasks in blocks of QUERY_BLOCK, each compared with all rows as one matrix product; a task
+    keeps its best `size` of each query, and one merge per query ranks them. The most that is sent is one block.
     """
-    q = queries.select(F.col(id_col).alias("query"), F.col(vector_col).alias("_q"))
-    pairs = q.join(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("_v")), F.col("query") != F.col("id"))
-    pairs = pairs.select("query", "id", cosine(F.col("_q"), F.col("_v")).alias("similarity")).where(F.col("similarity") > least)
-    order = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
+    asked = queries.select(F.col(id_col).cast("long").alias("query"), F.col(vector_col).cast("array<double>").alias("v"))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    schema, found = "query long, id long, similarity double", []
+    for k in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k).orderBy("query").collect()
+        found.append(rows.mapInArrow(_nearest([r.query for r in block], [r.v for r in block], least, size), schema))
+    every = reduce(lambda a, b: a.unionByName(b), found)
+    order = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 9)), "id")
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
+
+
+def _nearest(names: list[int], listed: list, least: float, size: int):
+    """Of each batch of rows, the best of each query."""
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        length = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = unit(np.array(listed, np.float64).reshape(len(names), -1))
+        key = np.array(names, np.int64)
+        for batch in batches:
+            keep = [i for i, v in enumerate(batch.column(1).to_pylist()) if v is not None and len(v) == own.shape[1]]
+            if not keep or not len(key):
+                continue
+            ids = batch.column(0).to_numpy(zero_copy_only=False)[keep]
+            near = own @ unit(np.array(batch.column(1).take(pa.array(keep)).to_pylist(), np.float64)).T
+            near[key[:, None] == ids[None, :]] = -2
+            for i in range(len(key)):
+                good = np.flatnonzero(near[i] > least)
+                good = good[np.lexsort((ids[good], -np.round(near[i][good], 9)))][:size]
+                if len(good):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(good), key[i])), pa.array(ids[good]), pa.array(near[i][good])], ["query", "id", "similarity"])
+
+    return run

@@ -73,12 +73,12 @@ def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT event_id, value / 100.0 AS raw, (value / 100.0::DOUBLE) * 0.9::DOUBLE AS model, (user_id % 10) / 10.0::DOUBLE AS other FROM events),
 b AS (SELECT event_id, CASE WHEN raw > 0.98 OR raw < 0.02 THEN 0.7 WHEN raw > 0.8 OR raw < 0.2 THEN 0.65 ELSE 0.6 END::DOUBLE AS w, model, other FROM s)
-SELECT event_id, round(model * w + other * (1 - w), 6) AS blended, round((model * w + other * (1 - w)) * 0.65::DOUBLE + other * 0.35::DOUBLE, 6) AS final FROM b""")
+SELECT event_id, round(model * w + other * (1 - w), 9) AS blended, round((model * w + other * (1 - w)) * 0.65::DOUBLE + other * 0.35::DOUBLE, 9) AS final FROM b""")
 def blended_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two scores blended by confidence, then with quality by type (M-7, M-8)."""
     e = table(spark, sf_dir, "events").select("event_id", (F.col("value") / 100.0).alias("raw"), ((F.col("value") / 100.0) * 0.9).alias("model"), ((F.col("user_id") % 10) / 10.0).alias("other"))
     both = S.blend(F.col("raw"), F.col("model"), F.col("other"))
-    return e.select("event_id", F.round(both, 6).alias("blended"), F.round(S.final_score(both, F.col("other"), F.lit("repository")), 6).alias("final"))
+    return e.select("event_id", F.round(both, 9).alias("blended"), F.round(S.final_score(both, F.col("other"), F.lit("repository")), 9).alias("final"))
 
 
 @query("""WITH c AS (SELECT conv_id, count(*) AS replies, sum(length(text)) AS chars, count(DISTINCT role) AS roles FROM conversations GROUP BY 1)

@@ -78,11 +78,11 @@ def more_like_this(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS a FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query, vec_id AS id, list_cosine_similarity(a, CAST(embedding AS DOUBLE[])) AS c FROM q JOIN embeddings ON vec_id <> query),
-r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, id) AS rank FROM s WHERE c > 0.7) SELECT query, id, round(c, 6) AS similarity, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10""")
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, id) AS rank FROM s WHERE c > 0.2) SELECT query, id, round(c, 6) AS similarity, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10""")
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest rows of each query row, against all rows."""
     e = table(spark, sf_dir, "embeddings")
-    out = S.neighbours(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding")
+    out = S.neighbours(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", least=0.2)
     return out.select("query", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
