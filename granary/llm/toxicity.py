@@ -1,9 +1,9 @@
 """Toxicity severity by cumulative-link ordinal regression over sparse word features.
 
-A document's words (runs of letters and digits, lower case) are hashed into DIMS features of log(1 + count). One
+A document's words (runs of letters and digits, lower case) are hashed into DIMS features of 1 + log(count). One
 weight vector w serves all grades: P(grade > k) = sigmoid(w x - theta_k) for ordered thresholds theta_0 < theta_1 < ...,
 and the expected severity is the sum of these probabilities. The weights are at least zero (a word is
-evidence of toxicity or of nothing) and kept sparse by a soft threshold, so long documents don't gather noise.
+evidence of toxicity or of nothing) and kept sparse by a soft threshold, so long documents don't gather noise; those left are fitted again without it.
 
 The labels say toxic or not; grades 1 to GRADES for training are the thirds of the toxic documents by how many of
 their words are marked, that is far commoner (by document frequency, smoothed) in toxic than in other documents.
@@ -32,9 +32,11 @@ from pyspark.sql import types as T
 from granary.llm.byte_cnn import labelled_sample
 
 DIMS, GRADES = 1 << 18, 3
-PER_CLASS, STEPS, RATE, SPARSE = 3000, 300, 0.3, 2e-3
+PER_CLASS, STEPS, RATE, SPARSE = 3000, 300, 0.3, 1e-2
 #: A feature is used, and a word marked, if at least LEAST toxic documents have it and its smoothed document frequency in them is so many times that in others.
-USED, MARKED, LEAST = 2.5, 8.0, 3
+USED, MARKED, LEAST = 4.0, 8.0, 5
+#: How much the losses of the thresholds count: that between clean and toxic most.
+FIRST = np.array([8.0, 1.0, 1.0])
 _WORD = re.compile(r"\w+")
 
 
@@ -59,7 +61,7 @@ class Severity:
             i = zlib.crc32(word.encode()) % DIMS
             if i in known:
                 counts[i] = counts.get(i, 0) + n
-        at = sum(known[i] * float(np.log1p(counts[i])) for i in sorted(counts))
+        at = sum(known[i] * float(1 + np.log(counts[i])) for i in sorted(counts))
         passed = [1 / (1 + float(np.exp(min(50.0, max(-50.0, t - at))))) for t in self.thresholds]
         return sum(passed), sum(p >= 0.5 for p in passed)
 
@@ -92,19 +94,21 @@ def train(texts: list[str | None], toxic: list[int]) -> Severity:
     rows = [Counter({i: v for i, v in r.items() if ratio.get(i, 0) > USED}) for r in rows]
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     which, at = np.unique(np.array([i for r in rows for i in r], np.int64), return_inverse=True)
-    value = np.log1p(np.array([n for r in rows for n in r.values()], np.float64))
+    value = 1 + np.log(np.array([n for r in rows for n in r.values()], np.float64))
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))[:, None] / len(y)
     w, theta = np.zeros(len(which)), np.arange(GRADES) + 0.0
     scale, scale_t = np.full(len(which), 1e-8), np.full(GRADES, 1e-8)
-    for _ in range(STEPS):
+    for step in range(2 * STEPS):
+        if step == STEPS:  # the weights that are left are fitted again without the threshold's pull to zero
+            chosen = w > 0
         score = np.bincount(doc, value * w[at], minlength=len(rows))
         p = 1 / (1 + np.exp(-np.clip(score[:, None] - theta, -30, 30)))
-        error = (p - over) * weight
+        error = (p - over) * weight * FIRST
         g = np.bincount(at, value * error.sum(axis=1)[doc], minlength=len(which))
         scale += g * g
         rate = RATE / np.sqrt(scale)
         w -= rate * g
-        w = np.maximum(w - rate * SPARSE, 0)
+        w = np.maximum(w - rate * SPARSE, 0) if step < STEPS else np.maximum(w, 0) * chosen
         g = -error.sum(axis=0)
         scale_t += g * g
         theta = np.maximum.accumulate(theta - RATE * g / np.sqrt(scale_t))
