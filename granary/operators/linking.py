@@ -78,7 +78,11 @@ def similar_titles(left: DataFrame, right: DataFrame, id_col: str, title_col: st
 def shared_identifiers(df: DataFrame, id_col: str, identifiers: str) -> DataFrame:
     """left_id, right_id, kind: pairs that share a pmid, else a doi, else a url (J7, J8); identifiers is the struct of text.identifiers."""
     kinds = ("pmids", "dois", "urls")
-    each = F.concat(*(F.transform(F.col(f"{identifiers}.{k}"), lambda v, i=i: F.struct(F.lit(i).alias("rank"), v.alias("value"))) for i, k in enumerate(kinds)))
+
+    def ranked(i: int) -> Column:
+        return F.transform(F.col(f"{identifiers}.{kinds[i]}"), lambda v: F.struct(F.lit(i).alias("rank"), v.alias("value")))
+
+    each = F.concat(*map(ranked, range(len(kinds))))
     rows = df.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(each)).alias("e")).select("id", "e.rank", "e.value")
     pairs = rows.select(F.col("id").alias("left_id"), "rank", "value").join(rows.select(F.col("id").alias("right_id"), "rank", "value"), ["rank", "value"]).where("left_id <> right_id")
     names = F.array(*(F.lit(k[:-1]) for k in kinds))
