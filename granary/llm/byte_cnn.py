@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granary.llm.common import slices
+
 SYMBOLS, EMBED, WIDTH, FILTERS = 512, 8, 6, 16
 CHUNK, STRIDE = 512, 448
 LAGS = range(3, 25)
 #: Zero bytes between the texts of a slab: wider than the filters and the lags.
 GAP = 32
 #: Bytes that are scored at once.
-SLAB = 1 << 19
+SLAB = 1 << 18
 PER_CLASS, CHUNKS_EACH, EPOCHS, BATCH, RATE = 1200, 5, 14, 32, 0.01
 #: The score from which a document counts as good.
 THRESHOLD = 0.7
@@ -237,8 +239,7 @@ def _scorer(net: Network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch):
                 texts = [(t or "").encode() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_sigmoid(logits(net, texts, tables)), pa.float64())], ["row", "score"])
 

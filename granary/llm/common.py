@@ -64,6 +64,11 @@ def as_row(df: DataFrame, name: str = "row") -> F.Column:
     return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(name)
 
 
+def slices(batch, rows: int = 500):
+    """A record batch in parts of so many rows, so that only a part's texts are Python objects at a time."""
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 def task_id_base() -> int:
     """First id of the running task; ids of different tasks never meet."""
     from pyspark import TaskContext

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import SPACE, as_row, checkpointed, stored, task_id_base
+from granary.llm.common import SPACE, as_row, checkpointed, slices, stored, task_id_base
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BITS_PER_LINE, PROBES = 12, 4
@@ -70,9 +70,10 @@ def _builder(n_bits: int, min_chars: int):
         once, twice = np.zeros(n_bits // 8, np.uint8), np.zeros(n_bits // 8, np.uint8)
         for batch in batches:
             found: list[int] = []
-            for text in batch.column(0).to_pylist():
-                if text:
-                    found.extend(_keys(text, min_chars).values())
+            for part in slices(batch):
+                for text in part.column(0).to_pylist():
+                    if text:
+                        found.extend(_keys(text, min_chars).values())
             if found:
                 hashes, counts = np.unique(np.array(found, np.uint64), return_counts=True)
                 bits = _bits(hashes, n_bits)
@@ -141,7 +142,7 @@ def _splitter(shared, min_chars: int, suspected: bool):
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom, base, n = np.frombuffer(shared.value, np.uint8), task_id_base(), 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = batch.column(1).to_pylist()
             keys = _suspects(texts, bloom, min_chars)
             at = np.array([i for i, k in enumerate(keys) if bool(k) == suspected], np.int64)
@@ -159,7 +160,7 @@ def _splitter(shared, min_chars: int, suspected: bool):
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         kept, lines, dropped = [], [], []
         for text, drop in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             every = text.split("\n")

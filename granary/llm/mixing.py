@@ -73,7 +73,8 @@ def plan(rows: DataFrame, levels: list[str], weights: dict[str, dict[str, float]
     width = HASH_BITS - SLICE_BITS
     keyed = rows.join(leaves.select(*levels, "epochs", "part"), levels).withColumn("key", seeded(seed, F.col("epochs"), F.col("id")))
     keyed = keyed.withColumn("slice", F.shiftright("key", width))
-    slices = keyed.groupBy(*levels, "slice").agg(F.sum("tokens").alias("in_slice"), F.first("part").alias("part"))
+    # materialised, so that it is dealt by leaf and slice, and a leaf's window gets one row a slice
+    slices = checkpointed(keyed.groupBy(*levels, "slice").agg(F.sum("tokens").alias("in_slice"), F.first("part").alias("part")))
     order = Window.partitionBy(*levels).orderBy("slice")
     slices = slices.withColumn("until", F.sum("in_slice").over(order))
     ends = slices.where("until > part").groupBy(*levels).agg(F.min(F.struct("slice", (F.col("until") - F.col("in_slice")).alias("before"))).alias("e"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import as_row, checkpointed
+from granary.llm.common import as_row, checkpointed, slices
 from granary.llm.components import components, spanning_forest
 
 SEED = 42
@@ -41,6 +41,10 @@ SEED = 42
 SLAB = 1 << 14
 #: Rows of an anchor above which it is dealt out in blocks.
 CROWD = 4096
+#: A crowded anchor has at most so many blocks (larger ones, if it has very many rows); the pairs' numbers start at this bit.
+MOST_BLOCKS, DEAL_BIT = 512, 45
+#: The list of crowded anchors is broadcast up to so many rows of 12 bytes.
+BROADCAST_ROWS = 500_000
 #: An odd constant near 2**64 divided by the golden ratio, as usual in integer mixing.
 GOLDEN = 0x9E3779B97F4A7C15
 
@@ -100,7 +104,7 @@ def fingerprint(text: str | None, width: int, words: int = 1) -> list[int]:
 
 def _fingerprinter(width: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             prints = np.array([fingerprint(t, width, words) for t in batch.column(1).to_pylist()], np.int64).reshape(-1, words)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(prints[:, k]) for k in range(words))], ["id", *(f"f{k}" for k in range(words))])
 
@@ -165,7 +169,7 @@ def _replicator(code: Covering):
 
 
 def _linker(code: Covering):
-    """Rows sorted by (anchor, block pair): a spanning forest of the links that each group has."""
+    """Rows sorted by anchor (and block pair): a spanning forest of the links that each group has."""
 
     def linked(own: np.ndarray, prints: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
         out = []
@@ -186,8 +190,8 @@ def _linker(code: Covering):
 
         def groups(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal rest
-            key, deal, node, *prints = rest
-            new = np.flatnonzero((key[1:] >> 1 != key[:-1] >> 1) | (deal[1:] != deal[:-1])) + 1
+            key, node, *prints = rest
+            new = np.flatnonzero(key[1:] >> 1 != key[:-1] >> 1) + 1
             starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(key)]])
             table, home = np.stack(prints, axis=1).view(np.uint64), (key & 1).astype(bool)
             pairs: list[tuple[int, int]] = []
@@ -217,15 +221,15 @@ def links(prints: DataFrame, code: Covering = TIGHT, crowd: int = CROWD) -> Data
     rows = prints.select("node", *code.columns).mapInArrow(_replicator(code), schema)
     spot = F.shiftright("anchor", 1)
     busy = rows.groupBy(spot.alias("spot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
-    busy = checkpointed(busy.select("spot", F.ceil(F.col("n") / crowd).cast("int").alias("blocks")))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = rows.join(busy, spot == F.col("spot")).select("anchor", block.alias("own"), other.alias("other"), "blocks", "node", *code.columns)
-    dealt = dealt.select("anchor", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).cast("long").alias("deal"), "node", *code.columns)
-    calm = rows.join(busy, spot == F.col("spot"), "left_anti").select("anchor", F.lit(0).cast("long").alias("deal"), "node", *code.columns)
-    every = calm.unionByName(dealt).withColumn("spot", spot)
-    sorted_rows = every.repartition("spot", "deal").sortWithinPartitions("spot", "deal").drop("spot")
-    return sorted_rows.mapInArrow(_linker(code), "a long, b long").mapInArrow(spanning_forest, "a long, b long")
+    busy = checkpointed(busy.select("spot", F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("n") / crowd)).cast("int").alias("blocks")))
+    crowds = busy.count()
+    if crowds:  # the rows of a crowded anchor go to all pairs of blocks that theirs is in; the pair's number goes above the anchor
+        known = F.broadcast(busy) if crowds <= BROADCAST_ROWS else busy
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o))
+        dealt = rows.join(known, spot == F.col("spot"), "left").withColumn("deal", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pairs)))
+        rows = dealt.select(F.col("anchor").bitwiseOR(F.shiftleft(F.col("deal").cast("long"), DEAL_BIT)).alias("anchor"), "node", *code.columns)
+    return rows.repartition(spot).sortWithinPartitions("anchor").mapInArrow(_linker(code), "a long, b long").mapInArrow(spanning_forest, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, code: Covering = WIDE, crowd: int = CROWD) -> DataFrame:

@@ -13,7 +13,7 @@ from functools import cache
 import numpy as np
 
 #: Words that a worker keeps, and words met later that it keeps until there are so many.
-WORDS, LATER = 300_000, 100_000
+WORDS, LATER = 500_000, 100_000
 #: Marks that may be split off at a word's end.
 MARKS = b".,;:!?|#$%&*"
 
@@ -43,7 +43,7 @@ class WordTokens:
             self.closing[number] = token.endswith("</w>")
 
     def encode(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u2")
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
 
     def learn(self, words: list[bytes]) -> None:
         known, split, letters, others = self.known, [], {}, []
@@ -79,16 +79,21 @@ class WordTokens:
         """The ids of each text, as bytes; a null text has none."""
         out, known = [], self.known
         for at in range(0, len(texts), 64):
-            part = [t.encode().lower().split() if t else [] for t in texts[at : at + 64]]
-            new = set().union(*part).difference(known)
+            split = [t.encode().lower().split() if t else [] for t in texts[at : at + 64]]
+            found = [list(map(known.get, words)) for words in split]
+            new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
             if new:
                 if len(self.later) > LATER:
                     for word in self.later:
                         known.pop(word, None)
                     self.later = []
-                    new = set().union(*part).difference(known)
                 self.learn(list(new))
-            out += [b"".join(map(known.__getitem__, words)) for words in part]
+                for words, ids in zip(split, found, strict=True):
+                    if None in ids:
+                        for i, x in enumerate(ids):
+                            if x is None:
+                                ids[i] = known[words[i]]
+            out += map(b"".join, found)
         return out
 
 

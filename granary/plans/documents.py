@@ -37,20 +37,20 @@ def view_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.add_counts(c, e, "view_count")
 
 
-@query("""SELECT doc_id AS id, CASE WHEN doc_id % 10 = 0 THEN 'new' ELSE source END AS source FROM documents UNION ALL SELECT -doc_id, 'new' FROM documents WHERE doc_id % 10 = 0 AND doc_id > 0""")
+@query("""SELECT doc_id AS id, CASE WHEN lang = 'de' THEN 'new' ELSE source END AS source FROM documents UNION ALL SELECT -doc_id, 'new' FROM documents WHERE lang = 'de' AND doc_id > 0""")
 def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table after an upsert by key (SK1-SK3)."""
-    old = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
-    ten = old.where("id % 10 = 0").withColumn("source", F.lit("new"))
-    return V.upsert(old, ten.unionByName(ten.where("id > 0").withColumn("id", -F.col("id"))))
+    d = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
+    new = d.where("lang = 'de'").select("id", F.lit("new").alias("source"))
+    return V.upsert(d.select("id", "source"), new.unionByName(new.where("id > 0").withColumn("id", -F.col("id"))))
 
 
-@query("""SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'approved' WHEN doc_id % 4 = 1 THEN 'rejected' ELSE 'pending' END AS status, CASE WHEN doc_id % 4 <= 1 THEN 'r1' END AS reviewer_id FROM documents""")
+@query("""SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'approved' WHEN quality = 0 THEN 'rejected' ELSE 'pending' END AS status, CASE WHEN quality IS NOT NULL THEN 'r1' END AS reviewer_id FROM documents LEFT JOIN labels USING (doc_id)""")
 def reviewed_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A queue after actions (SK8-SK11)."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
     queue = d.select("id", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("reviewer_id"), F.lit(None).cast("timestamp_ntz").alias("reviewed_date"))
-    actions = d.where("id % 4 <= 1").select("id", F.when(F.col("id") % 4 == 0, "approve").otherwise("reject").alias("action"), F.lit("r1").alias("reviewer"))
+    actions = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "approve").otherwise("reject").alias("action"), F.lit("r1").alias("reviewer"))
     return V.review(queue, actions, F.lit("2024-01-01").cast("timestamp_ntz")).select("id", "status", "reviewer_id")
 
 

@@ -17,12 +17,13 @@ def first_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.first_seen(d, ["h"], ["doc_id"]).select("doc_id", "source")
 
 
-@query("""WITH new AS (SELECT doc_id AS id, regexp_extract(text, '^([^.\\n]*)', 1) AS title, md5(text) AS h FROM documents WHERE doc_id % 2 = 1), old AS (SELECT doc_id AS id, regexp_extract(text, '^([^.\\n]*)', 1) AS title, md5(text) AS h FROM documents WHERE doc_id % 2 = 0)
+@query("""WITH new AS (SELECT doc_id AS id, regexp_extract(text, '^([^.\\n]*)', 1) AS title, md5(text) AS h FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)), old AS (SELECT doc_id AS id, regexp_extract(text, '^([^.\\n]*)', 1) AS title, md5(text) AS h FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
 SELECT n.id, coalesce((SELECT min(id) FROM old o WHERE o.h = n.h), (SELECT min(id) FROM old o WHERE trim(o.title) = trim(n.title))) AS duplicate_of FROM new n""")
 def duplicate_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Odd ids probed against even ids, by contents and then by title."""
+    """Unlabelled documents probed against labelled ones, by contents and then by title."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("h"), T.title_of(F.col("text")).alias("title"))
-    found = K.duplicate_cascade(d.where("id % 2 = 1"), d.where("id % 2 = 0"), [["h"], ["title"]])
+    known = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    found = K.duplicate_cascade(d.join(known, "id", "left_anti"), d.join(known, "id", "left_semi"), [["h"], ["title"]])
     return found.select("id", "duplicate_of")
 
 
@@ -34,11 +35,11 @@ def similar_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.similar_titles(d, d, "doc_id", "title").select("left_id", "right_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("""SELECT o_orderkey, count(l_partkey) AS total, count(*) FILTER (l_partkey % 3 = 0) AS hits, round(count(*) FILTER (l_partkey % 3 = 0) / count(l_partkey), 6) AS ratio FROM (SELECT DISTINCT l_orderkey AS o_orderkey, l_partkey FROM lineitem) GROUP BY 1""")
+@query("""SELECT o_orderkey, count(l_partkey) AS total, count(*) FILTER (p_size < 20) AS hits, round(count(*) FILTER (p_size < 20) / count(l_partkey), 6) AS ratio FROM (SELECT DISTINCT l_orderkey AS o_orderkey, l_partkey, p_size FROM lineitem LEFT JOIN part ON p_partkey = l_partkey) GROUP BY 1""")
 def reference_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many references are in a known set."""
     refs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list("l_partkey").alias("refs"))
-    known = table(spark, sf_dir, "part").where("p_partkey % 3 = 0")
+    known = table(spark, sf_dir, "part").where("p_size < 20")
     out = K.overlap(refs, "o_orderkey", "refs", known, "p_partkey")
     return out.select(F.col("id").alias("o_orderkey"), "total", "hits", F.round("ratio", 6).alias("ratio"))
 
