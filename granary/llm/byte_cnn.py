@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import slices
+from granary.llm.common import slices, small_batches
 
 SYMBOLS, EMBED, WIDTH, FILTERS = 512, 8, 6, 16
 CHUNK, STRIDE = 512, 448
@@ -249,4 +249,4 @@ def _scorer(net: Network):
 def score(docs: DataFrame, net: Network, carried: F.Column, text_col: str = "text") -> DataFrame:
     """(row, score): `carried`, a column of docs, beside the probability that the document is good."""
     source = docs.select(carried.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return source.mapInArrow(_scorer(net), T.StructType([source.schema["row"]]).add("score", "double"))
+    return small_batches(source).mapInArrow(_scorer(net), T.StructType([source.schema["row"]]).add("score", "double"))

@@ -17,6 +17,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Ids made inside a task: the partition's number above, a counter below.
 ID_BITS = 40
 
+#: Bytes of an Arrow batch on its way to or from Python.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -64,6 +68,14 @@ def as_row(df: DataFrame, name: str = "row") -> F.Column:
     return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(name)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session's Arrow batches are held to BATCH_BYTES, unless the session names a bound itself: long texts make wide rows."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, "1").rstrip("b") == "1":  # the default given here, so it isn't set
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def slices(batch, rows: int = 500):
     """A record batch in parts of so many rows, so that only a part's texts are Python objects at a time."""
     return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))

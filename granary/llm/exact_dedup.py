@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import checkpointed, stored, task_id_base
+from granary.llm.common import checkpointed, small_batches, stored, task_id_base
 
 BLOCK_BYTES = 4096
 #: Bytes of blocks that a task remembers to leave out repeats before the shuffle.
@@ -75,7 +75,7 @@ def _name_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, seen_bytes: int = SEEN_BYTES) -> DataFrame:
     """One row per row of docs: uid, doc_id, sha, and its identity (level, name); equal identity, equal text."""
-    cut = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_cutter(block_bytes, seen_bytes), _CUT))
+    cut = stored(small_batches(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))).mapInArrow(_cutter(block_bytes, seen_bytes), _CUT))
     blocks = cut.where("block is not null").select("gid", "block")
     names = checkpointed(blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_name_runs, _NAMED))
     rows = cut.where("uid is not null").select("uid", "gids")

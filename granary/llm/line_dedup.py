@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import SPACE, as_row, checkpointed, slices, stored, task_id_base
+from granary.llm.common import SPACE, as_row, checkpointed, slices, small_batches, stored, task_id_base
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BITS_PER_LINE, PROBES = 12, 4
@@ -111,7 +111,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def twice_seen(docs: DataFrame, text_col: str, min_chars: int = MIN_CHARS, max_filter_bytes: int = MAX_FILTER_BYTES) -> np.ndarray:
     """Filter that holds every key found in two documents or more; its size follows the number of lines up to the bound."""
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
     lines = texts.agg(F.sum(F.size(F.split("text", "\n", -1)))).first()[0] or 0
     n_bits = 8 * BLOCK
     while n_bits < BITS_PER_LINE * lines and n_bits < 8 * max_filter_bytes:
@@ -179,7 +179,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     bloom = twice_seen(docs, text_col, min_chars, max_filter_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(bloom.tobytes())
-    source = docs.select(as_row(docs), F.col(f"`{text_col}`").cast("string").alias("text"))
+    source = small_batches(docs.select(as_row(docs), F.col(f"`{text_col}`").cast("string").alias("text")))
     row = T.StructType([source.schema["row"]])
     results = T.StructType([*row]).add("kept_text", "string").add("n_lines", "long").add("n_dropped", "long")
     suspects = T.StructType([*row]).add("uid", "long").add("text", "string").add("keys", T.ArrayType(T.StringType()))

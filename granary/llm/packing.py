@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import task_id_base
+from granary.llm.common import small_batches, task_id_base
 from granary.llm.tokens import default_tokenizer, word_tokens
 
 WINDOW, END_ID = 4096, 2
@@ -158,4 +158,4 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
     if with_ids:
         schema = schema.add("ids", "binary")
-    return rows.mapInArrow(_packer(tokenizer or default_tokenizer(), window, end_id, chunk, schema.names, with_ids), schema)
+    return small_batches(rows).mapInArrow(_packer(tokenizer or default_tokenizer(), window, end_id, chunk, schema.names, with_ids), schema)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import as_row, checkpointed, slices
+from granary.llm.common import as_row, checkpointed, slices, small_batches
 from granary.llm.components import components, spanning_forest
 
 SEED = 42
@@ -117,7 +117,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = T.StructType([rows.schema["id"]])
     for k in range(words):
         schema = schema.add(f"f{k}", "long")
-    return rows.mapInArrow(_fingerprinter(width, words), schema)
+    return small_batches(rows).mapInArrow(_fingerprinter(width, words), schema)
 
 
 def _flips(code: Covering) -> np.ndarray:
@@ -169,20 +169,20 @@ def _replicator(code: Covering):
 
 
 def _linker(code: Covering):
-    """Rows sorted by anchor (and block pair): a spanning forest of the links that each group has."""
+    """Rows sorted by anchor (and block pair): a spanning forest of the links that a task's groups have."""
 
     def linked(own: np.ndarray, prints: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
         out = []
         label = np.arange(len(own))
         for i in np.flatnonzero(home):
-            apart = np.bitwise_count(prints ^ prints[i]).sum(axis=1, dtype=np.int64)
-            near = np.flatnonzero(apart <= code.distance)
-            if len(near) > 1:
-                others, first = np.unique(label[near], return_index=True)
-                for other, j in zip(others.tolist(), near[first].tolist(), strict=True):
-                    if other != label[i]:
-                        out.append((int(own[i]), int(own[j])))
-                        label[label == other] = label[i]
+            other = np.flatnonzero(label != label[i])  # what is joined already needs no comparison, so a group of near copies costs little more than its size
+            if not len(other):
+                break
+            near = other[np.bitwise_count(prints[other] ^ prints[i]).sum(axis=1, dtype=np.int64) <= code.distance]
+            if len(near):
+                joined, first = np.unique(label[near], return_index=True)
+                out += [(int(own[i]), int(own[j])) for j in near[first]]
+                label[np.isin(label, joined)] = label[i]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +212,7 @@ def _linker(code: Covering):
         if rest is not None and len(rest[0]):
             yield from groups(True)
 
-    return run
+    return lambda batches: spanning_forest(run(batches))
 
 
 def links(prints: DataFrame, code: Covering = TIGHT, crowd: int = CROWD) -> DataFrame:
@@ -229,7 +229,7 @@ def links(prints: DataFrame, code: Covering = TIGHT, crowd: int = CROWD) -> Data
         pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o))
         dealt = rows.join(known, spot == F.col("spot"), "left").withColumn("deal", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pairs)))
         rows = dealt.select(F.col("anchor").bitwiseOR(F.shiftleft(F.col("deal").cast("long"), DEAL_BIT)).alias("anchor"), "node", *code.columns)
-    return rows.repartition(spot).sortWithinPartitions("anchor").mapInArrow(_linker(code), "a long, b long").mapInArrow(spanning_forest, "a long, b long")
+    return rows.repartition(spot).sortWithinPartitions("anchor").mapInArrow(_linker(code), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, code: Covering = WIDE, crowd: int = CROWD) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import task_id_base
+from granary.llm.common import small_batches, task_id_base
 from granary.llm.tokens import default_tokenizer, word_tokens
 
 LENGTH, END_ID, PAD_ID = 4096, 2, 0
@@ -138,7 +138,7 @@ def token_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     input_ids and position_ids are `length` unsigned 32-bit little-endian integers; starts counts a document's ids before the segment.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(_writer(tokenizer or default_tokenizer(), length, end_id, pad_id, chunk), SCHEMA)
+    return small_batches(rows).mapInArrow(_writer(tokenizer or default_tokenizer(), length, end_id, pad_id, chunk), SCHEMA)
 
 
 def write_matrix(matrix: DataFrame, path: str) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm.byte_cnn import labelled_sample
+from granary.llm.common import small_batches
 
 DIMS, GRADES = 1 << 18, 3
 PER_CLASS, STEPS, RATE, SPARSE = 3000, 300, 0.3, 1e-2
@@ -132,4 +133,4 @@ def _grader(model: Severity):
 def grade(docs: DataFrame, model: Severity, carried: F.Column, text_col: str = "text") -> DataFrame:
     """(row, severity, grade): `carried`, a column of docs, with the expected severity (0 to GRADES) and the grade."""
     source = docs.select(carried.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return source.mapInArrow(_grader(model), T.StructType([source.schema["row"]]).add("severity", "double").add("grade", "integer"))
+    return small_batches(source).mapInArrow(_grader(model), T.StructType([source.schema["row"]]).add("severity", "double").add("grade", "integer"))

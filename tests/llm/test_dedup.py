@@ -149,3 +149,16 @@ def test_near_copies_go_and_clean_documents_stay(spark):
     assert [g[0] for g in groups] == [i for i in ids if i < 60]
     assert [i for i in ids if 60 <= i < 900] == [i for i, _ in clean]
     assert [i for i in ids if i >= 900] == [900] and kept[0] == (False, None)
+
+
+def test_batches_are_bounded_unless_the_session_says_otherwise(spark):
+    from granary.llm.common import BATCH_BYTES, small_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    small_batches(spark.range(1))
+    assert spark.conf.get(key) in (str(BATCH_BYTES), f"{BATCH_BYTES}b")
+    spark.conf.set(key, "1234567")
+    small_batches(spark.range(1))
+    assert spark.conf.get(key).startswith("1234567")
+    spark.conf.unset(key)
