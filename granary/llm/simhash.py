@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = checkpointed(distinct.withColumn("node", F.monotonically_increasing_id()))
     roots = components(links(distinct, code, crowd))
     parts = checkpointed(distinct.join(roots, "node", "left").select(*code.columns, "first", F.coalesce("root", "node").alias("root")))
-    least = parts.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = checkpointed(parts.groupBy("root").agg(F.min("first").alias("component_id")))  # materialised, so that adaptive execution can split the join with a large component
     return rows.join(parts.join(least, "root").select(*code.columns, "component_id"), code.columns).select("id", *code.columns, "component_id")
 
 
