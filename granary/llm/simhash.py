@@ -7,9 +7,7 @@ for one bit in some part meet: the nearest anchor of the one is always among tho
 compares the fingerprints at home on it with all that are replicated to it.
 
 TIGHT (64 bits, two parts of 31 + 1 bits, distance 3): one half of any linked pair differs in one bit at most, so no
-link is missed. WIDE (192 bits, eight parts of 15 + 5 bits, distance 33): for pairs of similarity 0.8 and more over
-word shingles; of these, pairs of 0.9 meet with a chance of 97 % each, pairs of 0.8 with 78 %, and copies of
-one text reach each other over further members. A corpus of more than 10^8 distinct texts wants more free bits.
+link is missed. A corpus of more than 10^8 distinct texts wants more free bits.
 
 Scale: only distinct fingerprints are searched (equal ones link anyway), in rows of a few dozen bytes. An anchor
 with more rows than `crowd` is dealt out as pairs of blocks, so that no task holds more than two blocks. What leaves
@@ -33,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import as_row, checkpointed, slices, small_batches
+from granary.llm.common import as_row, checkpointed, slices, small_batches, stored
 from granary.llm.components import components, spanning_forest
+from granary.llm.near_copies import near_copies
 
 SEED = 42
 #: Shingles whose bits are summed at once.
@@ -73,7 +72,6 @@ class Covering:
 
 
 TIGHT = Covering(words=1, parts=2, checks=5, free=1, distance=3)
-WIDE = Covering(words=3, parts=8, checks=4, free=5, distance=33)
 
 
 def fingerprint(text: str | None, width: int, words: int = 1) -> list[int]:
@@ -232,7 +230,7 @@ def links(prints: DataFrame, code: Covering = TIGHT, crowd: int = CROWD) -> Data
     return rows.repartition(spot).sortWithinPartitions("anchor").mapInArrow(_linker(code), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, code: Covering = WIDE, crowd: int = CROWD) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, code: Covering = TIGHT, crowd: int = CROWD) -> DataFrame:
     """Per row of docs: id, f0, ..., component_id (smallest id of all documents reachable over links, its own included)."""
     rows = checkpointed(fingerprints(docs, id_col, text_col, width, code.words))
     distinct = rows.groupBy(*code.columns).agg(F.min("id").alias("first"))
@@ -243,12 +241,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(parts.join(least, "root").select(*code.columns, "component_id"), code.columns).select("id", *code.columns, "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, code: Covering = WIDE) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """docs without near copies: of each component, the row with its smallest id.
 
     Of rows that repeat that id one stays, the first by contents; rows without an id count as one document.
     """
-    found = near_duplicates(docs, id_col, text_col, width, code)
-    stays = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_stays")).distinct()
-    kept = docs.select(as_row(docs)).join(stays, F.col(f"row.`{id_col}`").eqNullSafe(F.col("_stays")), "left_semi")
+    rows = stored(docs.select(as_row(docs), F.monotonically_increasing_id().alias("uid")))
+    found = near_copies(rows.select("uid", F.col(f"row.`{text_col}`").cast("string").alias("text")), width)
+    named = rows.select("uid", F.col(f"row.`{id_col}`").alias("id")).join(found, "uid")
+    stays = named.groupBy("root").agg(F.min("id").alias("_stays")).select("_stays").distinct()
+    kept = rows.join(stays, F.col(f"row.`{id_col}`").eqNullSafe(F.col("_stays")), "left_semi")
     return kept.groupBy(F.col(f"row.`{id_col}`").alias("_id")).agg(F.min("row").alias("row")).select("row.*")
