@@ -25,3 +25,37 @@ def test_every_planted_pair_of_the_similarity_is_found(spark):
     assert [found[k] for k in range(len(texts))] == [k // 2 * 2 for k in range(len(texts))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == list(range(0, len(texts), 2))
+
+
+def test_pairs_and_families_below_the_similarity_stay(spark):
+    rng = random.Random(6)
+    texts = [t for shared, union in ((158, 200), (150, 200), (140, 200)) for _ in range(40) for t in pair(rng, shared, union)]
+    base = pair(rng, 1, 1)[0].split() + [f"common{k}" for k in range(149)]  # a template: 145 shingles in common of 195 in all
+    texts += [" ".join(base + [f"own{c}x{k}" for k in range(25)]) for c in range(40)]
+    assert all(k == root for k, root in roots(spark, texts).items())
+
+
+def test_components_match_brute_force(spark):
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(3)] + [f"v{k}" for k in range(3000)]
+    texts = ["", None, "one", "One", "w0 w0 w0", "a b c d e e e e e e e e e", "b c d e e e e e e e e e"]
+    for _ in range(12):
+        copy = rng.sample(words, rng.randrange(6, 90))
+        for _ in range(14):  # each differs from the one before, so that they chain
+            copy = list(copy)
+            for _ in range(rng.randrange(0, 3)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    sets = [set(near_copies.shingles(t, 5).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    for k in range(len(texts)):
+        for j in range(k):
+            if sets[k] == sets[j] or (sets[k] & sets[j] and 5 * len(sets[k] & sets[j]) >= 4 * len(sets[k] | sets[j])):
+                low, high = sorted((label[k], label[j]))
+                label = [low if x == high else x for x in label]
+    found = roots(spark, texts)
+    assert [found[k] for k in range(len(texts))] == label
+    same = {min(j for j in range(len(texts)) if sets[j] == sets[k]) for k in range(len(texts))}
+    nodes = spark.createDataFrame([(k, texts[k]) for k in sorted(same)], "node long, text string")
+    found = dict(near_copies.components(near_copies.links(nodes, sample=1, often=2)).collect())  # another order of the search changes nothing
+    assert [found.get(k, k) for k in sorted(same)] == [label[k] for k in sorted(same)]
