@@ -242,13 +242,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """docs without near copies: of each component, the row with its smallest id.
+    """docs without near copies: of each component one row, that with its smallest id (null last).
 
-    Of rows that repeat that id one stays, the first by contents; rows without an id count as one document.
+    Each row counts by itself, whatever its id: rows that repeat an id, or have none, go only as near copies. Of rows
+    with the component's smallest id one stays, by a hash of the text.
     """
     rows = stored(docs.select(as_row(docs), F.monotonically_increasing_id().alias("uid")))
-    found = near_copies(rows.select("uid", F.col(f"row.`{text_col}`").cast("string").alias("text")), width)
-    named = rows.select("uid", F.col(f"row.`{id_col}`").alias("id")).join(found, "uid")
-    stays = named.groupBy("root").agg(F.min("id").alias("_stays")).select("_stays").distinct()
-    kept = rows.join(stays, F.col(f"row.`{id_col}`").eqNullSafe(F.col("_stays")), "left_semi")
-    return kept.groupBy(F.col(f"row.`{id_col}`").alias("_id")).agg(F.min("row").alias("row")).select("row.*")
+    text, doc_id = F.col(f"row.`{text_col}`").cast("string"), F.col(f"row.`{id_col}`")
+    found = near_copies(rows.select("uid", text.alias("text")), width)
+    named = rows.select("uid", F.struct(doc_id.isNull(), doc_id, F.xxhash64(text), "uid").alias("rank")).join(found, "uid")
+    stays = checkpointed(named.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.uid").alias("uid")))
+    return rows.join(stays, "uid", "left_semi").select("row.*")

@@ -59,3 +59,12 @@ def test_components_match_brute_force(spark):
     nodes = spark.createDataFrame([(k, texts[k]) for k in sorted(same)], "node long, text string")
     found = dict(near_copies.components(near_copies.links(nodes, sample=1, often=2)).collect())  # another order of the search changes nothing
     assert [found.get(k, k) for k in sorted(same)] == [label[k] for k in sorted(same)]
+
+
+def test_rows_without_an_id_or_with_a_repeated_one_count_by_their_texts(spark):
+    rng = random.Random(8)
+    (copy, near), (a, b), (c, d), (e, _) = (pair(rng, shared, 200) for shared in (190, 0, 0, 0))
+    rows = [(None, a), (None, b), (5, c), (5, d), (1, copy), (5, near), (None, e), (None, e), (3, e)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {(r.doc_id, r.text) for r in simhash.one_of_each(docs).collect()}
+    assert kept == {(None, a), (None, b), (5, c), (5, d), (1, copy), (3, e)}
