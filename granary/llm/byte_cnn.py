@@ -192,12 +192,12 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> list[tuple[str | None, int]]:
-    """At most per_class texts of each class outside the held-out fold, in the order of a hash of their ids."""
+    """At most per_class texts of each class outside the held-out fold, by a hash of their ids; of rows that repeat an id, the least text."""
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label).alias("_label")).dropDuplicates(["_id"])
     ids = known.where("_label = 0").orderBy(F.xxhash64("_id"), "_id").limit(per_class).unionByName(known.where("_label = 1").orderBy(F.xxhash64("_id"), "_id").limit(per_class))
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).join(F.broadcast(ids), "_id")  # at most 2 x per_class ids
-    found = rows.select("_id", "_label", "_text").orderBy("_id", "_text").limit(4 * per_class).collect()
-    return [(r._text, r._label) for r in found]
+    found = rows.groupBy("_id", "_label").agg(F.min("_text").alias("_text")).collect()
+    return [(r._text, r._label) for r in sorted(found, key=lambda r: r._id)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, seed: int = 7) -> Network:
