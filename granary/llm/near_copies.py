@@ -1,16 +1,16 @@
-"""Near copies: documents whose sets of word shingles have a Jaccard similarity of 0.8 or more, all of them.
+"""Near copies: documents whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-A set is what a text's shingles hash to (XXH64). With all sets in one order, two of a similarity of 0.8 share one of the
-first n - ceil(0.8 n) + 1 shingles of each, so documents are searched by these alone and no pair is missed. Any order
-is right; shingles that a sample of the documents has often come last, so that passages in common bring few together.
-Every pair that meets is decided by the true similarity of the two sets.
+The search is that of simhash.py: fingerprints over the set's shingles, replicated to the anchors of a covering code that
+covering_for() fits to the number of documents. Two documents of similarity 0.8 meet in some part with probability
+`recall` (0.99), more similar ones more surely. What an anchor links by fingerprint only gathers candidates into families;
+a document is then linked to another of its family if, and only if, the true similarity of their sets is 0.8 or more.
 
-Scale: documents of equal sets are one node. The search moves narrow rows (shingle, node, size, position). Of those that
-share a shingle, each is first compared with the smallest node, which joins a group of near copies at the price of its
-size; then all pairs that meet and are not yet in one component. A large family of documents that share much and are
-yet below the threshold therefore costs the square of its size. Sets are made anew from the texts where they are needed,
-and only those of documents in a pair are kept, so that the disk holds little beside one copy of the texts. Nothing but the often-met
-shingles (at most OFTEN_MOST) and counters comes to the driver.
+Scale: documents of equal sets are one node, so exact copies cost nothing further. Only documents of a family send their
+texts on, once each, to the task that compares the family. A family above `crowd` documents or `bulk` characters is cut into
+blocks: each block is compared within itself and with a few hubs (about HUBS documents of the family, chosen by a hash),
+which joins a group of near copies at the price of its size. Documents that are then not in the family's largest group go
+to every block, so that each pair outside that group is still compared; a family whose documents share much and are yet
+below the threshold therefore costs the square of its size. Nothing but counters comes to the driver.
 
 Defined cases: a null or wordless text has no shingles, and all such texts are equal; a text with fewer words than a
 shingle counts as one shingle; repeats of a shingle count once.
@@ -23,121 +23,154 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import checkpointed, slices, small_batches, stored
-from granary.llm.components import components
+from granary.llm.common import as_row, checkpointed, slices, small_batches, stored
+from granary.llm.components import components, spanning_forest
+from granary.llm.simhash import Covering, covering_for, links, majority, near, shingle_hashes
 
-SEED = 42
-#: One in so many documents is sampled; a shingle that so many of these have counts as often met.
-SAMPLE, OFTEN, OFTEN_MOST = 16, 8, 100_000
+#: Families above so many documents or characters are cut into blocks of that size; they have about so many hubs.
+CROWD, BULK, HUBS = 1024, 32 << 20, 32
+#: Shingles that are compared with a document's at once.
+AT_ONCE = 1 << 21
+#: Within a family, pairs are compared exactly if their fingerprints differ in at most this share of bits: ten standard deviations above the mean at 0.8.
+LOOSE = 0.41
 
 #: Materialised tables of up to so many narrow rows are broadcast.
 BROADCAST_ROWS = 500_000
 
-_DIGESTS = "uid long, n int, d0 long, d1 long"
-_SETS = "node long, shingles array<long>"
-_KEYS = "key long, node long, n int, pos int"
-
 
 def shingles(text: str | None, width: int) -> np.ndarray:
     """The distinct hashes of the text's shingles, sorted."""
-    tokens = (text or "").encode().lower().split()
-    if not tokens:
-        return np.zeros(0, np.int64)
-    line, digest = b" ".join(tokens), xxhash.xxh64_intdigest
-    ends = np.cumsum([len(w) + 1 for w in tokens]).tolist()
-    starts = [0, *ends]
-    ends = ends[width - 1 :] or ends[-1:]
-    return np.unique(np.array([digest(line[a : b - 1], SEED) for a, b in zip(starts, ends, strict=False)], np.uint64).view(np.int64))
-
-
-def _digester(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole)):
-            sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
-            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(digests[:, 0]), pa.array(digests[:, 1])], ["uid", "n", "d0", "d1"])
-
-    return run
-
-
-def _shingler(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole)):
-            sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
-            bounds = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], ["node", "shingles"])
-
-    return run
+    return np.unique(shingle_hashes(text, width))
 
 
-def _searcher(width: int, often: np.ndarray):
-    """Of each set the first shingles in the common order: often-met ones last, else by their value."""
+def _digester(width: int, words: int):
+    names = ["uid", "n", "chars", "d0", "d1", *(f"f{k}" for k in range(words))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
-            keys, sizes = [np.zeros(0, np.int64)], []
+            size, chars, digest, prints = [], [], [], []
             for text in batch.column(1).to_pylist():
                 own = shingles(text, width)
-                late = np.isin(own, often)
-                keys.append(np.concatenate([own[~late], own[late]])[: len(own) - (4 * len(own) + 4) // 5 + 1])
-                sizes.append(len(own))
-            count = np.array([len(k) for k in keys[1:]])
-            pos = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            node, n = (np.repeat(x, count) for x in (batch.column(0).to_numpy(), np.array(sizes, np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys), node, n, pos.astype(np.int32))], ["key", "node", "n", "pos"])
+                size.append(len(own))
+                chars.append(len(text or ""))
+                digest.append(xxhash.xxh3_128_digest(own.tobytes()))
+                prints.append(majority(own, words))
+            digests, table = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2), np.array(prints, np.int64).reshape(-1, words)
+            columns = [batch.column(0), pa.array(size, pa.int32()), pa.array(chars, pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), *(pa.array(table[:, k]) for k in range(words))]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def _may_link(n: Column, pos: Column, m: Column, at: Column) -> Column:
-    """Whether sets of n and m shingles, of which those at pos and at are the first in common, can be similar enough."""
-    return 9 * (1 + F.least(n - 1 - pos, m - 1 - at)) >= 4 * (n + m)
-
-
 def _few(df: DataFrame) -> DataFrame:
     """df (materialised), as a broadcast where it is small, so that the other side of a join is not shuffled."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) of nodes with 5 * shared >= 4 * (all shingles of the two)."""
-    nodes = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = stored(small_batches(texts.join(_few(nodes), "node", "left_semi").select("node", "text")).mapInArrow(_shingler(width), _SETS))
-    x, y = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab")
-    shared = F.size(F.array_intersect("s_a", "s_b"))
-    return checkpointed(_few(pairs).join(x, "a").join(y, "b").where(9 * shared >= 4 * (F.size("s_a") + F.size("s_b"))).select("a", "b"))
-
-
-def links(texts: DataFrame, width: int = 5, sample: int = SAMPLE, often: int = OFTEN) -> DataFrame:
-    """texts (node, text) to (a, b): of the pairs that are similar enough, enough to join all that are linked."""
-    some = small_batches(texts.where(F.pmod(F.xxhash64("node"), F.lit(sample)) == 0).select("node", "text")).mapInArrow(_shingler(width), _SETS)
-    met = some.select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= often)
-    late = np.sort(np.array([r.s for r in met.orderBy(F.desc("count"), "s").limit(OFTEN_MOST).collect()], np.int64))
-    keys = small_batches(texts.select("node", "text")).mapInArrow(_searcher(width, late), _KEYS)
-    shared = checkpointed(keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key"))
-    shared = checkpointed(keys.join(_few(shared), "key"))
-    centres = checkpointed(shared.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("c")))
-    star = shared.join(_few(centres), "key").where((F.col("node") != F.col("c.node")) & _may_link(F.col("n"), F.col("pos"), F.col("c.n"), F.col("c.pos")))
-    star = checkpointed(star.select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct())
-    found = _similar(star, texts, width)
-    labelled = shared.join(_few(checkpointed(components(found))), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    mixed = checkpointed(labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key"))
-    rest = checkpointed(labelled.join(_few(mixed), "key"))
-    other = rest.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "label")))
-    pairs = rest.join(other, "key").where((F.col("node") > F.col("node_b")) & (F.col("label") != F.col("label_b")) & _may_link(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b")))
-    pairs = checkpointed(pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
-    return found.unionByName(_similar(pairs, texts, width))
-
-
-def near_copies(rows: DataFrame, width: int = 5) -> DataFrame:
+def _joined(nodes: list[int], own: list[np.ndarray], open_: list[bool]) -> list[tuple[int, int]]:
+    """Pairs of similarity 0.8 and more that join all that are linked; pairs of two documents that are not open are left out."""
+    prints = np.array([majority(s, 3) for s in own], np.int64).view(np.uint64)
+    size, free = np.array([len(s) for s in own]), np.array(open_)
+    label, out = np.arange(len(own)), []
+    bound = int(LOOSE * 64 * prints.shape[1])
+    for i in range(len(own) - 1):
+        after = slice(i + 1, None)
+        may = near(prints[i : i + 1], prints[after], bound)[0] & (label[after] != label[i]) & (5 * np.minimum(size[after], size[i]) >= 4 * np.maximum(size[after], size[i]))
+        may &= free[after] | free[i]
+        other = i + 1 + np.flatnonzero(may)
+        while len(other):
+            many = max(1, int(np.searchsorted(np.cumsum(size[other]), AT_ONCE)))
+            some, other = other[:many], other[many:]
+            every = np.concatenate([own[j] for j in some])
+            at = np.minimum(np.searchsorted(own[i], every), len(own[i]) - 1)
+            shared = np.add.reduceat((own[i][at] == every).astype(np.int64), np.concatenate([[0], np.cumsum(size[some])[:-1]]))
+            for j in some[9 * shared >= 4 * (size[i] + size[some])].tolist():
+                if label[j] != label[i]:
+                    out.append((nodes[i], nodes[j]))
+                    label[label == label[j]] = label[i]
+            other = other[label[other] != label[i]]
+    return out
+
+
+def _comparer(width: int):
+    """Rows (family, block, open, node, text), sorted by family and block: links within each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, nodes, own, open_ = None, [], [], []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if pairs := _joined(nodes, own, open_) if len(nodes) > 1 else []:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], ["a", "b"])
+
+        for batch in (part for whole in batches for part in slices(whole)):
+            for family, block, free, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group != (family, block):
+                    yield from found()
+                    group, nodes, own, open_ = (family, block), [], [], []
+                nodes.append(node)
+                own.append(shingles(text, width))
+                open_.append(free)
+        yield from found()
+
+    return lambda batches: spanning_forest(run(batches))
+
+
+def _compared(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """members (node, family, open, blocks: array) and texts (node, text) to (a, b) of similarity 0.8 and more."""
+    rows = texts.join(_few(members), "node").select("family", F.explode("blocks").alias("block"), "open", "node", "text")
+    rows = rows.repartition("family", "block").sortWithinPartitions("family", "block", F.desc("open"))
+    return checkpointed(small_batches(rows).mapInArrow(_comparer(width), "a long, b long"))
+
+
+def true_links(families: DataFrame, texts: DataFrame, width: int, crowd: int = CROWD, bulk: int = BULK) -> DataFrame:
+    """families (node, family, chars) and texts (node, text) to (a, b): enough of the pairs that are similar to join all that are linked."""
+    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    big = checkpointed(sizes.where((F.col("n") > crowd) | (F.col("chars") > bulk)).select("family", F.greatest(F.ceil(F.col("n") / crowd), F.ceil(F.col("chars") / bulk)).cast("int").alias("count"), F.greatest(F.lit(1), F.expr(f"n div {HUBS}")).alias("every")))
+    known = families.join(_few(big), "family", "left")
+    everywhere = F.sequence(F.lit(0), F.coalesce("count", F.lit(1)) - 1)
+    home = F.array(F.pmod(F.xxhash64(F.lit(1), "node"), F.coalesce("count", F.lit(1))).cast("int"))
+    hub = F.col("every").isNotNull() & (F.pmod(F.xxhash64("node"), F.col("every")) == 0)
+    first = known.select("node", "family", F.lit(True).alias("open"), F.when(hub, everywhere).otherwise(home).alias("blocks"))
+    found = _compared(checkpointed(first), texts, width)
+    if not big.count():
+        return found
+    named = checkpointed(known.where("count is not null").join(components(found), "node", "left").select("node", "family", "count", F.coalesce("root", "node").alias("root")))
+    groups = named.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max(F.struct("n", "root")).alias("most"))
+    second = named.join(_few(checkpointed(groups)), "family").withColumn("open", F.col("root") != F.col("most.root"))
+    rest = _compared(checkpointed(second.select("node", "family", "open", F.when(F.col("open"), everywhere).otherwise(home).alias("blocks"))), texts, width)
+    return found.unionByName(rest)
+
+
+def near_copies(rows: DataFrame, width: int = 5, recall: float = 0.99, code: Covering | None = None, crowd: int = CROWD) -> DataFrame:
     """rows (uid: long, text: string; read several times) to (uid, root): the smallest uid that each row reaches over links."""
-    digests = checkpointed(small_batches(rows.select("uid", "text")).mapInArrow(_digester(width), _DIGESTS))
-    same = checkpointed(digests.groupBy("n", "d0", "d1").agg(F.min("uid").alias("node")))
-    named = checkpointed(digests.join(same, ["n", "d0", "d1"]).select("uid", "node"))
-    copies = checkpointed(named.where("uid <> node").select(F.col("uid").alias("node")))
-    texts = rows.select(F.col("uid").alias("node"), "text").join(_few(copies), "node", "left_anti")
-    roots = components(links(texts, width))
-    return checkpointed(named.join(roots, "node", "left").select("uid", F.coalesce("root", "node").alias("root")))
+    code = code or covering_for(rows.count(), recall)
+    schema = "uid long, n int, chars long, d0 long, d1 long, " + ", ".join(f"{c} long" for c in code.columns)
+    prints = checkpointed(small_batches(rows.select("uid", "text")).mapInArrow(_digester(width, code.words), schema))
+    nodes = checkpointed(prints.groupBy("n", "d0", "d1", *code.columns).agg(F.min("uid").alias("node"), F.max("chars").alias("chars"), F.count(F.lit(1)).alias("copies")))
+    several = checkpointed(nodes.where("copies > 1").select("n", "d0", "d1", F.col("node").alias("same")))
+    named = prints.join(_few(several), ["n", "d0", "d1"], "left").select("uid", F.coalesce("same", "uid").alias("node"))
+    met = checkpointed(links(nodes.where("n > 0"), code))
+    families = components(met).select("node", F.col("root").alias("family"))
+    families = checkpointed(families.join(nodes.select("node", "chars"), "node"))
+    roots = components(true_links(families, rows.select(F.col("uid").alias("node"), "text"), width, crowd))
+    return checkpointed(named.join(_few(checkpointed(roots)), "node", "left").select("uid", F.coalesce("root", "node").alias("root")))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """docs without near copies: of each group of linked rows one stays, that with the smallest id (null last).
+
+    Each row counts by itself, whatever its id: rows that repeat an id, or have none, go only as near copies. Of rows
+    with the group's smallest id one stays, by a hash of the text.
+    """
+    rows = stored(docs.select(as_row(docs), F.monotonically_increasing_id().alias("uid")))
+    text, doc_id = F.col(f"row.`{text_col}`").cast("string"), F.col(f"row.`{id_col}`")
+    found = near_copies(rows.select("uid", text.alias("text")), width)
+    shared = _few(checkpointed(found.where("uid <> root").select("root").distinct()))
+    grouped = checkpointed(found.join(shared, "root"))  # only these lose rows
+    named = rows.select("uid", F.struct(doc_id.isNull(), doc_id, F.xxhash64(text), "uid").alias("rank")).join(_few(grouped), "uid")
+    best = named.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.uid").alias("uid"))
+    gone = checkpointed(grouped.select("uid").join(_few(checkpointed(best)), "uid", "left_anti"))
+    return rows.join(_few(gone), "uid", "left_anti").select("row.*")

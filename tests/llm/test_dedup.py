@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from granary.llm import exact_dedup, line_dedup, simhash
+from granary.llm import exact_dedup, line_dedup, near_copies, simhash
 from granary.llm.components import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -77,7 +77,7 @@ def test_empty_tables(spark):
     assert exact_dedup.exact_duplicates(none).count() == 0
     assert line_dedup.drop_repeated_lines(none).count() == 0
     assert simhash.near_duplicates(none).count() == 0
-    assert simhash.one_of_each(none).columns == none.columns
+    assert near_copies.one_of_each(none).columns == none.columns
 
 
 def print_of(text, width):
@@ -144,7 +144,7 @@ def test_near_copies_go_and_clean_documents_stay(spark):
         groups.append(ids)
     clean = [(len(rows) + k, " ".join(word() for _ in range(150))) for k in range(30)]
     rows += [*clean, (900, None), (901, ""), (902, " "), (None, "another text"), (clean[0][0], clean[0][1])]
-    kept = sorted((r.doc_id is not None, r.doc_id) for r in simhash.one_of_each(frame(spark, rows)).collect())
+    kept = sorted((r.doc_id is not None, r.doc_id) for r in near_copies.one_of_each(frame(spark, rows)).collect())
     ids = [i for there, i in kept if there]
     assert [g[0] for g in groups] == [i for i in ids if i < 60]
     assert [i for i in ids if 60 <= i < 900] == [i for i, _ in clean]

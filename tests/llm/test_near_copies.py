@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from granary.llm import near_copies, simhash
 
 
@@ -18,13 +21,59 @@ def roots(spark, texts):
     return dict(near_copies.near_copies(frame).collect())
 
 
-def test_every_planted_pair_of_the_similarity_is_found(spark):
+#: Documents for which the search's code is fitted: the test's own number, 10**6 and 10**9.
+@pytest.mark.parametrize("size", [None, 10**6, 10**9])
+def test_planted_pairs_of_the_similarity_are_found(spark, size):
+    """All pairs, by brute force over how they were made: 300 each of similarity 0.80, 0.82 and 0.85."""
     rng = random.Random(5)
-    texts = [t for shared, union in ((160, 200), (82, 100), (170, 200)) for _ in range(100) for t in pair(rng, shared, union)]
-    found = roots(spark, texts)
-    assert [found[k] for k in range(len(texts))] == [k // 2 * 2 for k in range(len(texts))]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == list(range(0, len(texts), 2))
+    levels = ((160, 200), (82, 100), (170, 200))
+    texts = [t for shared, union in levels for _ in range(300) for t in pair(rng, shared, union)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "uid long, text string")
+    found = dict(near_copies.near_copies(frame, code=size and simhash.covering_for(size)).collect())
+    assert all(found[k] in (k, k // 2 * 2) for k in range(len(texts)))  # and nothing else is linked
+    for level in range(3):
+        caught = np.mean([found[k] == k - 1 for k in range(600 * level + 1, 600 * (level + 1), 2)])
+        assert caught >= 0.97, (size, levels[level], caught)
+
+
+def test_coded_bits_share_an_anchor_as_often_as_the_code_is_made_for():
+    rng, code = np.random.default_rng(1), simhash.Covering(1, 1, 4, 0, 0)
+    x = rng.integers(0, 1 << 15, 20_000)
+    flips = (rng.random((20_000, 15)) < simhash.FLIP) @ (1 << np.arange(15))
+    one, other = simhash.anchors(x, code), simhash.anchors(x ^ flips, code)
+    met = np.mean([len(np.intersect1d(a[m], b[k])) > 0 for a, m, b, k in zip(*one, *other, strict=True)])
+    assert abs(met - simhash.MEET) < 0.01 and abs(one[1].sum() / len(x) - simhash.ANCHORS) < 0.1
+
+
+def test_a_crowded_family_is_compared_in_blocks(spark):
+    """A family of near copies around one text and a few chains; blocks of a handful of documents change nothing."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    base = [word() for _ in range(150)]
+    texts = []
+    for _ in range(90):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            copy[rng.randrange(150)] = word()
+        texts.append(" ".join(copy))
+    families = spark.createDataFrame([(k, 0, len(t)) for k, t in enumerate(texts)], "node long, family long, chars long")
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    want = brute(texts)
+    for crowd, bulk in ((1000, 1 << 30), (8, 1 << 30), (1000, 9000)):
+        got = dict(near_copies.components(near_copies.true_links(families, nodes, 5, crowd, bulk)).collect())
+        assert [got.get(k, k) for k in range(len(texts))] == want
+
+
+def brute(texts):
+    """The smallest text that each reaches over pairs of similarity 0.8 and more, by comparing all pairs."""
+    sets = [set(near_copies.shingles(t, 5).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    for k in range(len(texts)):
+        for j in range(k):
+            if sets[k] == sets[j] or (sets[k] & sets[j] and 5 * len(sets[k] & sets[j]) >= 4 * len(sets[k] | sets[j])):
+                low, high = sorted((label[k], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
 
 
 def test_pairs_and_families_below_the_similarity_stay(spark):
@@ -46,19 +95,8 @@ def test_components_match_brute_force(spark):
             for _ in range(rng.randrange(0, 3)):
                 copy[rng.randrange(len(copy))] = rng.choice(words)
             texts.append(" ".join(copy))
-    sets = [set(near_copies.shingles(t, 5).tolist()) for t in texts]
-    label = list(range(len(texts)))
-    for k in range(len(texts)):
-        for j in range(k):
-            if sets[k] == sets[j] or (sets[k] & sets[j] and 5 * len(sets[k] & sets[j]) >= 4 * len(sets[k] | sets[j])):
-                low, high = sorted((label[k], label[j]))
-                label = [low if x == high else x for x in label]
-    found = roots(spark, texts)
+    found, label = roots(spark, texts), brute(texts)
     assert [found[k] for k in range(len(texts))] == label
-    same = {min(j for j in range(len(texts)) if sets[j] == sets[k]) for k in range(len(texts))}
-    nodes = spark.createDataFrame([(k, texts[k]) for k in sorted(same)], "node long, text string")
-    found = dict(near_copies.components(near_copies.links(nodes, sample=1, often=2)).collect())  # another order of the search changes nothing
-    assert [found.get(k, k) for k in sorted(same)] == [label[k] for k in sorted(same)]
 
 
 def test_rows_without_an_id_or_with_a_repeated_one_count_by_their_texts(spark):
@@ -66,5 +104,5 @@ def test_rows_without_an_id_or_with_a_repeated_one_count_by_their_texts(spark):
     (copy, near), (a, b), (c, d), (e, _) = (pair(rng, shared, 200) for shared in (190, 0, 0, 0))
     rows = [(None, a), (None, b), (5, c), (5, d), (1, copy), (5, near), (None, e), (None, e), (3, e)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    kept = {(r.doc_id, r.text) for r in simhash.one_of_each(docs).collect()}
+    kept = {(r.doc_id, r.text) for r in near_copies.one_of_each(docs).collect()}
     assert kept == {(None, a), (None, b), (5, c), (5, d), (1, copy), (3, e)}
