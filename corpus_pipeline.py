@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import byte_cnn, line_dedup, mixing, packing, simhash
+from granary.llm import byte_cnn, line_dedup, mixing, near_copies, packing
 from granary.llm.common import as_row
 from granary.llm.queries import MIX_WEIGHTS, mix_levels, table
 
@@ -28,8 +28,8 @@ def fewer_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1, over five-word shingles at a similarity of 0.8 and more: one document of each group stays."""
-    return simhash.one_of_each(docs)
+    """Operator 1 finds the candidates over five-word shingles; of each group of true similarity 0.8 and more one document stays."""
+    return near_copies.one_of_each(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
