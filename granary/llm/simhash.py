@@ -226,7 +226,7 @@ def near(some: np.ndarray, every: np.ndarray, distance: int) -> np.ndarray:
 
 
 def _linked(own: np.ndarray, prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the fingerprints of one anchor."""
+    """A spanning forest of the links among the fingerprints of one anchor, by their nodes: around the smallest, so that anchors of one group give the same links."""
     out = []
     label = np.arange(len(own))
     at = 0
@@ -291,7 +291,7 @@ def links(prints: DataFrame, code: Covering = TIGHT, crowd: int = CROWD) -> Data
         pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o))
         dealt = rows.join(known, F.col("anchor") == F.col("spot"), "left").withColumn("deal", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pairs)))
         rows = dealt.select(F.col("anchor").bitwiseOR(F.shiftleft(F.col("deal").cast("long"), DEAL_BIT)).alias("anchor"), "node", *code.carried)
-    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_linker(code), "a long, b long")
+    return rows.repartition("anchor").sortWithinPartitions("anchor", "node").mapInArrow(_linker(code), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, code: Covering = TIGHT, crowd: int = CROWD) -> DataFrame:
