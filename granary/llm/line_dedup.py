@@ -1,16 +1,18 @@
 """Line deduplication with two Bloom filters.
 
-Pass 1 sends a 64-bit hash of every line key through two filters per task: a key that the once-seen filter already
-holds goes to the twice-seen filter. Filters of different tasks are merged block by block in a shuffle: the
-twice-seen filters are or-ed, and what two once-seen filters share is added to them. Pass 2 takes the documents with
-a line that the twice-seen filter holds; only their suspected keys shuffle, to be counted exactly and to choose the
-occurrence that stays. All other documents go straight to the result.
+Pass 1 sends a 64-bit hash of every line key that is long enough, at most two of each from a slab of texts, to a task that
+owns a range of hashes. There a once-seen Bloom filter marks each hash that comes again as a suspect. The suspects, far
+fewer than the lines, make the twice-seen filter, which is merged in blocks and broadcast. Pass 2 sends only the keys that
+this filter holds; they are counted exactly, and the occurrence that stays is chosen.
 
 A filter has no false negatives, so the result is exact at any size: `max_filter_bytes` bounds what is broadcast, and
-a fuller filter only sends more suspects to the exact count.
+a fuller filter only sends more suspects to the exact count. The once-seen filters are never broadcast: there are as many
+as the corpus needs at FILTER_LINES lines each. The keys found often are broadcast if they are at most `max_key_bytes` in
+all, and the last pass is then a map; else each document's share of them is joined to it.
 
 Defined cases: a null or empty text is one empty line; every row is a document of its own (repeated rows count); all
-rows of the largest doc_id that holds a key keep their lines; a null doc_id ranks below all.
+rows of the largest doc_id that holds a key keep their lines; a null doc_id ranks below all. A doc_id is compared in its own
+type.
 """
 
 from __future__ import annotations
@@ -25,13 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import SPACE, as_row, checkpointed, slices, small_batches, stored, task_id_base
+from granary.llm.common import SPACE, as_row, checkpointed, slices, small_batches, stored
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BITS_PER_LINE, PROBES = 12, 4
-MAX_FILTER_BYTES = 64 << 20
-#: The filters are merged in blocks of so many bytes.
+#: A once-seen filter is for so many lines, and of at least so many bits.
+FILTER_LINES, LEAST_BITS = 1 << 22, 1 << 21
+MAX_FILTER_BYTES, MAX_KEY_BYTES = 64 << 20, 32 << 20
+#: The parts of the twice-seen filter are merged in blocks of so many bytes.
 BLOCK = 1 << 18
+#: Hashes of which a task sends at most two each.
+SLAB = 1 << 17
 
 
 def line_key(line: str) -> str:
@@ -65,127 +71,179 @@ def _add(bloom: np.ndarray, bits: np.ndarray) -> None:
     np.bitwise_or.at(bloom, flat >> np.uint64(3), np.left_shift(np.uint8(1), (flat & np.uint64(7)).astype(np.uint8)))
 
 
-def _builder(n_bits: int, min_chars: int):
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(n_bits // 8, np.uint8), np.zeros(n_bits // 8, np.uint8)
+def _power(lines: int) -> int:
+    """Bits of a filter for so many lines, a power of two."""
+    return max(LEAST_BITS, 1 << max(0, BITS_PER_LINE * lines - 1).bit_length())
+
+
+def _hasher(min_chars: int):
+    """The hashes of a task's lines, at most two of each in a slab."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[int] = []
+
+        def out() -> pa.RecordBatch:
+            found, counts = np.unique(np.array(held, np.uint64), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(found, np.minimum(counts, 2)).view(np.int64))], ["h"])
+
         for batch in batches:
-            found: list[int] = []
             for part in slices(batch):
                 for text in part.column(0).to_pylist():
                     if text:
-                        found.extend(_keys(text, min_chars).values())
-            if found:
-                hashes, counts = np.unique(np.array(found, np.uint64), return_counts=True)
-                bits = _bits(hashes, n_bits)
-                _add(twice, bits[(counts > 1) | _has(once, bits)])
-                _add(once, bits)
+                        held.extend(_keys(text, min_chars).values())
+                if len(held) > SLAB:
+                    yield out()
+                    held = []
+        if held:
+            yield out()
+
+    return run
+
+
+def _once(n_bits: int):
+    """The hashes that come a second time, by a once-seen filter over the task's range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = np.zeros(n_bits // 8, np.uint8)
+        for batch in batches:
+            hashes, counts = np.unique(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), return_counts=True)
+            bits = _bits(hashes, n_bits)
+            again = (counts > 1) | _has(once, bits)
+            _add(once, bits)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[again].view(np.int64))], ["h"])
+
+    return run
+
+
+def _builder(n_bits: int):
+    """A filter of the task's hashes, in compressed blocks."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = np.zeros(n_bits // 8, np.uint8)
+        for batch in batches:
+            _add(bloom, _bits(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), n_bits))
         pack = zstandard.ZstdCompressor(level=1).compress
         for at in range(0, n_bits // 8, BLOCK):
-            if once[at : at + BLOCK].any():
-                yield pa.RecordBatch.from_pydict({"part": pa.array([at // BLOCK], pa.int32()), "once": pa.array([pack(once[at : at + BLOCK].tobytes())]), "twice": pa.array([pack(twice[at : at + BLOCK].tobytes())])})
+            if bloom[at : at + BLOCK].any():
+                yield pa.RecordBatch.from_pydict({"part": pa.array([at // BLOCK], pa.int32()), "bits": pa.array([pack(bloom[at : at + BLOCK].tobytes())])})
 
     return build
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by part: the twice-seen filter of all tasks."""
+    """Rows sorted by part: the filter of all tasks."""
     unpack = zstandard.ZstdDecompressor().decompress
-    part, once, twice = None, None, None
+    part = bits = None
 
-    def out():
-        return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "twice": pa.array([twice.tobytes()])})
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "bits": pa.array([bits.tobytes()])})
 
     for batch in batches:
-        for number, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            a, b = np.frombuffer(unpack(a), np.uint8), np.frombuffer(unpack(b), np.uint8)
+        for number, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            more = np.frombuffer(unpack(more), np.uint8)
             if number == part:
-                twice |= b | (once & a)
-                once |= a
+                bits |= more
             else:
                 if part is not None:
                     yield out()
-                part, once, twice = number, a.copy(), b.copy()
+                part, bits = number, more.copy()
     if part is not None:
         yield out()
 
 
-def twice_seen(docs: DataFrame, text_col: str, min_chars: int = MIN_CHARS, max_filter_bytes: int = MAX_FILTER_BYTES) -> np.ndarray:
-    """Filter that holds every key found in two documents or more; its size follows the number of lines up to the bound."""
-    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    lines = texts.agg(F.sum(F.size(F.split("text", "\n", -1)))).first()[0] or 0
-    n_bits = 8 * BLOCK
-    while n_bits < BITS_PER_LINE * lines and n_bits < 8 * max_filter_bytes:
-        n_bits *= 2
-    tasks = 4 * docs.sparkSession.sparkContext.defaultParallelism  # each holds two filters and sends them once
-    parts = texts.coalesce(tasks).mapInArrow(_builder(n_bits, min_chars), "part int, once binary, twice binary")
-    merged = parts.repartition("part").sortWithinPartitions("part").mapInArrow(_merge, "part int, twice binary")
+def twice_seen(texts: DataFrame, min_chars: int = MIN_CHARS, max_filter_bytes: int = MAX_FILTER_BYTES, filter_lines: int = FILTER_LINES) -> np.ndarray:
+    """texts (text) to a filter that holds every key found in two documents or more."""
+    most = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // min_chars  # lines that are long enough
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-most // filter_lines))
+    hashes = texts.mapInArrow(_hasher(min_chars), "h long").repartition(tasks, F.shiftright("h", 40))
+    suspects = checkpointed(hashes.mapInArrow(_once(_power(min(filter_lines, most))), "h long").distinct())
+    n_bits = min(_power(suspects.count()), max(LEAST_BITS, 8 * max_filter_bytes))
+    parts = suspects.coalesce(4 * texts.sparkSession.sparkContext.defaultParallelism).mapInArrow(_builder(n_bits), "part int, bits binary")
+    merged = parts.repartition("part").sortWithinPartitions("part").mapInArrow(_merge, "part int, bits binary")
     bloom = np.zeros(n_bits // 8, np.uint8)
-    for part, twice in merged.toLocalIterator():
-        bloom[part * BLOCK : (part + 1) * BLOCK] = np.frombuffer(twice, np.uint8)
+    for part, bits in merged.toLocalIterator():
+        bloom[part * BLOCK : (part + 1) * BLOCK] = np.frombuffer(bits, np.uint8)
     return bloom
 
 
-def _suspects(texts: list[str | None], bloom: np.ndarray, min_chars: int) -> list[list[str]]:
-    """Of each text, the keys that the filter holds."""
-    keys = [_keys(t, min_chars) if t else {} for t in texts]
-    hashes = np.array([h for k in keys for h in k.values()], np.uint64)
-    hit = _has(bloom, _bits(hashes, 8 * len(bloom))).tolist() if len(hashes) else []
-    out, at = [], 0
-    for k in keys:
-        out.append([key for key, x in zip(k, hit[at : at + len(k)], strict=True) if x])
-        at += len(k)
-    return out
+def _suspected(shared, min_chars: int):
+    """Rows (first columns, text last): the first columns and each key that the filter holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = np.frombuffer(shared.value, np.uint8)
+        for batch in (part for whole in batches for part in slices(whole)):
+            keys, hashes, owner = [], [], []
+            for row, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                found = _keys(text, min_chars) if text else {}
+                keys += found
+                hashes += found.values()
+                owner += [row] * len(found)
+            if keys:
+                hit = np.flatnonzero(_has(bloom, _bits(np.array(hashes, np.uint64), 8 * len(bloom)))).tolist()
+                rows = pa.array([owner[k] for k in hit], pa.int64())
+                columns = [c.take(rows) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([keys[k] for k in hit], pa.string())], [*batch.schema.names[:-1], "key"])
 
+    return run
 
-def _splitter(shared, min_chars: int, suspected: bool):
-    """Documents with a suspected line (with their keys), or those without (with their results)."""
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, base, n = np.frombuffer(shared.value, np.uint8), task_id_base(), 0
+def _without(text: str | None, gone) -> tuple[str, int, int]:
+    """The text without the lines whose key is gone, the number of lines, and of those that go."""
+    every = (text or "").split("\n")
+    rest = [x for x in every if not gone(x)]
+    return "\n".join(rest), len(every), len(every) - len(rest)
+
+
+def _results(rows: pa.Array, found: list[tuple[str, int, int]]) -> pa.RecordBatch:
+    kept, lines, dropped = zip(*found, strict=True) if found else ((), (), ())
+    return pa.RecordBatch.from_arrays([rows, pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], ["row", "kept_text", "n_lines", "n_dropped"])
+
+
+def _dropper(shared, min_chars: int):
+    """Rows (row, doc, text), with a broadcast of the frequent keys and the doc in which each stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stays = shared.value
         for batch in (part for whole in batches for part in slices(whole)):
-            texts = batch.column(1).to_pylist()
-            keys = _suspects(texts, bloom, min_chars)
-            at = np.array([i for i, k in enumerate(keys) if bool(k) == suspected], np.int64)
-            rows = batch.column(0).take(pa.array(at))
-            if suspected:
-                more = [pa.array(base + n + at), pa.array([texts[i] for i in at], pa.string()), pa.array([keys[i] for i in at], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([rows, *more], ["row", "uid", "text", "keys"])
-            else:
-                kept = [texts[i] or "" for i in at]
-                more = [pa.array(kept, pa.string()), pa.array([t.count("\n") + 1 for t in kept], pa.int64()), pa.array(np.zeros(len(at), np.int64))]
-                yield pa.RecordBatch.from_arrays([rows, *more], ["row", "kept_text", "n_lines", "n_dropped"])
-            n += len(texts)
+            found = []
+            for doc, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found.append(_without(text, lambda line, doc=doc: len(line) >= min_chars and stays.get(line_key(line), doc) != doc))
+            yield _results(batch.column(0), found)
 
-    return split
+    return run
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, text, drop), drop being the keys that go."""
     for batch in (part for whole in batches for part in slices(whole)):
-        kept, lines, dropped = [], [], []
+        found = []
         for text, drop in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            every = text.split("\n")
-            rest = every if not drop else [x for x, d in zip(every, map(set(drop).__contains__, map(line_key, every)), strict=True) if not d]
-            kept.append("\n".join(rest))
-            lines.append(len(every))
-            dropped.append(len(every) - len(rest))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], ["row", "kept_text", "n_lines", "n_dropped"])
+            keys = frozenset(drop or ())
+            found.append(_without(text, lambda line, keys=keys: bool(keys) and line_key(line) in keys))
+        yield _results(batch.column(0), found)
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_filter_bytes: int = MAX_FILTER_BYTES, max_key_bytes: int = MAX_KEY_BYTES) -> DataFrame:
     """docs as struct column `row`, with kept_text, n_lines (before) and n_dropped.
 
     Keys of at least min_chars code points found in at least min_docs documents lose all their lines but those in
     the largest doc_id that holds the key.
     """
-    bloom = twice_seen(docs, text_col, min_chars, max_filter_bytes)
+    text, doc = F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{id_col}`").alias("doc")
+    bloom = twice_seen(small_batches(docs.select(text)), min_chars, max_filter_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(bloom.tobytes())
-    source = small_batches(docs.select(as_row(docs), F.col(f"`{text_col}`").cast("string").alias("text")))
-    row = T.StructType([source.schema["row"]])
-    results = T.StructType([*row]).add("kept_text", "string").add("n_lines", "long").add("n_dropped", "long")
-    suspects = T.StructType([*row]).add("uid", "long").add("text", "string").add("keys", T.ArrayType(T.StringType()))
-    clean = source.mapInArrow(_splitter(shared, min_chars, False), results)
-    held = stored(source.mapInArrow(_splitter(shared, min_chars, True), suspects))
-    lines = held.select("uid", F.coalesce(F.col(f"row.`{id_col}`").cast("long"), F.lit(-(2**63))).alias("doc"), F.explode("keys").alias("key"))
-    often = lines.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("stays")).where(F.col("docs") >= min_docs)
-    drops = lines.join(checkpointed(often.select("key", "stays")), "key").where("doc <> stays").groupBy("uid").agg(F.collect_list("key").alias("drop"))
-    return clean.unionByName(held.join(drops, "uid", "left").select("row", "text", "drop").mapInArrow(_finish, results))
+    some = docs.select(doc, text)
+    kind = some.schema["doc"].dataType
+    keys = some.mapInArrow(_suspected(shared, min_chars), T.StructType([T.StructField("doc", kind), T.StructField("key", T.StringType())]))
+    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("stays")).where(F.col("docs") >= min_docs)
+    often = checkpointed(often.select("key", "stays"))
+    source = docs.select(as_row(docs), doc, text)
+    results = T.StructType([source.schema["row"], T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    if (often.agg(F.sum(F.octet_length("key") + 100)).first()[0] or 0) <= max_key_bytes:
+        held = docs.sparkSession.sparkContext.broadcast(dict(often.toLocalIterator()))
+        return source.mapInArrow(_dropper(held, min_chars), results)
+    rows = stored(source.withColumn("uid", F.monotonically_increasing_id()))
+    fields = T.StructType([T.StructField("uid", T.LongType()), T.StructField("doc", kind), T.StructField("key", T.StringType())])
+    lines = rows.select("uid", "doc", "text").mapInArrow(_suspected(shared, min_chars), fields)
+    drops = lines.join(often, "key").where(~F.col("doc").eqNullSafe(F.col("stays"))).groupBy("uid").agg(F.collect_list("key").alias("drop"))
+    return rows.join(drops, "uid", "left").select("row", "text", "drop").mapInArrow(_finish, results)

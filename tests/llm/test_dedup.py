@@ -61,17 +61,36 @@ def brute_lines(rows, min_chars, min_docs):
     return sorted(out)
 
 
-@pytest.mark.parametrize("bits", [line_dedup.MAX_FILTER_BYTES, line_dedup.BLOCK])
-def test_lines_match_brute_force(spark, bits):
+@pytest.mark.parametrize(("most", "keys"), [(line_dedup.MAX_FILTER_BYTES, line_dedup.MAX_KEY_BYTES), (1, 0)])
+def test_lines_match_brute_force(spark, most, keys):
+    """With the smallest filter and without a broadcast of keys, too."""
     rng = random.Random(2)
     lines = [f"line {k} of some length ÄÖÜ" for k in range(14)] + ["short", "", "  ", "\tLINE 3 of some length ÄÖÜ\x0c"]
     rows = [(rng.choice([None, *range(30)]), rng.choice([None, "", *["\n".join(rng.choices(lines, k=rng.randrange(1, 7))) for _ in range(4)]])) for _ in range(80)]
-    got = line_dedup.drop_repeated_lines(frame(spark, rows), min_chars=20, min_docs=3, max_filter_bytes=bits)
+    got = line_dedup.drop_repeated_lines(frame(spark, rows), min_chars=20, min_docs=3, max_filter_bytes=most, max_key_bytes=keys)
     found = sorted((-1 if r.row.doc_id is None else r.row.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect())
     assert found == brute_lines(rows, 20, 3)
     assert any(r[2] for r in found)
 
 
+def test_the_filters_hold_every_repeated_line_and_few_others(spark):
+    """Many lines over several ranges of hashes; a full filter never loses a repeat."""
+    docs = [f"a line of its own, number {k:07}, and more\na line of several texts, number {k // 4:07}" for k in range(6_000)]
+    table = spark.createDataFrame([(t,) for t in docs], "text string").repartition(5)
+    for filter_lines in (line_dedup.FILTER_LINES, 1000):
+        bloom = line_dedup.twice_seen(table, 20, filter_lines=filter_lines)
+        own, shared = ([next(iter(line_dedup._keys(t.split("\n")[i], 20).values())) for t in docs] for i in (0, 1))
+        hit = lambda h: line_dedup._has(bloom, line_dedup._bits(np.array(h, np.uint64), 8 * len(bloom)))
+        assert hit(shared).all() and hit(own).mean() < 0.02
+
+
+def test_string_ids(spark):
+    rows = [("b", "the same long line in both"), ("a", "the same long line in both"), (None, "the same long line in both")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = line_dedup.drop_repeated_lines(docs, min_chars=20, min_docs=3).collect()
+    assert sorted((r.row.doc_id or "", r.n_dropped) for r in got) == [("", 1), ("a", 1), ("b", 0)]
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert exact_dedup.exact_duplicates(none).count() == 0
