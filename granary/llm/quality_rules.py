@@ -1,15 +1,15 @@
 """Quality rules: text statistics, and the log-likelihood ratio of hashed word n-grams between a trusted and the raw corpus.
 
-Only DataFrame functions. Pass 1 counts the hashed 1- and 2-grams of all documents in a fixed number of buckets (each
-task sends one row a bucket), and in the same pass those of the trusted sample. Pass 2 is narrow: each document's
-mean log ratio over its n-grams is compared with a fixed margin, so the verdict needs neither a random draw nor a
-rank within the corpus.
+Only DataFrame functions. Pass 1 counts the hashed 1- and 2-grams of all documents in buckets (each task sends one row a
+bucket), and in the same pass those of all trusted documents. Pass 2 is narrow: each document's mean log ratio over its
+n-grams is compared with a fixed margin, so the verdict needs neither a random draw nor a rank within the corpus.
 
-The trusted sample is bounded: at most `trusted_limit` labelled documents, chosen by a hash of their ids, whose ids are
-broadcast. The raw counts cover every document.
+Both multinomials cover all of their documents. The table of ratios is a literal of the second pass, which is why it has
+BUCKETS entries at every size. The ids of the trusted documents are broadcast up to BROADCAST_ROWS; beyond that they are
+joined.
 
 Defined cases: a null or wordless text has zero everywhere and fails the base rules; with no trusted document all
-ratios are zero, so the base rules decide; repeated rows count as often as they occur.
+ratios are zero, so the base rules decide; repeated rows count as often as they occur; a null id is never trusted.
 """
 
 from __future__ import annotations
@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 from granary.llm.common import checkpointed
 
 BUCKETS = 8192
-TRUSTED_LIMIT = 5000
+#: Trusted ids are broadcast up to so many.
+BROADCAST_ROWS = 2_000_000
+#: What is added to the counts.
+PSEUDO = 50.0
 #: A document stays if its mean log ratio is at least this many nats a n-gram.
 MARGIN = -0.05
 SPAN = 8
@@ -79,27 +82,30 @@ def statistics(rows: DataFrame, text: Column) -> DataFrame:
     )
 
 
-def trusted_ids(labels: DataFrame, id_col: str = "doc_id", limit: int = TRUSTED_LIMIT) -> DataFrame:
-    """At most `limit` ids of documents labelled good, outside the held-out fold (crc32 of the id mod 4 is 2)."""
-    good = labels.where((F.col("quality") == 1) & (F.crc32(F.col(id_col).cast("string")) % 4 != 2)).select(F.col(id_col).cast("long").alias("_good"))
-    return good.orderBy(F.xxhash64("_good"), "_good").limit(limit).distinct()
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The ids of all documents labelled good, outside the held-out fold (crc32 of the id mod 4 is 2)."""
+    return labels.where((F.col("quality") == 1) & (F.crc32(F.col(id_col).cast("string")) % 4 != 2)).select(F.col(id_col).alias("_good")).distinct()
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> list[float]:
-    """Of each bucket, the log of its share in the trusted over that in the raw n-grams (one added to each count)."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), words_of(F.col(f"`{text_col}`").cast("string")).alias("_words"))
-    rows = rows.join(F.broadcast(trusted), F.col("_id") == F.col("_good"), "left")  # at most TRUSTED_LIMIT ids
+def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int, pseudo: float = PSEUDO) -> list[float]:
+    """Of each bucket, the log of its share in the trusted over that in the raw n-grams.
+
+    `pseudo` is added to each trusted count, and as much for its size to each raw one, so that a bucket with little
+    evidence says little.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), words_of(F.col(f"`{text_col}`").cast("string")).alias("_words"))
+    few = trusted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(trusted) if few else trusted, F.col("_id") == F.col("_good"), "left")
     rows = rows.select(F.col("_good").isNotNull().cast("int").alias("good"), F.transform("_words", lambda w: F.xxhash64(w)).alias("one"))
     rows = rows.select("good", F.explode(F.concat(_bucket(F.col("one"), buckets), _bucket(_pairs(F.col("one"), 1), buckets))).alias("bucket"))
     counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good"))
     counts = checkpointed(counts)  # one row a bucket
     all_raw, all_good = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
-    share = [(F.coalesce(c, F.lit(0)) + 1) / F.lit(float(n + buckets)) for c, n in (("good", all_good), ("raw", all_raw))]
-    ratios = every.select("bucket", (F.log(share[0]) - F.log(share[1]) if all_good else F.lit(0.0)).alias("ratio"))
     out = [0.0] * buckets
-    for bucket, ratio in ratios.collect():
-        out[bucket] = ratio
+    if all_good:
+        expected = F.col("raw") * F.lit(all_good / all_raw)
+        for bucket, ratio in counts.select("bucket", F.log((F.col("good") + pseudo) / (expected + pseudo))).collect():
+            out[bucket] = ratio
     return out
 
 
