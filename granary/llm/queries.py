@@ -72,11 +72,19 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    said = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    kinds, more = dict(rows.dtypes), spark.range(0, 2, 1, 1)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    more = more.select(F.lit(-7).cast(kinds["conv_id"]).alias("conv_id"), F.col("id").cast(kinds["turn"]).alias("turn"), role.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     out = chat.read_back(chat.windows(rows.unionByName(more)))
-    joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    parts = out.select("conv_id", F.struct("window", F.size("turns").cast("long").alias("turns"), said.alias("said"), "loss_text", "formatted_chars").alias("w"))
+    parts = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list("w")).alias("w"))  # a digest is over one whole conversation
+
+    def total(name: str) -> F.Column:
+        return F.aggregate("w", F.lit(0).cast("long"), lambda acc, w: acc + w[name])
+
+    parts = parts.select("conv_id", total("turns").alias("n_turns"), F.array_join(F.transform("w", lambda w: w["said"]), "").alias("said"), F.array_join(F.transform("w", lambda w: w["loss_text"]), "").alias("loss"), total("formatted_chars").alias("formatted_chars"))
+    return parts.select("conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_toxicity, op4_line_dedup, op5_token_output, op6_exact_dedup, op7_mixing, op8_quality_rules, op9_quality_classifier, op10_chat)}
@@ -101,12 +109,12 @@ m{k} AS (SELECT {", ".join(path)}, CAST(sum(n) * {MIX_EPOCHS} AS DOUBLE) AS most
     domains = ", ".join(f"'{d}'" for d in DOMAINS)
     return f"""
 WITH docs AS (
-  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n,
+  SELECT doc_id, md5(coalesce(text, '')) AS h, coalesce(lang, '') AS lang, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n,
          list_extract([{domains}], coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT), 0) % 3 + 1) AS domain FROM documents
 ), leaf AS (SELECT domain, lang, source, CAST(sum(n) AS BIGINT) AS n FROM docs GROUP BY ALL
 ), {"".join(steps)}
 plan AS (SELECT l.*, CAST(floor(share) AS BIGINT) AS budget, CASE WHEN n > 0 THEN CAST(floor(share) AS BIGINT) // n ELSE 0 END AS epochs FROM leaf l JOIN g2 USING (domain, lang, source)
-), keyed AS (SELECT d.*, p.epochs, p.budget - p.epochs * p.n AS part, CAST('0x' || md5('{mixing.SEED}|' || p.epochs || '|' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:15] AS BIGINT) AS k FROM docs d JOIN plan p USING (domain, lang, source)
+), keyed AS (SELECT d.*, p.epochs, p.budget - p.epochs * p.n AS part, CAST('0x' || md5('{mixing.SEED}|' || p.epochs || '|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || h)[1:15] AS BIGINT) AS k FROM docs d JOIN plan p USING (domain, lang, source)
 ), taken AS (SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY k) <= part AS more FROM keyed)
 SELECT doc_id, domain, lang, source, n AS n_tokens, CAST(unnest(range(0, CAST(epochs + CASE WHEN more THEN 1 ELSE 0 END AS BIGINT))) AS INT) AS epoch FROM taken"""
 
@@ -114,6 +122,8 @@ SELECT doc_id, domain, lang, source, n AS n_tokens, CAST(unnest(range(0, CAST(ep
 def _chat_sql() -> str:
     """op10: the windows open in a recursion over the turns; see chat.windows."""
     bs = "chr(92)"
+    room = f"CASE WHEN g.win = 0 THEN {chat.BUDGET} ELSE greatest(1, {chat.BUDGET - chat.HISTORY} - c.systok) END"
+    opens = f"p.i % {chat.BLOCK} = 0 OR p.pre + p.tok - g.base > {room}"
     control = r"(<|\[)(\||/?s>|/?INST\]|<SYS>>|</SYS>>|</SYS>|<SYS>)"
     body = f"regexp_replace(replace(text, {bs}, {bs} || {bs}), '{control}', '\\1' || {bs} || {bs} || '\\2', 'g')"
     head = f"replace(regexp_replace(replace(role, {bs}, {bs} || {bs}), '{control}', '\\1' || {bs} || {bs} || '\\2', 'g'), chr(10), {bs} || chr(10))"
@@ -123,7 +133,7 @@ WITH RECURSIVE src AS (
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), t AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i,
-         CAST(ceil(length(text) / {chat.CHARS_PER_TOKEN}.0) AS BIGINT) + {chat.TURN_TOKENS} AS tok,
+         len(regexp_extract_all(text, '{chat.PIECE}')) + {chat.TURN_TOKENS} AS tok,
          {len(chat.START) + len(chat.END) + 1} + length({head}) + length({body}) AS chars FROM src
 ), p AS (
   SELECT *, coalesce(sum(tok) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre FROM t
@@ -134,8 +144,7 @@ WITH RECURSIVE src AS (
   SELECT conv_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS win, CAST(0 AS BIGINT) AS base FROM c
   UNION ALL
   SELECT g.conv_id, p.i,
-         CASE WHEN p.pre + p.tok - g.base > CASE WHEN g.win = 0 THEN {chat.BUDGET} ELSE greatest(1, {chat.BUDGET - chat.HISTORY} - c.systok) END THEN g.win + 1 ELSE g.win END,
-         CAST(CASE WHEN p.pre + p.tok - g.base > CASE WHEN g.win = 0 THEN {chat.BUDGET} ELSE greatest(1, {chat.BUDGET - chat.HISTORY} - c.systok) END THEN p.pre ELSE g.base END AS BIGINT)
+         CASE WHEN {opens} THEN g.win + 1 ELSE g.win END, CAST(CASE WHEN {opens} THEN p.pre ELSE g.base END AS BIGINT)
   FROM go g JOIN p ON p.conv_id = g.conv_id AND p.i = g.i + 1 JOIN c ON c.conv_id = g.conv_id
 ), w AS (
   SELECT conv_id, win, min(base) AS base FROM go GROUP BY ALL
