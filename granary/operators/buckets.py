@@ -6,6 +6,7 @@ a group limit before the shuffle. Calendars are filled in from a spine of the bu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granary.session import durable
+
 
 def _values(df: DataFrame, field: str) -> DataFrame:
     """One row for each value of the field: distinct ones of an array, elements of an array of structs ("authors.name")."""
@@ -64,11 +67,34 @@ PERCENTS = (1, 5, 25, 50, 75, 95, 99)
 
 
 def percentiles(df: DataFrame, field: str, percents: Sequence[float] = PERCENTS, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
-    """(key, value) rows p1, p5, ...: interpolated if exact, else by a bounded sketch for large inputs."""
-    shares = F.array(*(F.lit(p / 100) for p in percents))
-    value = F.percentile(field, shares) if exact else F.percentile_approx(F.col(field).cast("double"), shares, accuracy)
-    names = F.array(*(F.lit(f"p{p:g}") for p in percents))
-    return df.agg(value.alias("v")).select(F.explode(F.arrays_zip(names.alias("key"), F.col("v").alias("value"))).alias("e")).select("e.key", "e.value")
+    """(key, value) rows p1, p5, ...: interpolated if exact, else by a bounded sketch in one pass."""
+    names = [f"p{p:g}" for p in percents]
+    if exact:
+        found = dict(zip(names, value_at(df, field, [p / 100 for p in percents]), strict=True))
+        return df.sparkSession.range(1).select(*(F.lit(v).cast("double").alias(k) for k, v in found.items())).unpivot([], names, "key", "value")
+    value = F.percentile_approx(F.col(field).cast("double"), F.array(*(F.lit(p / 100) for p in percents)), accuracy)
+    return df.agg(value.alias("v")).select(F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("key"), F.col("v").alias("value"))).alias("e")).select("e.key", "e.value")
+
+
+def value_at(df: DataFrame, field: str, shares: Sequence[float]) -> list[float | None]:
+    """The interpolated quantiles of the field's values, nulls left out; None for each if there is no value.
+
+    Values are counted, the counts sorted by range, and each range's running count starts from those before it, so no task
+    holds more than a range; two values a quantile come to the driver.
+    """
+    counts = df.where(F.col(field).isNotNull()).groupBy(F.col(field).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counts = durable(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    parts = counts.groupBy("part").agg(F.sum("n").alias("rows"))  # one row a range
+    before = F.sum("rows").over(Window.orderBy("part")) - F.col("rows")
+    until = F.sum("n").over(Window.partitionBy("part").orderBy("v")) + F.col("before")
+    placed = counts.join(F.broadcast(parts.select("part", before.alias("before"))), "part").withColumn("until", until)
+    total = parts.agg(F.sum("rows")).first()[0]
+    if not total:
+        return [None] * len(shares)
+    places = [s * (total - 1) for s in shares]
+    wanted = sorted({math.floor(p) for p in places} | {math.ceil(p) for p in places})
+    row = placed.agg(*(F.min(F.when(F.col("until") > k, F.col("v"))).alias(f"v{k}") for k in wanted)).first()
+    return [row[f"v{math.floor(p)}"] + (row[f"v{math.ceil(p)}"] - row[f"v{math.floor(p)}"]) * (p - math.floor(p)) for p in places]
 
 
 def cardinality(df: DataFrame, field: str, exact: bool = False) -> DataFrame:

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.operators.buckets import value_at
+from granary.session import durable
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -17,17 +20,29 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def ego(edges: DataFrame, centre: object, depth: int = 2, most: int | None = None) -> DataFrame:
     """node, hops: the nodes within `depth` hops, nearest first, at most `most` (G1)."""
-    links = undirected(edges)
-    seen = links.sparkSession.createDataFrame([(centre, 0)], "node long, hops int")
+    links = durable(edges.select("src", "dst").where("src <> dst"))
+    seen = links.sparkSession.range(1).select(F.lit(centre).cast("long").alias("node"), F.lit(0).alias("hops"))
     frontier = seen
     for hop in range(1, depth + 1):
-        step = links.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop))
+        ends = frontier.select("node")
+        near = _from(links, "src", "dst", ends).unionByName(_from(links, "dst", "src", ends)).distinct()
+        frontier = durable(near.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)))
         seen = seen.unionByName(frontier)
     out = seen.orderBy("hops", "node")
     return out.limit(most) if most else out
 
 
+#: Frontiers of up to so many nodes are broadcast, so that the edges stay where they are.
+FRONTIER_ROWS = 500_000
+
+
+def _from(links: DataFrame, near: str, far: str, nodes: DataFrame) -> DataFrame:
+    """node: the far ends of the links whose near end is one of the nodes."""
+    some = nodes.select(F.col("node").alias(near))
+    small = some.limit(FRONTIER_ROWS + 1).count() <= FRONTIER_ROWS
+    return links.join(F.broadcast(some) if small else some, near, "left_semi").select(F.col(far).alias("node"))
+
+
 def density(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """nodes, edges, density, avg_degree of the induced undirected graph (G1); nodes: node."""
     inside = undirected(edges).join(nodes.select(F.col("node").alias("src")), "src").join(nodes.select(F.col("node").alias("dst")), "dst")
@@ -50,7 +65,7 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 def paths(edges: DataFrame, start: object, end: object, longest: int = 4) -> DataFrame:
     """hops, path: the simple directed paths of at most `longest` hops."""
-    links = edges.select("src", "dst").distinct()
+    links = durable(edges.select("src", "dst").distinct())
     open_ = links.where(F.col("src") == start).select(F.array("src", "dst").alias("path"), F.col("dst").alias("at"))
     out = None
     for hop in range(1, longest + 1):
@@ -58,19 +73,19 @@ def paths(edges: DataFrame, start: object, end: object, longest: int = 4) -> Dat
         out = done if out is None else out.unionByName(done)
         if hop < longest:
             more = open_.where(F.col("at") != end).join(links, F.col("at") == F.col("src"))
-            open_ = more.where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"))
+            open_ = durable(more.where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at")))
     return out
 
 
-def clusters(edges: DataFrame, least: int = 3, most_rounds: int = 50) -> DataFrame:
-    """cluster, size, central (highest degree, then smallest): connected components by minimum labels with pointer jumps."""
-    links = undirected(edges).checkpoint()
+def clusters(edges: DataFrame, least: int = 3) -> DataFrame:
+    """cluster, size, central (highest degree, then smallest): connected components by minimum labels with pointer jumps, until no label changes."""
+    links = durable(undirected(edges))
     labels = links.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(most_rounds):
+    while True:
         near = links.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("m"))
         step = labels.join(near, "node").select("node", F.least("label", "m").alias("new"), F.col("label").alias("old"))
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        step = step.join(jump, "new").select("node", F.least("new", "far").alias("label"), "old").checkpoint()
+        step = durable(step.join(jump, "new").select("node", F.least("new", "far").alias("label"), "old"))
         labels = step.select("node", "label")
         if not step.where("label <> old").limit(1).count():
             break
@@ -87,8 +102,8 @@ def cited_per_year(edges: DataFrame, years: DataFrame) -> DataFrame:
 def milestones(edges: DataFrame, share: float = 0.01) -> DataFrame:
     """node, citations: the most cited share of nodes, ties included."""
     cited = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("citations"))
-    bound = cited.agg(F.percentile("citations", 1 - share).alias("b"))
-    return cited.join(F.broadcast(bound), F.col("citations") >= F.col("b")).select("node", "citations")  # one row
+    bound = value_at(cited, "citations", [1 - share])[0]
+    return cited.where(F.col("citations") >= bound).select("node", "citations")
 
 
 def together(rows: DataFrame, group: str, member: str, least: int = 2) -> DataFrame:

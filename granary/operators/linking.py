@@ -16,10 +16,10 @@ from granary.functions.text import jaccard, tokens
 
 
 def first_seen(df: DataFrame, key: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """Of rows with the same key, the first by order."""
-    names = df.columns
-    best = df.groupBy(*key).agg(F.min_by(F.struct(*names), F.struct(*order)).alias("_r"))
-    return best.select("_r.*")
+    """Of rows with the same key, the first by order; rows without a part of the key are all kept."""
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
+    best = df.where(known).groupBy(*key).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_r"))
+    return best.select("_r.*").unionByName(df.where(~known))
 
 
 def union_sources(sources: Sequence[DataFrame]) -> DataFrame:
@@ -51,28 +51,45 @@ def duplicate_cascade(new: DataFrame, existing: DataFrame, keys: Sequence[Sequen
     return out.withColumn("duplicate_of", F.coalesce(*found)).drop(*found).select(*new.columns, "duplicate_of")
 
 
-def similar_titles(left: DataFrame, right: DataFrame, id_col: str, title_col: str, least: float = 0.8) -> DataFrame:
-    """left_id, right_id, similarity: pairs of distinct ids whose titles' token sets have at least this Jaccard similarity.
+def title_classes(df: DataFrame, id_col: str, title_col: str) -> DataFrame:
+    """id, class_id, tokens: the smallest id with the same set of tokens, which is sorted; titles without tokens are left out."""
+    rows = df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(tokens(F.col(title_col)))).alias("tokens")).where("size(tokens) > 0")
+    first = rows.groupBy("tokens").agg(F.min("id").alias("class_id"))
+    return rows.join(first, "tokens").select("id", "class_id", "tokens")
+
+
+def similar_classes(classes: DataFrame, least: float = 0.8) -> DataFrame:
+    """a, b, similarity: pairs (a < b) of classes (class_id, tokens) whose sets have at least this Jaccard similarity.
 
     Prefix filtering: with tokens ordered from rare to frequent, similar sets share a token among their first
-    size - ceil(least * size) + 1, so only those are joined; no pair is lost.
+    size - ceil(least * size) + 1, so only those are joined, as narrow rows of sets of like size; no pair is lost. A
+    frequent token is one key of that join, which adaptive execution splits.
+    """
+    n = F.size("tokens")
+    each = classes.select("class_id", n.alias("n"), F.explode("tokens").alias("w"))
+    df = each.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    ranked = each.join(df, "w").groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
+    keep = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int")
+    keys = ranked.select("class_id", "n", F.explode(F.slice("o", F.lit(1), keep)).alias("e")).select("class_id", "n", F.col("e.w").alias("w"))
+    a, b = keys.select(F.col("class_id").alias("a"), F.col("n").alias("na"), "w"), keys.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), "w")
+    met = a.join(b, "w").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)).select("a", "b").distinct()
+    sets = classes.select("class_id", "tokens")
+    pairs = met.join(sets.select(F.col("class_id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("tokens").alias("tb")), "b")
+    return pairs.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
+
+
+def similar_titles(df: DataFrame, id_col: str, title_col: str, least: float = 0.8) -> DataFrame:
+    """id, class_id, links: of each row its class of equal token sets, and how many other rows have a similar title.
+
+    Pairs are only made between classes, so copies cost nothing further.
     """
-    def sets(df: DataFrame) -> DataFrame:
-        return df.select(F.col(id_col).alias("id"), F.array_distinct(tokens(F.col(title_col))).alias("t")).where("size(t) > 0")
-
-    a, b = sets(left), sets(right)
-    df = a.unionByName(b).select(F.explode("t").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-
-    def prefixes(rows: DataFrame) -> DataFrame:
-        ranked = rows.select("id", "t", F.explode("t").alias("w")).join(df, "w").groupBy("id", "t").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
-        n = F.size("t")
-        keep = (n - F.ceil(F.lit(least) * n - 1e-9) + 1).cast("int")
-        return ranked.select("id", "t", F.explode(F.slice("o", F.lit(1), keep)).alias("e")).select("id", "t", F.col("e.w").alias("w"))
-
-    pa, pb = prefixes(a), prefixes(b)
-    pairs = pa.select(F.col("id").alias("left_id"), F.col("t").alias("ta"), "w").join(pb.select(F.col("id").alias("right_id"), F.col("t").alias("tb"), "w"), "w").where("left_id <> right_id")
-    pairs = pairs.withColumn("similarity", jaccard(F.col("ta"), F.col("tb"))).where(F.col("similarity") >= least - 1e-12)
-    return pairs.select("left_id", "right_id", "similarity").distinct()
+    rows = title_classes(df, id_col, title_col)
+    classes = rows.groupBy("class_id").agg(F.count(F.lit(1)).alias("members"), F.first("tokens").alias("tokens"))
+    pairs = similar_classes(classes, least).select("a", "b")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(classes.select(F.col("class_id").alias("b"), F.col("members").alias("more")), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("more").alias("more"))
+    counts = classes.join(near, "class_id", "left").select("class_id", (F.col("members") - 1 + F.coalesce("more", F.lit(0))).alias("links"))
+    return rows.select("id", "class_id").join(counts, "class_id").select("id", "class_id", "links")
 
 
 def shared_identifiers(df: DataFrame, id_col: str, identifiers: str) -> DataFrame:

@@ -47,11 +47,11 @@ def filter_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where(~P.present(d, "quality")).select("doc_id")
 
 
-@query("""SELECT p_partkey FROM part WHERE p_name LIKE 'part%' AND regexp_full_match(p_brand, 'Brand#[0-9]+') AND contains(lower(p_type), 'e')""")
+@query("""SELECT p_partkey FROM part WHERE p_name LIKE 'small%' AND regexp_full_match(p_brand, 'Brand#[0-9]+') AND contains(lower(p_type), 'e')""")
 def filter_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix, whole-string pattern and substring."""
     p = table(spark, sf_dir, "part")
-    return p.where(F.col("p_name").startswith("part") & F.col("p_brand").rlike("^Brand#[0-9]+$") & P.relevant(F.col("p_type"), ["e"])).select("p_partkey")
+    return p.where(F.col("p_name").startswith("small") & F.col("p_brand").rlike("^Brand#[0-9]+$") & P.relevant(F.col("p_type"), ["e"])).select("p_partkey")
 
 
 @query("""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS ws FROM documents)

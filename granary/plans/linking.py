@@ -10,7 +10,7 @@ from granary.operators import linking as K
 from granary.plans.registry import query, table
 
 
-@query("SELECT text, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY 1".replace("SELECT text, ", "SELECT ").replace("GROUP BY 1", "GROUP BY text"))
+@query("SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY text")
 def first_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of equal texts the first (W8, U6, SC14)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("h"))
@@ -27,12 +27,12 @@ def duplicate_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "duplicate_of")
 
 
-@query("""WITH t AS (SELECT item_id AS id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS t FROM benchmark), d AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(regexp_extract(text, '^([^.\\n]*)', 1)), '[\\p{L}\\p{N}_]+')) AS t FROM documents)
-SELECT a.id AS left_id, b.id AS right_id, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS similarity FROM d a JOIN d b ON a.id <> b.id AND len(a.t) > 0 AND len(b.t) > 0 AND len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.8 - 1e-12""")
+@query("""WITH d AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(regexp_extract(text, '^([^.\\n]*)', 1)), '[\\p{L}\\p{N}_]+'))) AS t FROM documents), k AS (SELECT * FROM d WHERE len(t) > 0), c AS (SELECT t, min(doc_id) AS class_id FROM k GROUP BY 1)
+SELECT doc_id, class_id, (SELECT count(*) FROM k b WHERE b.doc_id <> k.doc_id AND len(list_intersect(k.t, b.t)) / len(list_distinct(list_concat(k.t, b.t))) >= 0.8 - 1e-12) AS links FROM k JOIN c USING (t)""")
 def similar_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles of Jaccard similarity 0.8 and more, by prefix filtering (J5, J8, X3). Equal titles are one class."""
+    """Titles of Jaccard similarity 0.8 and more, by prefix filtering (J5, J8, X3): equal ones are a class, and each row has its number of links."""
     d = table(spark, sf_dir, "documents").select("doc_id", T.title_of(F.col("text")).alias("title"))
-    return K.similar_titles(d, d, "doc_id", "title").select("left_id", "right_id", F.round("similarity", 6).alias("similarity"))
+    return K.similar_titles(d, "doc_id", "title").withColumnRenamed("id", "doc_id")
 
 
 @query("""SELECT o_orderkey, count(l_partkey) AS total, count(*) FILTER (p_size < 20) AS hits, round(count(*) FILTER (p_size < 20) / count(l_partkey), 6) AS ratio FROM (SELECT DISTINCT l_orderkey AS o_orderkey, l_partkey, p_size FROM lineitem LEFT JOIN part ON p_partkey = l_partkey) GROUP BY 1""")
@@ -44,7 +44,7 @@ def reference_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("o_orderkey"), "total", "hits", F.round("ratio", 6).alias("ratio"))
 
 
-@query("""SELECT l_orderkey, list({'id': l_partkey, 'p_brand': p_brand} ORDER BY l_linenumber) AS refs FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size < 30) ON p_partkey = l_partkey WHERE l_orderkey < 400 GROUP BY 1""".replace("list({'id': l_partkey, 'p_brand': p_brand} ORDER BY l_linenumber) AS refs", "string_agg(l_partkey || ':' || coalesce(p_brand, '-'), ',' ORDER BY l_linenumber, l_partkey) AS refs").replace(" WHERE l_orderkey < 400", ""))
+@query("""SELECT l_orderkey, string_agg(l_partkey || ':' || coalesce(p_brand, '-'), ',' ORDER BY l_linenumber, l_partkey) AS refs FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size < 30) ON p_partkey = l_partkey GROUP BY 1""")
 def expanded_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of ids with the metadata of those known, in order (J2, SC11, SC12)."""
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("l"))
@@ -53,12 +53,12 @@ def expanded_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_orderkey", F.array_join(F.transform("refs", lambda r: F.concat_ws(":", r["id"], F.coalesce(r["p_brand"], F.lit("-")))), ",").alias("refs"))
 
 
-@query("""SELECT source, count(*) AS merged, max(n_chars) AS n_chars, arg_max(doc_id, {'l': length(text), 'd': -doc_id}) AS longest, array_to_string(list_sort(list_distinct(list(lang))), ',') AS langs, min(doc_id) AS doc_id FROM documents GROUP BY 1""")
+@query("""SELECT source, count(*) AS merged, max(n_chars) AS n_chars, md5(arg_max(text, {'l': length(text), 'd': -doc_id})) AS longest, array_to_string(list_sort(list_distinct(list(lang))), ',') AS langs, CAST(sum(doc_id) AS BIGINT) AS ids, arg_min(lang, doc_id) AS first_lang FROM documents GROUP BY 1""")
 def merged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups merged by maxima, longest text, unions and first values (AR-1, U5)."""
     d = table(spark, sf_dir, "documents").withColumn("langs", F.array("lang"))
-    out = d.groupBy("source").agg(F.count(F.lit(1)).alias("merged"), F.max("n_chars").alias("n_chars"), F.max_by("doc_id", F.struct(F.length("text"), -F.col("doc_id"))).alias("longest"), F.array_sort(F.collect_set("lang")).alias("langs"), F.min("doc_id").alias("doc_id"))
-    return out.withColumn("langs", F.array_join("langs", ","))
+    out = K.merge_duplicates(d, "source", "doc_id", greatest=["n_chars"], longest=["text"], united=["langs"], summed=["doc_id"], first=["lang"])
+    return out.select("source", "merged", "n_chars", F.md5("text").alias("longest"), F.array_join("langs", ",").alias("langs"), F.col("doc_id").alias("ids"), F.col("lang").alias("first_lang"))
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

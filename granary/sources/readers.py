@@ -18,8 +18,12 @@ ARTICLE = "id string, title string, abstract string, year int, journal string, d
 
 
 def articles_json(spark: SparkSession, path: str) -> DataFrame:
-    """A list of articles, or an object with the list under "articles" (SC26)."""
-    rows = spark.read.text(path, wholetext=True)
+    """Files of a list of articles, or an object with the list under "articles" (SC26)."""
+    return articles_of(spark.read.text(path, wholetext=True))
+
+
+def articles_of(rows: DataFrame) -> DataFrame:
+    """The articles of JSON texts (value) (SC26)."""
     listed = F.from_json("value", f"array<struct<{ARTICLE.replace(' ', ':').replace(',:', ',')}>>")
     held = F.from_json("value", f"struct<articles:array<struct<{ARTICLE.replace(' ', ':').replace(',:', ',')}>>>")
     found = F.when(F.ltrim("value").startswith("["), listed).otherwise(held["articles"])
@@ -33,9 +37,14 @@ def people(text: Column) -> Column:
 
 
 def bibliography(spark: SparkSession, path: str) -> DataFrame:
-    """key, kind, id (pmid, else pubmed, else the key), title, abstract, year, journal, doi, authors, keywords of BibTeX entries (SC23, SC24)."""
+    """Files of BibTeX entries (SC23, SC24)."""
+    return bibliography_of(spark.read.text(path, wholetext=True))
+
+
+def bibliography_of(rows: DataFrame) -> DataFrame:
+    """key, kind, id (pmid, else pubmed, else the key), title, abstract, year, journal, doi, authors, keywords of BibTeX texts (value) (SC23, SC24)."""
     entry = F.explode(F.regexp_extract_all("value", F.lit(r"(?ms)^@(\w+\{.*?)^\}"), F.lit(1)))
-    rows = spark.read.text(path, wholetext=True).select(entry.alias("e"))
+    rows = rows.select(entry.alias("e"))
 
     def field(name: str) -> Column:
         braced = F.regexp_extract("e", rf"(?is)\b{name}\s*=\s*\{{(.*?)\}}\s*,?\s*$(?m)", 1)
@@ -58,8 +67,12 @@ def bibliography(spark: SparkSession, path: str) -> DataFrame:
 
 
 def id_list(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct ids of a text: after "PMID", in addresses that end in digits, and alone on a line (SC25)."""
-    whole = spark.read.text(path, wholetext=True)
+    """Distinct ids of files (SC25)."""
+    return ids_of(spark.read.text(path, wholetext=True))
+
+
+def ids_of(whole: DataFrame) -> DataFrame:
+    """Distinct ids of texts (value): after "PMID", in addresses that end in digits, and alone on a line (SC25)."""
     patterns = (r"(?i)PMID:?\s*(\d{4,9})", r"https?://\S+?/(\d{4,9})/?(?=\s|$)", r"(?m)^\s*(\d{4,9})\s*$")
     found = F.concat(*(F.regexp_extract_all("value", F.lit(p), F.lit(1)) for p in patterns))
     return whole.select(F.explode(found).alias("id")).distinct()
@@ -78,6 +91,28 @@ def record_authors(authors: Column) -> Column:
     return F.transform(authors, lambda a: F.when(a["CollectiveName"].isNotNull(), a["CollectiveName"]).otherwise(F.concat_ws(" ", a["ForeName"], a["LastName"])))
 
 
+def medline(text: Column) -> Column:
+    """Struct of a tagged record's pmid, title, abstract, journal, date, authors and doi (SC10, Z10).
+
+    A field goes on in lines that begin with six spaces. The doi is that of AID, else of LID, else one named in SO.
+    """
+    t = F.coalesce(text, F.lit(""))
+
+    def every(tag: str) -> Column:
+        found = F.regexp_extract_all(t, F.lit(rf"(?m)^{tag} *- (.*(?:\n {{6}}.*)*)$"), F.lit(1))
+        return F.transform(found, lambda x: F.trim(F.regexp_replace(x, r"\s*\n\s+", " ")))
+
+    def one(tag: str) -> Column:
+        return F.get(every(tag), F.lit(0))
+
+    def doi(tag: str) -> Column:
+        found = F.filter(every(tag), lambda x: x.endswith("[doi]"))
+        return F.trim(F.regexp_replace(F.get(found, F.lit(0)), r"\[doi\]$", ""))
+
+    named = F.nullif(F.regexp_extract(F.coalesce(one("SO"), F.lit("")), r"doi: (10\.\S+?)\.?(?:\s|$)", 1), F.lit(""))
+    return F.struct(one("PMID").alias("pmid"), one("TI").alias("title"), one("AB").alias("abstract"), one("JT").alias("journal"), one("DP").alias("date"), every("FAU").alias("authors"), F.coalesce(doi("AID"), doi("LID"), named).alias("doi"))
+
+
 class _Page(HTMLParser):
     """Text, title, description, headings, code and links of a page, however broken its markup."""
 

@@ -113,7 +113,34 @@ def test_similar_titles_match_brute_force(spark):
     df = spark.createDataFrame(titles, "id int, t string")
     sets = {k: set(t.split()) for k, t in titles}
     want = {(a, b) for a in sets for b in sets if a != b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9}
-    assert {(r.left_id, r.right_id) for r in K.similar_titles(df, df, "id", "t").collect()} == want
+    first = {k: min(j for j in sets if sets[j] == sets[k]) for k in sets if sets[k]}
+    rows = {r.id: r for r in K.similar_titles(df, "id", "t").collect()}
+    assert {k: r.class_id for k, r in rows.items()} == first
+    assert {k: r.links for k, r in rows.items()} == {k: sum(a == k for a, _ in want) for k in first}
+    classes = K.title_classes(df, "id", "t").select("class_id", "tokens").distinct()
+    assert {(r.a, r.b) for r in K.similar_classes(classes).collect()} == {(a, b) for a, b in want if a < b and first[a] == a and first[b] == b}
+
+
+def test_rows_without_a_key_are_all_kept(spark):
+    df = spark.createDataFrame([(None, 1, "a"), (None, 2, "b"), ("k", 3, "c"), ("k", 1, "d")], "k string, seq int, v string")
+    assert sorted(r.v for r in K.first_seen(df, ["k"], ["seq"]).collect()) == ["a", "b", "d"]
+
+
+def test_clusters_of_a_long_chain(spark):
+    """Labels go on until none changes, whatever the diameter."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(150)] + [(500, 501), (600, 601), (601, 602)], "src long, dst long")
+    got = sorted((r.cluster, r.size, r.central) for r in G.clusters(edges, 3).collect())
+    assert got == [(0, 151, 1), (600, 3, 601)]
+
+
+def test_percentiles_interpolate_over_ranges(spark):
+    import numpy as np
+
+    values = [float(k * k % 977) for k in range(3000)]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(7)
+    got = {r.key: r.value for r in B.percentiles(df, "v").collect()}
+    assert all(abs(got[f"p{p}"] - np.percentile(values, p)) < 1e-9 for p in B.PERCENTS)
+    assert [r.value for r in B.percentiles(df.where("v < 0"), "v").collect()] == [None] * len(B.PERCENTS)
 
 
 def test_shared_identifiers_prefer_pmids(spark):

@@ -64,6 +64,9 @@ def test_ingest_keeps_the_first_of_each_key(spark, tmp_path):
     spark.createDataFrame([("a", 9, "late"), ("c", 3, "z")], schema).coalesce(1).write.mode("append").parquet(src)
     I.ingest(stream(), out, chk, "k", ["seq"])
     assert sorted((r.k, r.v) for r in spark.read.parquet(out).collect()) == [("a", "first"), ("b", "y"), ("c", "z")]
+    spark.createDataFrame([("c", 1, "again"), ("d", 1, "new"), (None, 1, "no key"), (None, 2, "none either")], schema).coalesce(1).write.mode("append").parquet(src)
+    I.ingest(stream(), out, f"{chk}2", "k", ["seq"])  # another run over the same target: what is there stays, and counts as history
+    assert sorted((r.k or "", r.v) for r in spark.read.parquet(out).collect()) == [("", "no key"), ("", "none either"), ("a", "first"), ("b", "y"), ("c", "z"), ("d", "new")]
 
 
 def test_windows_in_a_stream(spark, tmp_path):
