@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.session import durable, shared_folder
+
 #: White space of the word and line rules: space and \t \n \v \f \r.
 SPACE = " \t\n\x0b\x0c\r"
 #: A word is a longest run of other characters (Java and Python syntax alike).
@@ -24,23 +25,12 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _scratch: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="granary-"))
-    return sc.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder; later reads don't depend on any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+checkpointed = durable
 
 
 def shared_table(spark: SparkSession) -> str:
     """A new path in the shared folder, removed when the application ends in good order."""
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     if not _scratch:
         atexit.register(_clean)
     _scratch.append((spark, path))

@@ -5,8 +5,9 @@ weight vector w serves all grades: P(grade > k) = sigmoid(w x - theta_k) for ord
 and the expected severity is the sum of these probabilities. The weights are at least zero (a word is
 evidence of toxicity or of nothing) and kept sparse by a soft threshold, so long documents don't gather noise; those left are fitted again without it.
 
-The labels say toxic or not; grades 1 to GRADES for training are the thirds of the toxic documents by how many of
-their words are marked, that is far commoner (by document frequency, smoothed) in toxic than in other documents.
+The labels say toxic or not, so the ordinal target is made: grades 1 to GRADES are the thirds of the toxic documents by how
+many of their words are marked, that is far commoner (by document frequency, smoothed) in toxic than in other documents.
+The words are marked by the other half of the sample, so that no document's words decide its own grade.
 
 Training takes a bounded sample (`per_class` labelled documents of each class, outside the held-out fold) on the
 driver with fixed steps. Scoring is a map without a shuffle: only words whose feature has a weight count.
@@ -76,9 +77,13 @@ def contrast(rows: list[Counter[int]], toxic: np.ndarray) -> dict[int, float]:
     return {i: (c + 0.5) / (n[1] + 1) / ((seen[0][i] + 0.5) / (n[0] + 1)) for i, c in seen[1].items() if c >= LEAST}
 
 
-def grades(rows: list[Counter[int]], toxic: np.ndarray, ratio: dict[int, float]) -> np.ndarray:
-    """0 for others; toxic documents by thirds of their marked words."""
-    hits = np.array([sum(v for i, v in row.items() if ratio.get(i, 0) > MARKED) for row in rows])
+def grades(rows: list[Counter[int]], toxic: np.ndarray) -> np.ndarray:
+    """0 for others; toxic documents by thirds of their words that the other half of the sample marks."""
+    half = np.zeros(len(rows), int)
+    for y in (0, 1):  # both halves get as many of each class
+        half[np.flatnonzero(toxic == y)[1::2]] = 1
+    ratios = [contrast([r for r, h in zip(rows, half, strict=True) if h != own], toxic[half != own]) for own in (0, 1)]
+    hits = np.array([sum(v for i, v in row.items() if ratios[h].get(i, 0) > MARKED) for row, h in zip(rows, half.tolist(), strict=True)])
     cuts = np.quantile(hits[toxic == 1], [k / GRADES for k in range(1, GRADES)])
     return np.where(toxic == 1, 1 + (hits[:, None] > cuts[None]).sum(axis=1), 0)
 
@@ -91,7 +96,7 @@ def train(texts: list[str | None], toxic: list[int]) -> Severity:
         return none
     rows = [features(t) for t in texts]
     ratio = contrast(rows, y)
-    over = grades(rows, y, ratio)[:, None] > np.arange(GRADES)[None]  # documents x thresholds
+    over = grades(rows, y)[:, None] > np.arange(GRADES)[None]  # documents x thresholds
     rows = [Counter({i: v for i, v in r.items() if ratio.get(i, 0) > USED}) for r in rows]
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     which, at = np.unique(np.array([i for r in rows for i in r], np.int64), return_inverse=True)

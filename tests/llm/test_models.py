@@ -55,6 +55,20 @@ def test_quality_on_the_held_out_fold(spark):
     assert np.array_equal(net.weights, again.weights)
 
 
+def test_one_text_of_many_megabytes_and_clashing_columns(spark):
+    """Scores don't depend on what else is in the table, on its columns, or on how long another text is."""
+    rng = np.random.default_rng(5)
+    net = byte_cnn.Network.start(rng)
+    docs = spark.createDataFrame([(1, "some words of prose", 0.5, "r"), (3, "row", 0.1, "s")], "doc_id long, text string, score double, row string")
+    long_ = spark.range(1).select(F.lit(2).cast("long").alias("doc_id"), F.repeat(F.lit("many words again, "), F.lit(300_000)).alias("text"), F.lit(0.0).alias("score"), F.lit("x").alias("row"))
+    rows = {r.row.doc_id: r.score for r in byte_cnn.score(docs.unionByName(long_), net, F.struct("doc_id", "score", "row").alias("row")).collect()}
+    alone = byte_cnn._sigmoid(byte_cnn.logits(net, [b"some words of prose", b"many words again, " * 300_000, b"row"]))
+    assert np.allclose([rows[k] for k in (1, 2, 3)], alone, atol=1e-5)
+    model = toxicity.Severity({toxicity.zlib.crc32(b"again") % toxicity.DIMS: 1.0}, (2.0, 5.0, 9.0))
+    graded = {r.row.doc_id: r for r in toxicity.grade(docs.unionByName(long_), model, F.struct("doc_id", "score", "row").alias("row")).collect()}
+    assert graded[1].grade == 0 and graded[2].grade == 3 and abs(graded[2].severity - sum(1 / (1 + np.exp(t - 1 - np.log(300_000))) for t in (2, 5, 9))) < 1e-9
+
+
 def test_scores_of_odd_inputs(spark):
     docs = spark.createDataFrame([(1, None, 0.5), (None, "", 0.5), (2, "x" * 50_000, 0.5), (2, "x" * 50_000, 0.5)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -94,6 +108,47 @@ def test_severity_follows_the_marked_words():
     assert mean(0, 0) < mean(1, 2) < mean(3, 5) < mean(6, 9)
 
 
+def test_a_documents_words_do_not_decide_its_own_grade():
+    """A word that only one toxic document repeats is marked by nothing else; words of many are."""
+    rng = random.Random(3)
+    texts, hits = planted(rng, 400)
+    toxic = np.array([int(h > 0) for h in hits])
+    own = int(np.flatnonzero(toxic)[0])
+    texts[own] += " uncommon" * 500
+    graded = toxicity.grades([toxicity.features(t) for t in texts], toxic)
+    assert set(graded[toxic == 0]) == {0} and set(graded[toxic == 1]) == {1, 2, 3}
+    low, high = ([h for h, g in zip(hits, graded.tolist(), strict=True) if g == k] for k in (1, 3))
+    assert np.mean(low) + 2 < np.mean(high) and abs(graded[own] - graded[[i for i, h in enumerate(hits) if h == hits[own] and i != own]].mean()) < 1.5
+
+
+def plain_loss(theta, w, x, over, weight):
+    """The mean log loss of the cumulative links, written out."""
+    score = x @ w
+    p = 1 / (1 + np.exp(-(score[:, None] - theta)))
+    return -(np.where(over, np.log(p), np.log(1 - p)) * weight * toxicity.FIRST).sum()
+
+
+def test_the_fit_is_near_the_least_loss():
+    """From the fitted weights and thresholds no small step lowers the loss by much: gradients by differences."""
+    rng = random.Random(2)
+    texts, hits = planted(rng, 300)
+    y = np.array([int(h > 0) for h in hits])
+    model = toxicity.train(texts, y.tolist())
+    rows = [toxicity.features(t) for t in texts]
+    x = np.array([[1 + np.log(r[i]) if i in r else 0.0 for i in model.weights] for r in rows])
+    w, theta = np.array(list(model.weights.values())), np.array(model.thresholds)
+    over = toxicity.grades(rows, y)[:, None] > np.arange(toxicity.GRADES)[None]
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))[:, None] / len(y)
+    loss = plain_loss(theta, w, x, over, weight)
+    start = plain_loss(np.arange(toxicity.GRADES) + 0.0, 0 * w, x, over, weight)
+    assert loss < 0.3 * start
+    for k in range(len(w)):
+        for step in (-0.05, 0.05):
+            other = w.copy()
+            other[k] += step
+            assert plain_loss(theta, other, x, over, weight) > loss - 0.02 * start
+
+
 def test_toxicity_on_the_held_out_fold(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels)
