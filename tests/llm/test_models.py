@@ -201,3 +201,21 @@ def test_stage_effects(stages):
     assert after.dropDuplicates().exceptAll(before).count() == 0
     before, after = stages["packing"]
     assert after.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
+
+
+def test_the_pipeline_on_no_documents_and_on_odd_ones(spark, tmp_path):
+    """Empty tables give empty ones; several rows without an id, equal ids and columns of clashing names pass through."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    for name, some in (("documents", docs.limit(0)), ("labels", labels)):
+        some.write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    more = docs.limit(40).withColumn("uid", F.lit("u")).withColumn("root", F.lit(1)).withColumn("epoch", F.lit(2)).withColumn("row", F.lit("r"))
+    odd = more.limit(3).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.concat(F.lit("Something else entirely number "), F.col("n_chars").cast("string"), F.lit(" and yet another thing to be said.")))
+    docs = more.unionByName(odd).unionByName(odd.withColumn("doc_id", F.lit(7).cast("long")).withColumn("text", F.reverse("text")))
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        if name == "simhash_near_dedup":
+            assert out.where("doc_id is null").count() == 3 and out.where("doc_id = 7 and text like '.dias eb%'").count() == 3
+        docs = out
+    assert corpus_pipeline.STAGES[4][1](spark, docs, SF).count() > 0
