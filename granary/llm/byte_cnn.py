@@ -32,8 +32,8 @@ CHUNK, STRIDE = 512, 448
 LAGS = range(3, 25)
 #: Zero bytes between the texts of a slab: wider than the filters and the lags.
 GAP = 32
-#: Bytes that are scored at once.
-SLAB = 1 << 18
+#: Bytes that are scored at once, and chunks of a text in one piece of them.
+SLAB, PIECE_CHUNKS = 1 << 18, 512
 PER_CLASS, CHUNKS_EACH, EPOCHS, BATCH, RATE = 1200, 5, 14, 32, 0.01
 #: The score from which a document counts as good.
 THRESHOLD = 0.7
@@ -153,37 +153,45 @@ def train(texts: list[bytes], good: list[int], seed: int = 7) -> Network:
     return net
 
 
+def _pieces(texts: list[bytes]) -> Iterator[tuple[int, bytes, list[tuple[int, int]]]]:
+    """(text, bytes, chunks): a text in pieces of at most PIECE_CHUNKS chunks, each with the bytes around it that its symbols and filters see."""
+    for i, text in enumerate(texts):
+        bounds = chunk_bounds(len(text))
+        for at in range(0, len(bounds), PIECE_CHUNKS):
+            part = bounds[at : at + PIECE_CHUNKS]
+            low = max(0, part[0][0] - GAP)
+            yield i, text[low : part[-1][1] + WIDTH + 8], [(a - low, b - low) for a, b in part]
+
+
 def logits(net: Network, texts: list[bytes], tables: list[np.ndarray] | None = None) -> np.ndarray:
     """One logit a text, over all its chunks."""
     tables = tables or net.tables()
-    out = np.zeros(len(texts))
-    at = 0
-    while at < len(texts):
-        stop, size = at, 0
-        while stop < len(texts) and (stop == at or size + len(texts[stop]) < SLAB):
-            size += len(texts[stop]) + GAP
-            stop += 1
-        symbol = symbols(np.frombuffer((bytes(GAP)).join(texts[at:stop]) + bytes(GAP), np.uint8))
-        bounds, owner, base = [], [], 0
-        for i in range(at, stop):
-            for a, b in chunk_bounds(len(texts[i])):
-                bounds += [base + a, base + b]
-                owner.append(i - at)
-            base += len(texts[i]) + GAP
-        top = np.empty((len(owner), FILTERS), np.float32)
-        spans = np.array(bounds).reshape(-1, 2)
-        step = 4 * SLAB // CHUNK  # a very long text goes in pieces
-        for c in range(0, len(spans), step):
-            part = spans[c : c + step]
-            low, high = part[0, 0], part[-1, 1] + WIDTH
-            top[c : c + step] = np.maximum.reduceat(convolve(tables, net.bias, symbol[low:high]), (part - low).ravel(), axis=0)[::2]
-        act = np.maximum(top, 0).astype(np.float64)
+    most, total, count = np.zeros((len(texts), FILTERS)), np.zeros((len(texts), FILTERS)), np.zeros(len(texts))
+
+    def take(held: list[tuple[int, bytes, list[tuple[int, int]]]]) -> None:
+        symbol = symbols(np.frombuffer(bytes(GAP).join(data for _, data, _ in held) + bytes(GAP), np.uint8))
+        spans, owner, base = [], [], 0
+        for i, data, chunks in held:
+            spans += [x for a, b in chunks for x in (base + a, base + b)]
+            owner += [i] * len(chunks)
+            base += len(data) + GAP
+        act = np.maximum(np.maximum.reduceat(convolve(tables, net.bias, symbol), spans, axis=0)[::2], 0).astype(np.float64)
         first = np.flatnonzero(np.diff(owner, prepend=-1))
-        most = np.maximum.reduceat(act, first, axis=0)
-        mean = np.add.reduceat(act, first, axis=0) / np.diff(np.append(first, len(owner)))[:, None]
-        out[at:stop] = np.concatenate([most, mean], axis=1) @ net.weights + net.offset
-        at = stop
-    return out
+        own = np.array(owner)[first]
+        most[own] = np.maximum(most[own], np.maximum.reduceat(act, first, axis=0))
+        total[own] += np.add.reduceat(act, first, axis=0)
+        count[own] += np.diff(np.append(first, len(owner)))
+
+    held, size = [], 0
+    for piece in _pieces(texts):
+        if held and size + len(piece[1]) > SLAB:
+            take(held)
+            held, size = [], 0
+        held.append(piece)
+        size += len(piece[1]) + GAP
+    if held:
+        take(held)
+    return np.concatenate([most, total / np.maximum(count, 1)[:, None]], axis=1) @ net.weights + net.offset
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

@@ -36,11 +36,17 @@ def plain_logit(net, text):
     return np.concatenate([np.max(tops, axis=0), np.mean(tops, axis=0)]) @ net.weights + net.offset
 
 
-def test_batched_scores_equal_plain_ones():
+def test_batched_scores_equal_plain_ones(monkeypatch):
     rng = np.random.default_rng(0)
     net = byte_cnn.Network.start(rng)
     texts = [b"", b"a", b"short text", bytes(rng.integers(32, 120, 700, dtype=np.uint8)), "Äé ".encode() * 200, b"again " * 300]
     assert np.allclose(byte_cnn.logits(net, texts), [plain_logit(net, t) for t in texts], atol=1e-4)
+    texts.append(b"words said again and words said once more " * 90)
+    want = [plain_logit(net, t) for t in texts]
+    for chunks, slab in ((1, 1), (3, 1500)):  # long texts in pieces
+        monkeypatch.setattr(byte_cnn, "PIECE_CHUNKS", chunks)
+        monkeypatch.setattr(byte_cnn, "SLAB", slab)
+        assert np.allclose(byte_cnn.logits(net, texts), want, atol=1e-4)
 
 
 def test_quality_on_the_held_out_fold(spark):
