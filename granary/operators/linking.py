@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.text import jaccard, tokens
+from granary.functions.text import jaccard, normalised, tokens
 
 
 def first_seen(df: DataFrame, key: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -106,6 +106,21 @@ def shared_identifiers(df: DataFrame, id_col: str, identifiers: str) -> DataFram
     return pairs.groupBy("left_id", "right_id").agg(F.min("rank").alias("rank")).select("left_id", "right_id", F.element_at(names, F.col("rank") + 1).alias("kind"))
 
 
+def named_in(texts: DataFrame, text_id: str, text: str, titles: DataFrame, title_id: str, title: str) -> DataFrame:
+    """text_id, title_id: which texts have which titles, of three words at least, as whole words.
+
+    Titles meet the texts that have their first three words in a row, by an equi-join of narrow rows; only those are compared.
+    """
+    whole = texts.select(F.col(text_id).alias("text_id"), normalised(F.col(text)).alias("t"))
+    named = titles.select(F.col(title_id).alias("title_id"), normalised(F.col(title)).alias("n")).withColumn("w", F.split("n", " ")).where("size(w) > 2")
+    words = F.split("t", " ")
+    grams = F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)))
+    rows = whole.select("text_id", F.explode(F.array_distinct(grams)).alias("gram"))
+    met = rows.join(named.select("title_id", F.array_join(F.slice("w", 1, 3), " ").alias("gram")), "gram").select("text_id", "title_id").distinct()
+    pairs = met.join(named.select("title_id", "n"), "title_id").join(whole, "text_id")
+    return pairs.where(F.contains(F.concat(F.lit(" "), "t", F.lit(" ")), F.concat(F.lit(" "), "n", F.lit(" ")))).select("text_id", "title_id")
+
+
 def overlap(df: DataFrame, id_col: str, ids: str, known: DataFrame, known_id: str) -> DataFrame:
     """id, total, hits, ratio: how many of the ids are in the known set."""
     rows = df.select(F.col(id_col).alias("id"), F.explode_outer(F.array_distinct(ids)).alias("ref"))

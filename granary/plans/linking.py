@@ -65,3 +65,15 @@ def merged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose key isn't known yet."""
     return K.not_known(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source")
+
+
+_NORMAL = "trim(regexp_replace(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_NORMAL.format("text")} AS t FROM documents), n AS (SELECT item_id, {_NORMAL.format("regexp_extract(text, '^([^.]*)', 1)")} AS n FROM benchmark)
+SELECT doc_id, item_id FROM t JOIN n ON contains(' ' || t || ' ', ' ' || n || ' ') WHERE len(string_split(n, ' ')) > 2""")
+def named_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts name which titles."""
+    titles = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract("text", "^([^.]*)", 1).alias("title"))
+    out = K.named_in(table(spark, sf_dir, "documents"), "doc_id", "text", titles, "item_id", "title")
+    return out.select(F.col("text_id").alias("doc_id"), F.col("title_id").alias("item_id"))
