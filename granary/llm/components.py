@@ -43,17 +43,26 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a > b").distinct()
 
 
+#: Edges of a partition, at most about: a small table needs few tasks and files.
+ROWS = 20_000
+
+
+def _sign(edges: DataFrame) -> tuple:
+    """Number and fingerprint of the edges."""
+    return edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.expr("b % 1000003"))).first()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b: long) to (node, root): the smallest node that each node reaches. Nodes without an edge are left out.
 
     Only counters come to the driver. A hub with very many edges is one key of a join, which adaptive execution splits.
     """
     edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    sign = None
-    while True:
-        edges = checkpointed(_star(_star(edges, True), False))
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.expr("b % 1000003"))).first()
-        if now == sign or not now[0]:
+    sign = _sign(edges)
+    while sign[0]:  # edges that already hang on their smallest node stay as they are, and one step shows it
+        before = sign
+        edges = checkpointed(_star(_star(edges, True), False).coalesce(max(1, -(-sign[0] // ROWS))))
+        sign = _sign(edges)
+        if sign == before:
             break
-        sign = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
