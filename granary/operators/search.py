@@ -102,7 +102,10 @@ def fuzzy_weights(index: Index, field: str, terms: Sequence[str], most: int = 50
 
 
 def indexed_more_like(index: Index, docs: DataFrame, id_col: str, text: Column, field: str, doc_id: object, size: int = 5, most_terms: int = 12) -> DataFrame:
-    """id, score: the documents that share most of this one's weightiest terms (R7); the terms come from its text, all else from the index."""
+    """id, score: the documents that share most of this one's weightiest terms (R7); the terms come from its text, all else from the index.
+
+    Scores have six places, so that copies tie.
+    """
     n, _ = index.numbers[field]
     own = docs.where(F.col(id_col) == doc_id).select(F.explode(tokens(text)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("own"))
     known = index.vocabulary.where(F.col("field") == field).join(F.broadcast(own), "term")  # one document's words
@@ -112,7 +115,7 @@ def indexed_more_like(index: Index, docs: DataFrame, id_col: str, text: Column,
         return index.postings.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
     weights = F.create_map(*(F.lit(x) for pair in top.items() for x in pair))
     rows = _of_terms(index.postings, field, sorted(top)).where(F.col("id") != doc_id)
-    return rows.groupBy("id").agg(F.sum(weights[F.col("term")]).alias("score")).orderBy(F.desc("score"), "id").limit(size)
+    return rows.groupBy("id").agg(F.round(F.sum(weights[F.col("term")]), 6).alias("score")).orderBy(F.desc("score"), "id").limit(size)
 
 
 def request(scored: DataFrame, docs: DataFrame, id_col: str, where: Column | None = None, sort: str = "relevance", date: str | None = None, size: int = 10, offset: int = 0) -> DataFrame:
