@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import byte_cnn, chat, exact_dedup, line_dedup, mixing, packing, quality_rules, simhash, token_output, toxicity
+from granary.llm import byte_cnn, chat, collocations, dominance_packing, exact_dedup, line_dedup, mixing, packing, quality_rules, resampling, simhash, token_output, toxicity
 from granary.llm.common import shared_table
 
 
@@ -87,7 +87,21 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_toxicity, op4_line_dedup, op5_token_output, op6_exact_dedup, op7_mixing, op8_quality_rules, op9_quality_classifier, op10_chat)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_fewest_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dominance_packing.pack_fewest(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+_ALL = (op1_simhash, op2_packing, op3_toxicity, op4_line_dedup, op5_token_output, op6_exact_dedup, op7_mixing, op8_quality_rules, op9_quality_classifier, op10_chat, op11_resampling, op12_collocations, op13_fewest_sequences)
+QUERIES = {f.__name__: f for f in _ALL}
 
 
 def _mixing_sql() -> str:
@@ -186,4 +200,51 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY k) AS keep_id, count(*) OVER (PART
 FROM t""",
     "op7_mixing": _mixing_sql(),
     "op10_chat": _chat_sql(),
+    "op11_resampling": f"""
+WITH tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), bench AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), df AS (
+  SELECT r, unnest(w || list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM docs
+), bf AS (
+  SELECT unnest(w || list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM bench
+), hashed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, octet_length(encode(f)) + 1), lambda i: CAST('0x' || substr(hex(encode(f)), 2 * i - 1, 2) AS BIGINT))),
+         lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 10000 AS b
+  FROM (SELECT f FROM df UNION SELECT f FROM bf), tab
+), s AS (SELECT b, count(*) AS s FROM df JOIN hashed USING (f) GROUP BY 1
+), t AS (SELECT b, count(*) AS t FROM bf JOIN hashed USING (f) GROUP BY 1
+), gain AS (
+  SELECT b, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM df) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bf) + 10000)::DOUBLE))) AS BIGINT) AS g
+  FROM s FULL JOIN t USING (b)
+), sums AS (SELECT r, count(*) AS n, sum(g) AS g FROM df JOIN hashed USING (f) JOIN gain USING (b) GROUP BY 1
+), scored AS (
+  SELECT doc_id, len(w) >= 20 AS may, coalesce(n, 0) AS n_features, coalesce(CAST(floor(g / n) AS BIGINT), 0) AS weight,
+         CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('7:' || doc_id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS noise
+  FROM docs LEFT JOIN sums USING (r)
+), placed AS (
+  SELECT *, weight + noise AS score, row_number() OVER (PARTITION BY may ORDER BY weight + noise DESC, doc_id) AS place, sum(CASE WHEN may THEN 1 ELSE 0 END) OVER () AS eligible FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN may AND place <= 25 * eligible // 100 THEN place END AS rank FROM placed""",
+    "op12_collocations": f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  {" UNION ALL ".join(f"SELECT lang, {k} AS m, unnest(list_transform(range(1, greatest(len(w) - {k - 2}, 1)), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS phrase FROM w" for k in range(1, 6))}
+), f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100
+), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1
+), c AS MATERIALIZED (SELECT * FROM f WHERE m > 1
+), cuts AS MATERIALIZED (SELECT c.*, string_split(phrase, ' ') AS ws, unnest(range(1, m)) AS k FROM c
+), cut AS MATERIALIZED (
+  SELECT x.lang, x.phrase, x.f AS a, x.k, l.f AS l, r.f AS r, n, 1000::HUGEINT * x.f * n // (l.f::HUGEINT * r.f) AS score
+  FROM cuts x JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(ws[1:k], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(ws[k + 1:], ' ') JOIN totals t ON t.lang = x.lang
+), weakest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), kept AS (
+  SELECT * FROM weakest x WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = x.lang AND c.f = x.a AND c.phrase <> x.phrase AND contains(' ' || c.phrase || ' ', ' ' || x.phrase || ' '))
+), placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM placed WHERE rank <= 2000""",
 }
