@@ -45,7 +45,8 @@ def n_grams(words: Column, most: int) -> Column:
 
 def bucket_counts(texts: DataFrame, text_col: str, buckets: int, most: int, name: str) -> DataFrame:
     """(bucket, <name>): how many features of all texts fall into each bucket that has any."""
-    each = texts.select(F.explode(n_grams(words_of(F.col(f"`{text_col}`")), most)).alias("feature"))
+    words = texts.select(words_of(F.col(f"`{text_col}`")).alias("words"))  # a column of its own, so that it is made once
+    each = words.select(F.explode(n_grams(F.col("words"), most)).alias("feature"))
     return each.groupBy((F.crc32("feature") % buckets).alias("bucket")).agg(F.count(F.lit(1)).alias(name))
 
 
@@ -54,7 +55,7 @@ def gain_table(docs: DataFrame, target: DataFrame, text_col: str = "text", targe
     raw, wanted = bucket_counts(docs, text_col, buckets, most, "s"), bucket_counts(target, target_col, buckets, most, "t")
     every = docs.sparkSession.range(0, buckets, 1, 1).select(F.col("id").alias("bucket"))
     counts = every.join(raw, "bucket", "left").join(wanted, "bucket", "left").na.fill(0, ["s", "t"])
-    counts = checkpointed(counts.coalesce(1))  # one row a bucket
+    counts = checkpointed(counts)  # one row a bucket
     all_raw, all_wanted = counts.agg(F.sum("s"), F.sum("t")).first()
     ratio = (F.col("t") + F.lit(1.0)) * F.lit(float(all_raw + buckets)) / ((F.col("s") + F.lit(1.0)) * F.lit(float(all_wanted + buckets)))
     return counts.select("bucket", F.floor(F.lit(1000.0) * F.log(ratio)).cast("long").alias("gain"))
@@ -70,9 +71,10 @@ def noise(key: Column, seed: int) -> Column:
 def weights(rows: DataFrame, gains: DataFrame, text: Column, most: int = MOST, buckets: int = BUCKETS) -> DataFrame:
     """(uid, id, n_words, n_features, weight) of rows (uid, id, and what `text` needs)."""
     words = rows.select("uid", "id", words_of(text).alias("words"))
-    each = words.select("uid", "id", F.size("words").cast("long").alias("n_words"), F.explode_outer(n_grams(F.col("words"), most)).alias("feature"))
+    grams = words.select("uid", "id", F.size("words").cast("long").alias("n_words"), n_grams(F.col("words"), most).alias("grams"))
+    each = grams.select("uid", "id", "n_words", F.explode_outer("grams").alias("feature"))
     each = each.select("uid", "id", "n_words", (F.crc32("feature") % buckets).alias("bucket")).join(F.broadcast(gains), "bucket", "left")
-    sums = each.groupBy("uid", "id", "n_words").agg(F.count("bucket").alias("n_features"), F.coalesce(F.sum("gain"), F.lit(0)).cast("long").alias("total"))
+    sums = each.groupBy("uid").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.count("bucket").alias("n_features"), F.coalesce(F.sum("gain"), F.lit(0)).cast("long").alias("total"))
     mean = F.when(F.col("n_features") > 0, F.expr("(total - pmod(total, n_features)) div n_features")).otherwise(F.lit(0))  # floors go down
     return sums.select("uid", "id", "n_words", "n_features", mean.cast("long").alias("weight"))
 
@@ -87,7 +89,7 @@ def ranked(scored: DataFrame, percent: int = PERCENT, least_words: int = LEAST_W
     placed = stored(order.withColumn("at", F.monotonically_increasing_id()))
     placed = placed.withColumn("part", F.shiftright("at", _PLACE_BITS)).withColumn("place", F.col("at").bitwiseAND((1 << _PLACE_BITS) - 1))
     parts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.count_if("may").alias("eligible"))  # one row a partition
-    parts = checkpointed(parts.coalesce(1))
+    parts = checkpointed(parts)
     drawn = percent * (parts.agg(F.sum("eligible")).first()[0] or 0) // 100
     before = F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = parts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
