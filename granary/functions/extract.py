@@ -120,13 +120,24 @@ def readme_quality(facts: Column, n_chars: Column) -> Column:
 
 
 #: Fixed patterns of documentation types, in order; the first that matches counts.
-DOC_TYPES = (("tutorial", r"tutorial|walkthrough|step[- ]by[- ]step"), ("guide", r"guide|how[- ]to|getting started"), ("reference", r"\bapi\b|reference|specification"), ("faq", r"\bfaq\b|frequently asked"), ("release", r"release notes|changelog"), ("install", r"install|setup|configuration"), ("example", r"example|sample|demo"), ("overview", r"overview|introduction|about"))
+DOC_TYPES = (
+    ("tutorial", r"tutorial|guide|how[-\s]?to|getting[-\s]?started|quickstart"),
+    ("api", r"api|reference|specification|interface"),
+    ("installation", r"install|setup|configuration|deploy"),
+    ("concept", r"concept|overview|introduction|about"),
+    ("faq", r"faq|frequently[-\s]?asked|questions"),
+    ("troubleshooting", r"troubleshoot|debug|error|issue|problem"),
+    ("example", r"example|sample|demo|use[-\s]?case"),
+    ("best_practice", r"best[-\s]?practice|recommendation|guideline"),
+)
+#: What a page is that no pattern names.
+OTHER_DOC_TYPE = "reference"
 
 
 def doc_type(title: Column, url: Column, content: Column) -> Column:
-    """By title, address and the beginning of the content."""
+    """By title, address and the first 1000 characters of the content together, so an address alone decides too."""
     text = F.lower(F.concat_ws(" ", _s(title), _s(url), F.substring(_s(content), 1, 1000)))
-    out = F.lit("documentation")
+    out = F.lit(OTHER_DOC_TYPE)
     for name, pattern in reversed(DOC_TYPES):
         out = F.when(text.rlike(pattern), name).otherwise(out)
     return out

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import tokens
+from granary.session import durable
 
 
 def confusion(df: DataFrame, label: Column, predicted: Column) -> DataFrame:
@@ -29,10 +30,20 @@ def confusion(df: DataFrame, label: Column, predicted: Column) -> DataFrame:
 
 
 def score_spread(df: DataFrame, by: str, score: str) -> DataFrame:
-    """by, least, upper median and largest score."""
-    up = Window.partitionBy(by).orderBy(score)
-    rows = df.where(F.col(score).isNotNull()).select(by, score).withColumn("i", F.row_number().over(up) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(by)))
-    return rows.groupBy(by).agg(F.min(score).alias("least"), F.max(F.when(F.col("i") == F.floor(F.col("n") / 2), F.col(score))).alias("median"), F.max(score).alias("most"))
+    """by, least, upper median and largest score.
+
+    Values are counted by class and sorted by range of class and value; a range's running count starts from its class's rows in
+    those before, so no task holds a whole class.
+    """
+    counts = df.where(F.col(score).isNotNull()).groupBy(by, score).agg(F.count(F.lit(1)).alias("n"))
+    counts = durable(counts.repartitionByRange(by, score).withColumn("part", F.spark_partition_id()))
+    of_class = Window.partitionBy(by)
+    parts = counts.groupBy(by, "part").agg(F.sum("n").alias("rows"))  # one row a class and range
+    parts = parts.select(F.col(by).alias("_by"), F.col("part").alias("_part"), (F.sum("rows").over(of_class.orderBy("part")) - F.col("rows")).alias("before"), F.sum("rows").over(of_class).alias("all"))
+    placed = counts.join(parts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("part") == F.col("_part")))
+    until = F.sum("n").over(Window.partitionBy("part", by).orderBy(score)) + F.col("before")
+    middle = F.when(F.col("until") > F.floor(F.col("all") / 2), F.col(score))
+    return placed.withColumn("until", until).groupBy(by).agg(F.min(score).alias("least"), F.min(middle).alias("median"), F.max(score).alias("most"))
 
 
 def thresholds(df: DataFrame, score: str, label: str, steps: int = 20) -> DataFrame:
@@ -48,14 +59,14 @@ def thresholds(df: DataFrame, score: str, label: str, steps: int = 20) -> DataFr
 
 def grams(text: Column, most: int = 3) -> Column:
     """Distinct word n-grams of 1 to `most` words."""
-    t = tokens(text)
 
-    def of(n: int) -> Column:
+    def of(t: Column, n: int) -> Column:
         if n == 1:
             return t
         return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - n + 1)), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(*(of(n) for n in range(1, most + 1))))
+    # bound once by a one-element transform, so that a text isn't split again for each gram
+    return F.get(F.transform(F.array(tokens(text)), lambda t: F.array_distinct(F.concat(*(of(t, n) for n in range(1, most + 1))))), 0)
 
 
 def term_statistics(df: DataFrame, text: str, label: str, most: int = 1, least_docs: int = 3) -> DataFrame:
@@ -92,23 +103,12 @@ def matches_query(text: Column, query: Sequence[Sequence[str]]) -> Column:
 def greedy_cover(df: DataFrame, text: str, queries: Sequence[Sequence[Sequence[str]]], target: float = 0.9, most: int = 15) -> list[tuple[int, int, float]]:
     """(query, newly covered, recall so far): the query that covers most of what is left, until target or most.
 
-    One scan turns each document into the bits of the queries that match it; the loop runs over the counts of distinct
-    bit sets of at most 60 queries, which is what comes to the driver.
+    One scan turns each document into the list of the queries that match it; query_learning.cover counts in rounds.
     """
-    if len(queries) > 60:
-        raise ValueError("at most 60 candidate queries")
-    bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(matches_query(F.col(text), q), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, q in enumerate(queries)])
-    sets = [(r[0], r[1]) for r in df.groupBy(bits.alias("b")).agg(F.count(F.lit(1))).collect()]
-    total, covered, left, out = sum(n for _, n in sets), 0, sets, []
-    while len(out) < most and covered < target * total:
-        gains = [sum(n for b, n in left if b >> i & 1) for i in range(len(queries))]
-        best = max(range(len(queries)), key=lambda i: (gains[i], -i))
-        if not gains[best]:
-            break
-        covered += gains[best]
-        out.append((best, gains[best], covered / total))
-        left = [(b, n) for b, n in left if not b >> best & 1]
-    return out
+    from granary.operators.query_learning import cover
+
+    hits = F.array_compact(F.array(*(F.when(matches_query(F.col(text), q), F.lit(i)) for i, q in enumerate(queries))))
+    return [(r["query"], r["new_matches"], r["recall"]) for r in cover(df.select(hits.alias("queries")), target, most)]
 
 
 #: Fixed patterns of study texts.

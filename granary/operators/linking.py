@@ -142,7 +142,10 @@ def merge_duplicates(df: DataFrame, key: str, order: str, greatest: Sequence[str
     """One row per key: maxima, longest texts, sorted unions of arrays, sums, and the first row's values (AR-1, U5)."""
     aggs = [F.max(c).alias(c) for c in greatest]
     aggs += [F.max_by(c, F.struct(F.length(F.coalesce(c, F.lit(""))), -F.col(order))).alias(c) for c in longest]
-    aggs += [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in united]
     aggs += [F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in summed]
     aggs += [F.min_by(c, order).alias(c) for c in first]
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("merged"), *aggs)
+    out = df.groupBy(key).agg(F.count(F.lit(1)).alias("merged"), *aggs)
+    for c in united:  # a row an element, so that only distinct ones meet in a group's row
+        each = df.select(F.col(key).alias("_key"), F.explode(c).alias("_e")).distinct().groupBy("_key").agg(F.array_sort(F.collect_list("_e")).alias(c))
+        out = out.join(each, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key").withColumn(c, F.coalesce(c, F.array().cast(df.schema[c].dataType)))
+    return out.select(key, "merged", *greatest, *longest, *united, *summed, *first)

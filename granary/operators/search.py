@@ -44,11 +44,11 @@ def _bucket(term: Column) -> Column:
 
 
 def write_index(docs: DataFrame, id_col: str, fields: dict[str, Column], path: str) -> None:
-    """Tokenises each field once; a document's counts are made before the shuffle, by term bucket."""
+    """Tokenises each field once; a document's counts are made before the shuffle, by ranges of term and id, so a common word is several tasks."""
     each = F.array(*(F.struct(F.lit(name).alias("field"), tokens(text).alias("t")) for name, text in fields.items()))
     rows = docs.select(F.col(id_col).alias("id"), F.explode(each).alias("e")).select("id", "e.field", F.size("e.t").alias("len"), "e.t")
     counts = rows.select("id", "field", "len", F.explode("t").alias("term")).groupBy("field", "term", "id", "len").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    counts = counts.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", "term").sortWithinPartitions("bucket", "field", "term")
+    counts = counts.withColumn("bucket", _bucket(F.col("term"))).repartitionByRange("bucket", "field", "term", "id").sortWithinPartitions("bucket", "field", "term", "id")
     counts.write.partitionBy("bucket").parquet(f"{path}/postings")
     stored = docs.sparkSession.read.parquet(f"{path}/postings")
     vocabulary = stored.groupBy("bucket", "field", "term").agg(F.count(F.lit(1)).alias("df"))

@@ -40,8 +40,15 @@ def cited_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", dois.alias("dois"), version.alias("version"), calls.alias("calls"))
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(t, 'tutorial|walkthrough|step[- ]by[- ]step') THEN 'tutorial' WHEN regexp_matches(t, 'guide|how[- ]to|getting started') THEN 'guide' WHEN regexp_matches(t, '\\bapi\\b|reference|specification') THEN 'reference' WHEN regexp_matches(t, '\\bfaq\\b|frequently asked') THEN 'faq'
-WHEN regexp_matches(t, 'release notes|changelog') THEN 'release' WHEN regexp_matches(t, 'install|setup|configuration') THEN 'install' WHEN regexp_matches(t, 'example|sample|demo') THEN 'example' WHEN regexp_matches(t, 'overview|introduction|about') THEN 'overview' ELSE 'documentation' END AS doc_type,
+@query("""SELECT doc_id, CASE WHEN regexp_matches(t, 'tutorial|guide|how[-\\s]?to|getting[-\\s]?started|quickstart') THEN 'tutorial'
+WHEN regexp_matches(t, 'api|reference|specification|interface') THEN 'api'
+WHEN regexp_matches(t, 'install|setup|configuration|deploy') THEN 'installation'
+WHEN regexp_matches(t, 'concept|overview|introduction|about') THEN 'concept'
+WHEN regexp_matches(t, 'faq|frequently[-\\s]?asked|questions') THEN 'faq'
+WHEN regexp_matches(t, 'troubleshoot|debug|error|issue|problem') THEN 'troubleshooting'
+WHEN regexp_matches(t, 'example|sample|demo|use[-\\s]?case') THEN 'example'
+WHEN regexp_matches(t, 'best[-\\s]?practice|recommendation|guideline') THEN 'best_practice'
+ELSE 'reference' END AS doc_type,
 CASE WHEN CAST(contains(l, 'th') AS INT) + CAST(contains(l, 'sch') AS INT) >= 2 THEN 'advanced' WHEN CAST(contains(l, 'the') AS INT) + CAST(contains(l, 'and') AS INT) >= 2 THEN 'beginner' ELSE 'intermediate' END AS complexity
 FROM (SELECT doc_id, lower(source || ' ' || CASE doc_id % 4 WHEN 0 THEN 'guide' WHEN 1 THEN 'faq' WHEN 2 THEN 'api' ELSE '' END || ' ' || substr(text, 1, 1000)) AS t, lower(text) AS l FROM documents)""")
 def page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
