@@ -12,8 +12,12 @@ The words are marked by the other half of the sample, so that no document's word
 Training takes a bounded sample (`per_class` labelled documents of each class, outside the held-out fold) on the
 driver with fixed steps. Scoring is a map without a shuffle: only words whose feature has a weight count.
 
-Defined cases: a null or wordless text has no features and is scored by the thresholds alone; without labelled rows
-of both classes all weights are zero and the thresholds say grade 0; repeated rows are scored each.
+The classes are weighed alike, which moves the thresholds down where few words are known; so at last they are moved up together,
+if need be, until the first is NO_SIGN, above the score of a document without any weighted word.
+
+Defined cases: a null or wordless text has no features and is scored by the thresholds alone, which say grade 0; without
+labelled rows of both classes, or where no word tells them apart, all weights are zero and every document has grade 0;
+repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -35,8 +39,12 @@ from granary.llm.common import small_batches
 
 DIMS, GRADES = 1 << 18, 3
 PER_CLASS, STEPS, RATE, SPARSE = 3000, 300, 0.3, 1e-2
-#: A feature is used, and a word marked, if at least LEAST toxic documents have it and its smoothed document frequency in them is so many times that in others.
-USED, MARKED, LEAST = 4.0, 8.0, 5
+#: A feature is used, and a word marked, if enough toxic documents have it and its smoothed document frequency in them is so many times that in others.
+USED, MARKED = 4.0, 8.0
+#: Enough is LEAST_SHARE of the toxic documents at hand, between LEAST_DOCS and LEAST.
+LEAST_SHARE, LEAST_DOCS, LEAST = 0.1, 2, 5
+#: The first threshold is at least this, so that a document without a weighted word is not marked.
+NO_SIGN = 1.0
 #: How much the losses of the thresholds count: that between clean and toxic most.
 FIRST = np.array([8.0, 1.0, 1.0])
 _WORD = re.compile(r"\w+")
@@ -69,12 +77,13 @@ class Severity:
 
 
 def contrast(rows: list[Counter[int]], toxic: np.ndarray) -> dict[int, float]:
-    """Of each feature in LEAST toxic documents or more, how much commoner it is in toxic documents than in others."""
+    """Of each feature that enough toxic documents have, how much commoner it is in toxic documents than in others."""
     seen = [Counter(), Counter()]
     for row, y in zip(rows, toxic.tolist(), strict=True):
         seen[y].update(row.keys())
     n = np.bincount(toxic, minlength=2)
-    return {i: (c + 0.5) / (n[1] + 1) / ((seen[0][i] + 0.5) / (n[0] + 1)) for i, c in seen[1].items() if c >= LEAST}
+    least = max(LEAST_DOCS, min(LEAST, int(np.ceil(LEAST_SHARE * n[1]))))
+    return {i: (c + 0.5) / (n[1] + 1) / ((seen[0][i] + 0.5) / (n[0] + 1)) for i, c in seen[1].items() if c >= least}
 
 
 def grades(rows: list[Counter[int]], toxic: np.ndarray) -> np.ndarray:
@@ -118,6 +127,9 @@ def train(texts: list[str | None], toxic: list[int]) -> Severity:
         g = -error.sum(axis=0)
         scale_t += g * g
         theta = np.maximum.accumulate(theta - RATE * g / np.sqrt(scale_t))
+    if not w.any():
+        return none
+    theta += max(0.0, NO_SIGN - theta[0])
     return Severity({int(which[i]): float(w[i]) for i in np.flatnonzero(w)}, tuple(theta.tolist()))
 
 

@@ -164,6 +164,23 @@ def test_toxicity_on_the_held_out_fold(spark):
     assert np.mean([r.grade > 0 for r in out if r.toxic == 0]) < 0.02
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_toxicity_with_few_labels(spark, size):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{size}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.grade(docs, toxicity.fit(docs, labels), F.col("doc_id")).join(labels, F.col("row") == F.col("doc_id")).collect()
+    out = [r for r in rows if zlib.crc32(str(r.row).encode()) % 4 == 2]
+    assert sum(r.grade > 0 for r in out if r.toxic == 1) >= 0.5 * sum(r.toxic for r in out)
+    assert np.mean([r.grade > 0 for r in out if r.toxic == 0]) < 0.05
+
+
+def test_toxicity_without_any_sign():
+    """Where no word tells the classes apart nothing is marked, nor is a text without words."""
+    model = toxicity.train(["same words here"] * 40, [1, 0] * 20)
+    assert not model.weights and model.expected("same words here")[1] == 0
+    model = toxicity.train(["vile words here"] * 10 + ["kind words here"] * 30, [1] * 10 + [0] * 30)
+    assert model.expected("vile")[1] > 0 and model.expected("kind")[1] == model.expected(None)[1] == model.expected("")[1] == 0
+
+
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
     """Each stage's input and output on a small table, written and read again."""
