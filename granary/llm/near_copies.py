@@ -8,9 +8,11 @@ a document is then linked to another of its family if, and only if, the true sim
 Scale: documents of equal sets are one node, so exact copies cost nothing further. Only documents of a family send their
 texts on, once each, to the task that compares the family. A family above `crowd` documents or `bulk` characters is cut into
 blocks: each block is compared within itself and with a few hubs (about HUBS documents of the family, chosen by a hash),
-which joins a group of near copies at the price of its size. Documents that are then not in the family's largest group go
-to every block, so that each pair outside that group is still compared; a family whose documents share much and are yet
-below the threshold therefore costs the square of its size. Nothing but counters comes to the driver.
+which joins a group of near copies at the price of its size. Documents that are then not in the family's largest group are
+open: they are dealt to blocks of their own, the others too, and each open block meets itself and every other block in a task
+of two blocks, so each pair with an open document is compared once more and no task holds more than two blocks. A family whose
+documents share much and are yet below the threshold therefore costs the square of its size, in tasks of bounded size.
+Nothing but counters comes to the driver.
 
 Defined cases: a null or wordless text has no shingles, and all such texts are equal; a text with fewer words than a
 shingle counts as one shingle; repeats of a shingle count once.
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import as_row, checkpointed, slices, small_batches, stored
@@ -70,16 +72,19 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _joined(nodes: list[int], own: list[np.ndarray], open_: list[bool]) -> list[tuple[int, int]]:
-    """Pairs of similarity 0.8 and more that join all that are linked; pairs of two documents that are not open are left out."""
+def _joined(nodes: list[int], own: list[np.ndarray], open_: list[bool], side: list[int]) -> list[tuple[int, int]]:
+    """Pairs of similarity 0.8 and more that join all that are linked.
+
+    Left out are pairs of two documents that are not open, and those of one side, unless it is 0.
+    """
     prints = np.array([majority(s, 3) for s in own], np.int64).view(np.uint64)
-    size, free = np.array([len(s) for s in own]), np.array(open_)
+    size, free, of = np.array([len(s) for s in own]), np.array(open_), np.array(side)
     label, out = np.arange(len(own)), []
     bound = int(LOOSE * 64 * prints.shape[1])
     for i in range(len(own) - 1):
         after = slice(i + 1, None)
         may = near(prints[i : i + 1], prints[after], bound)[0] & (label[after] != label[i]) & (5 * np.minimum(size[after], size[i]) >= 4 * np.maximum(size[after], size[i]))
-        may &= free[after] | free[i]
+        may &= (free[after] | free[i]) & ((of[after] != of[i]) | (of[i] == 0))
         other = i + 1 + np.flatnonzero(may)
         while len(other):
             many = max(1, int(np.searchsorted(np.cumsum(size[other]), AT_ONCE)))
@@ -96,35 +101,59 @@ def _joined(nodes: list[int], own: list[np.ndarray], open_: list[bool]) -> list[
 
 
 def _comparer(width: int):
-    """Rows (family, block, open, node, text), sorted by family and block: links within each block."""
+    """Rows (family, block, open, side, node, text), sorted by family and block: links within each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, nodes, own, open_ = None, [], [], []
+        group, nodes, own, open_, side = None, [], [], [], []
 
         def found() -> Iterator[pa.RecordBatch]:
-            if pairs := _joined(nodes, own, open_) if len(nodes) > 1 else []:
+            if pairs := _joined(nodes, own, open_, side) if len(nodes) > 1 else []:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], ["a", "b"])
 
         for batch in (part for whole in batches for part in slices(whole)):
-            for family, block, free, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for family, block, free, of, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group != (family, block):
                     yield from found()
-                    group, nodes, own, open_ = (family, block), [], [], []
+                    group, nodes, own, open_, side = (family, block), [], [], [], []
                 nodes.append(node)
                 own.append(shingles(text, width))
                 open_.append(free)
+                side.append(of)
         yield from found()
 
     return lambda batches: spanning_forest(run(batches))
 
 
 def _compared(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """members (node, family, open, blocks: array) and texts (node, text) to (a, b) of similarity 0.8 and more."""
-    rows = texts.join(_few(members), "node").select("family", F.explode("blocks").alias("block"), "open", "node", "text")
+    """members (node, family, open, blocks: array of (block, side)) and texts (node, text) to (a, b) of similarity 0.8 and more."""
+    rows = texts.join(_few(members), "node").select("family", F.explode("blocks").alias("b"), "open", "node", "text")
+    rows = rows.select("family", "b.block", "open", "b.side", "node", "text")
     rows = rows.repartition("family", "block").sortWithinPartitions("family", "block", F.desc("open"))
     return checkpointed(small_batches(rows).mapInArrow(_comparer(width), "a long, b long"))
 
 
+def open_pairs(members: DataFrame, crowd: int, bulk: int) -> DataFrame:
+    """members (node, family, chars, open) to the same with blocks: the pairs of blocks in which an open document meets all others once.
+
+    Open documents have blocks 0 to opens - 1, the others the next ones, each of about `crowd` documents or `bulk` characters at most.
+    A task is (open block, same or later block); an open block meets itself as side 0, others as two sides.
+    """
+
+    def blocks(which: Column) -> Column:
+        return F.greatest(F.ceil(F.count_if(which) / crowd), F.ceil(F.coalesce(F.sum(F.when(which, F.col("chars"))), F.lit(0)) / bulk)).cast("long")
+
+    sizes = checkpointed(members.groupBy("family").agg(blocks(F.col("open")).alias("opens"), blocks(~F.col("open")).alias("others")).where("opens > 0"))
+    rows = members.join(_few(sizes), "family")
+    own = F.when(F.col("open"), F.pmod(F.xxhash64(F.lit(1), "node"), "opens")).otherwise(F.col("opens") + F.pmod(F.xxhash64(F.lit(1), "node"), F.greatest("others", F.lit(1))))
+    rows = rows.withColumn("own", own).withColumn("last", F.when(F.col("open"), F.col("opens") + F.col("others")).otherwise(F.col("opens")) - 1)
+
+    def pair(x: Column) -> Column:
+        low, high = F.least(x, F.col("own")), F.greatest(x, F.col("own"))
+        return F.struct((low * (F.col("opens") + F.col("others")) + high).alias("block"), F.when(low == high, 0).otherwise(F.when(F.col("own") == low, 1).otherwise(2)).alias("side"))
+
+    return rows.select("node", "family", "open", F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), pair).alias("blocks"))
+
+
 def true_links(families: DataFrame, texts: DataFrame, width: int, crowd: int = CROWD, bulk: int = BULK) -> DataFrame:
     """families (node, family, chars) and texts (node, text) to (a, b): enough of the pairs that are similar to join all that are linked."""
     sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
@@ -132,15 +161,16 @@ def true_links(families: DataFrame, texts: DataFrame, width: int, crowd: int = C
     known = families.join(_few(big), "family", "left")
     everywhere = F.sequence(F.lit(0), F.coalesce("count", F.lit(1)) - 1)
     home = F.array(F.pmod(F.xxhash64(F.lit(1), "node"), F.coalesce("count", F.lit(1))).cast("int"))
+    alone = lambda blocks: F.transform(blocks, lambda x: F.struct(x.cast("long").alias("block"), F.lit(0).alias("side")))
     hub = F.col("every").isNotNull() & (F.pmod(F.xxhash64("node"), F.col("every")) == 0)
-    first = known.select("node", "family", F.lit(True).alias("open"), F.when(hub, everywhere).otherwise(home).alias("blocks"))
+    first = known.select("node", "family", F.lit(True).alias("open"), alone(F.when(hub, everywhere).otherwise(home)).alias("blocks"))
     found = _compared(checkpointed(first), texts, width)
     if not big.count():
         return found
-    named = checkpointed(known.where("count is not null").join(components(found), "node", "left").select("node", "family", "count", F.coalesce("root", "node").alias("root")))
+    named = checkpointed(known.where("count is not null").join(components(found), "node", "left").select("node", "family", "chars", F.coalesce("root", "node").alias("root")))
     groups = named.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max(F.struct("n", "root")).alias("most"))
-    second = named.join(_few(checkpointed(groups)), "family").withColumn("open", F.col("root") != F.col("most.root"))
-    rest = _compared(checkpointed(second.select("node", "family", "open", F.when(F.col("open"), everywhere).otherwise(home).alias("blocks"))), texts, width)
+    second = checkpointed(named.join(_few(checkpointed(groups)), "family").withColumn("open", F.col("root") != F.col("most.root")))
+    rest = _compared(checkpointed(open_pairs(second, crowd, bulk)), texts, width)
     return found.unionByName(rest)
 
 

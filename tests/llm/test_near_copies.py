@@ -106,3 +106,25 @@ def test_rows_without_an_id_or_with_a_repeated_one_count_by_their_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     kept = {(r.doc_id, r.text) for r in near_copies.one_of_each(docs).collect()}
     assert kept == {(None, a), (None, b), (5, c), (5, d), (1, copy), (3, e)}
+
+
+def test_open_documents_meet_all_others_once_in_tasks_of_two_blocks(spark):
+    """The rows that a task of the second pass receives don't grow with the family; each pair with an open document meets once."""
+    for n, closed in ((600, 0), (1200, 0), (600, 450), (40, 0)):
+        members = spark.createDataFrame([(k, 0, 1000, k >= closed) for k in range(n)], "node long, family long, chars long, open boolean")
+        tasks = {}
+        for r in near_copies.open_pairs(members, 100, 1 << 30).collect():
+            for b in r.blocks:
+                tasks.setdefault(b.block, []).append((r.node, r.open, b.side))
+        assert max(map(len, tasks.values())) <= 2 * 150
+        met = {}
+        for rows in tasks.values():
+            for i, (a, free_a, side_a) in enumerate(rows):
+                for b, free_b, side_b in rows[:i]:
+                    if (free_a or free_b) and (side_a == 0 or side_a != side_b):
+                        met[max(a, b), min(a, b)] = met.get((max(a, b), min(a, b)), 0) + 1
+        assert set(met.values()) == {1} and len(met) == n * (n - 1) // 2 - closed * (closed - 1) // 2
+    members = spark.createDataFrame([(k, 0, 1000, k > 3) for k in range(40)], "node long, family long, chars long, open boolean")
+    assert near_copies.open_pairs(members.where("not open"), 10, 1 << 30).count() == 0
+    sizes = [len(r.blocks) for r in near_copies.open_pairs(members, 1000, 9000).collect()]
+    assert max(sizes) == 5  # 36 open documents of 1000 characters are four blocks, the others one
