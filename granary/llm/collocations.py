@@ -39,6 +39,8 @@ LEAST_BUCKETS, MOST_BUCKETS, BLOCK = 1 << 16, 1 << 25, 1 << 16
 SLAB, PART, WORDS = 1 << 20, 4 << 20, 500_000
 #: Parts of a language in the choice of its best phrases.
 SPREAD = 64
+#: Numbers up to this are counted in a table rather than by sorting.
+MOST_DENSE = 1 << 23
 
 #: A-Z to lower case, tab to space, the marks that end a piece to a byte that UTF-8 doesn't have.
 _END = b"\xff"
@@ -79,6 +81,9 @@ class Buckets:
 
     def add(self, hashes: np.ndarray, times: np.ndarray | None = None) -> None:
         at = hashes & np.uint64(len(self.counts) - 1)
+        if times is None and len(self.counts) <= min(MOST_DENSE, 16 * len(at)):
+            self.counts = np.minimum(np.bincount(at.view(np.int64), minlength=len(self.counts)) + self.counts, self.least).astype(self.kind)
+            return
         if times is None:
             at, times = np.unique(at, return_counts=True)
         else:
@@ -102,13 +107,25 @@ def _has(bits: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
     return ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1)).astype(bool)
 
 
+class _Numbers(dict):
+    """Bytes of words to numbers; a word not met before gets the next one."""
+
+    def __init__(self) -> None:
+        super().__init__({_END: 0})
+        self.words, self.hashes = [_END], [0]
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self.words)
+        self.words.append(word)
+        self.hashes.append(xxhash.xxh64_intdigest(word))
+        return number
+
+
 class _Slab:
     """The words of a task not yet worked on, as numbers (0: a piece's end), with the number of each one's language."""
 
     def __init__(self) -> None:
-        self.words: list[bytes] = [_END]
-        self.known: dict[bytes, int] = {_END: 0}
-        self.hashes = [0]
+        self.known = _Numbers()
         self.langs: dict[str, int] = {}
         self.parts: list[np.ndarray] = []
         self.owners: list[tuple[int, int]] = []
@@ -132,18 +149,8 @@ class _Slab:
                 yield
 
     def _number(self, found: list[bytes], owner: int) -> None:
-        known = self.known
-        numbers = list(map(known.get, found))
-        if None in numbers:
-            for i, x in enumerate(numbers):
-                if x is None:
-                    word = found[i]
-                    numbers[i] = known.get(word)
-                    if numbers[i] is None:
-                        numbers[i] = known[word] = len(self.words)
-                        self.words.append(word)
-                        self.hashes.append(_hash(word))
-        self.parts.append(np.array(numbers, np.int64))
+        numbers = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
+        self.parts.append(numbers)
         self.owners.append((owner, len(numbers)))
         self.held += len(numbers)
 
@@ -151,10 +158,10 @@ class _Slab:
         """Words, languages, the words' bytes and hashes, the languages' names; the last `keep` words stay for the next slab."""
         numbers = np.concatenate(self.parts) if self.parts else np.zeros(0, np.int64)
         owners = np.repeat(*np.array(self.owners, np.int64).reshape(-1, 2).T)
-        words, hashes, names = self.words, np.array(self.hashes, np.uint64), list(self.langs)
+        words, hashes, names = self.known.words, np.array(self.known.hashes, np.uint64), list(self.langs)
         rest, behind = numbers[len(numbers) - keep :], owners[len(owners) - keep :]
         if len(words) > WORDS:
-            self.words, self.known, self.hashes = [_END], {_END: 0}, [0]
+            self.known = _Numbers()
             self.parts, self.owners, self.held = [], [], 0
             for number, owner in zip(rest.tolist(), behind.tolist(), strict=True):
                 self._number([words[number]], owner)
@@ -164,13 +171,19 @@ class _Slab:
 
 
 def _distinct(columns: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows given by columns of numbers below sizes: where each distinct one is first, and how often it occurs. Exact, by naming."""
+    """Of rows given by columns of numbers below sizes: a place of each distinct one, and how often it occurs. Exact, by naming."""
     name, size = columns[0], sizes[0]
     for column, most in zip(columns[1:], sizes[1:], strict=True):
         if size * most >= 1 << 62:
             found, name = np.unique(name, return_inverse=True)
             size = len(found)
         name, size = name * most + column, size * most
+    if size <= min(MOST_DENSE, 16 * len(name)):
+        counts = np.bincount(name, minlength=size)
+        first = np.zeros(size, np.int64)
+        first[name] = np.arange(len(name))  # any place of each
+        found = np.flatnonzero(counts)
+        return first[found], counts[found]
     _, first, counts = np.unique(name, return_index=True, return_counts=True)
     return first, counts
 
@@ -289,8 +302,7 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
         found = stored(texts.mapInArrow(_grams(k, longest, least, size, frequent, possible), _PASS))
         counts = found.where(F.col("phrase").isNotNull()).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
         if k == 1:
-            counts = checkpointed(counts)
-            totals = checkpointed(counts.groupBy("lang").agg(F.sum("f").alias("n")))
+            totals = checkpointed(found.where(F.col("phrase").isNotNull()).groupBy("lang").agg(F.sum("n").alias("n")))
         level = counts.where(F.col("f") >= least).select("lang", "phrase", F.lit(k).alias("words"), "f")
         levels.append(level := checkpointed(level))
         if k == longest or not (n := level.count()):
