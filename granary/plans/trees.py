@@ -7,7 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.functions import text
+from granary.operators import analytics, filters
 from granary.operators import bucket_tree as B
+from granary.operators import landscape as S
 from granary.operators import linking as K
 from granary.operators import vector_index as V
 from granary.plans.registry import query, table
@@ -49,3 +52,40 @@ def document_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = near.select(F.concat(F.lit("v"), "query").alias("src"), F.concat(F.lit("v"), "id").alias("dst"), F.col("similarity").alias("weight"))
     named = named.select(F.concat(F.lit("d"), "text_id").alias("src"), F.concat(F.lit("b"), "title_id").alias("dst"), F.lit(1.0).alias("weight"))
     return V.relations({"similar": near, "names": named})
+
+
+@query()
+def landscape_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty cells between territories of the map of all vectors."""
+    scape = S.landscape(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return scape.gaps.select("cx", "cy", F.array_join(F.col("territories").cast("array<string>"), ",").alias("territories"), "near")
+
+
+@query()
+def landscape_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terrain of the map of all vectors."""
+    return S.landscape(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").terrain
+
+
+@query("""WITH c AS (SELECT year(o_orderdate) AS year, o_orderpriority AS entity, count(*) AS n FROM orders GROUP BY ALL), t AS (SELECT year(o_orderdate) AS year, count(*) AS total FROM orders GROUP BY 1),
+k AS (SELECT *, rank() OVER (PARTITION BY year ORDER BY n DESC, entity) AS r FROM c QUALIFY r <= 3), b AS (SELECT entity FROM k GROUP BY 1 ORDER BY sum(n) DESC, entity LIMIT 2)
+SELECT year, entity, n, total, round(n * 100.0 / total, 1) AS share FROM k JOIN t USING (year) WHERE entity IN (FROM b)""")
+def truncated_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares by year from lists cut to each year's three largest, as an index with truncated lists gives them (D3)."""
+    orders = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("entity"))
+    totals = orders.groupBy("year").agg(F.count(F.lit(1)).alias("total"))
+    return analytics.shares(orders.groupBy("year", "entity").agg(F.count(F.lit(1)).alias("n")), totals, top=2, per_year=3)
+
+
+@query("SELECT doc_id, array_to_string(list_filter(['the', 'der', 'que', 'license'], lambda w: list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), w)), ',') AS mentions FROM documents")
+def mentioned_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the given terms each text has as whole words."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.mentions(F.col("text"), ["the", "der", "que", "license"]), ",").alias("mentions"))
+
+
+@query("SELECT doc_id, contains(lower(text), 'licens') OR contains(lower(source), 'src1') OR contains(lower(lang), 'de') AS relevant FROM documents")
+def relevant_by_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relevance of a document by its text or any element of a list."""
+    found = filters.relevant_parts([F.col("text")], [F.array("source", "lang")], ["licens", "src1", "de"])
+    own = filters.relevant_parts([F.col("text")], [], ["licens"]) | filters.relevant_parts([], [F.array("source")], ["src1"]) | filters.relevant_parts([], [F.array("lang")], ["de"])
+    return table(spark, sf_dir, "documents").select("doc_id", (own & found).alias("relevant"))

@@ -82,3 +82,29 @@ def test_relations_of_all_kinds(spark):
     out = vector_index.relations({"a": one, "b": one.limit(0)}).collect()
     assert [tuple(r) for r in out] == [("1", "2", "a", 0.7)]
     assert vector_index.recall(one.select(F.col("src").alias("query"), F.col("dst").alias("id")), one.select(F.col("src").alias("query"), F.col("dst").alias("id")).where("query = 9")) == 1.0
+
+
+def test_landscape_is_the_same_on_two_runs(spark):
+    from granary.operators import landscape
+
+    rows = clustered(600, 8, 5)
+    df = spark.createDataFrame([*rows, (9000, None), (9001, [1.0])], "id long, v array<double>")
+    one, two = (landscape.landscape(df.repartition(k), "id", "v", territories=5, cells=12) for k in (3, 5))
+    where = {r.id: (r.x, r.y, r.territory, r.cx, r.cy) for r in one.positions.collect()}
+    assert len(where) == 600
+    terrain = {(r.cx, r.cy): r for r in one.terrain.collect()}
+    assert {k: r.n for k, r in terrain.items()} == Counter((cx, cy) for *_, cx, cy in where.values()) == {(r.cx, r.cy): r.n for r in two.terrain.collect()}
+    assert max(r.height for r in terrain.values()) == 1.0 and all(0 <= c < 12 for k in terrain for c in k)
+    assert {r.territory: r.n for r in one.territories.collect()} == Counter(t for _, _, t, _, _ in where.values())
+    want = {}
+    for cx in range(12):
+        for cy in range(12):
+            near = [terrain[x, y] for x in range(cx - 2, cx + 3) for y in range(cy - 2, cy + 3) if (x, y) in terrain]
+            if (cx, cy) not in terrain and len({r.territory for r in near}) > 1:
+                want[cx, cy] = (sorted({r.territory for r in near}), sum(r.n for r in near))
+    assert {(r.cx, r.cy): (list(r.territories), r.near) for r in one.gaps.collect()} == want and want
+    x, y, *_ = where[0]
+    best = landscape.around(one, x, y, 1.0, 5).orderBy("rank").collect()
+    plain = sorted((round(((a - x) ** 2 + (b - y) ** 2) ** 0.5, 6), i) for i, (a, b, *_) in where.items())[:5]
+    assert [(r.distance, r.id) for r in best] == [p for p in plain if p[0] <= 1.0] and best[0].id == 0
+    assert landscape.landscape(df.limit(0), "id", "v").gaps.count() == 0
