@@ -177,7 +177,7 @@ def shared_contexts(found: DataFrame, groups: Sequence[Sequence[str]], terms: Se
     return {g: [terms[t].term for _, t in sorted(found_)[:3]] for g, found_ in best.items()}
 
 
-def candidates(positives: DataFrame, negatives: DataFrame, key: str, text: str, brand: Sequence[Term], phrases: Sequence[Term], keywords: Sequence[Term] = (), subjects: Sequence[Term] = (), stop: Sequence[str] = ()) -> list[Candidate]:
+def candidates(positives: DataFrame, negatives: DataFrame, key: str, text: str, brand: Sequence[Term], phrases: Sequence[Term], keywords: Sequence[Term] = (), subjects: Sequence[Term] = (), stop: Sequence[str] = (), shortest: int = 3) -> list[Candidate]:
     """Queries of all strategies, in order: brand, phrase with context, subject, combined groups, gap recovery."""
     out: list[Candidate] = []
     top = [t.term for t in brand if t.coverage >= 0.10 and t.specificity >= 0.80][:5]
@@ -198,18 +198,18 @@ def candidates(positives: DataFrame, negatives: DataFrame, key: str, text: str,
     out += [Candidate(f"combined: {name}", "combined", (tuple(group[:4]), tuple(shared[g]))) for g, (name, group) in enumerate(groups.items()) if shared.get(g)]
     names = F.array(*(F.lit(place[t.term]) for t in brand)) if brand else F.array().cast("array<int>")
     gap = positives.join(found.where(~F.arrays_overlap("found", names)).select(F.col("key").alias(key)), key, "left_semi")
-    return out + gap_candidates(gap, negatives, key, text, stop)
+    return out + gap_candidates(gap, negatives, key, text, stop, shortest)
 
 
-def gap_candidates(gap: DataFrame, negatives: DataFrame, key: str, text: str, stop: Sequence[str] = (), most: int = 15) -> list[Candidate]:
-    """Queries for positives that no brand term finds, from terms that are common there and rare in the negatives."""
+def gap_candidates(gap: DataFrame, negatives: DataFrame, key: str, text: str, stop: Sequence[str] = (), shortest: int = 3, most: int = 15) -> list[Candidate]:
+    """Queries for positives that no brand term finds, from terms of `shortest` letters and more that are common there and rare in the negatives."""
     n, others = gap.count(), negatives.count()
     if n < LEAST_GAP:
         return []
     rows = gap.select(F.col(text), F.lit(1).alias("_y")).unionByName(negatives.select(F.col(text), F.lit(0).alias("_y")))
     stats = term_statistics(rows, text, "_y", most=3, least_docs=max(2, n * 5 // 100))
     specificity = 1 - F.col("neg") / max(others, 1)
-    stats = stats.select("term", "coverage", specificity.alias("specificity")).where("coverage >= 0.08 AND specificity >= 0.50").where(~F.col("term").isin(list(stop)) if stop else F.lit(True))
+    stats = stats.select("term", "coverage", specificity.alias("specificity")).where("coverage >= 0.08 AND specificity >= 0.50").where(F.length("term") >= shortest).where(~F.col("term").isin(list(stop)) if stop else F.lit(True))
     best = stats.orderBy(F.round(F.col("coverage") * F.col("specificity"), 12).desc(), "term").limit(200).collect()
     terms = [Term(r["term"], r["coverage"], r["specificity"]) for r in best]
     found = occurrences(gap, key, F.col(text), [t.term for t in terms])

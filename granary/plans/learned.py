@@ -42,11 +42,11 @@ def explained_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS = 80
 _STATS = """d AS (SELECT doc_id, lower(text) AS t, y FROM documents JOIN (SELECT doc_id, max(quality) AS y FROM labels GROUP BY 1) USING (doc_id)), p AS (SELECT * FROM d WHERE y = 1),
 s AS (SELECT term, sum(y) / (SELECT count(*) FROM p) AS coverage, sum(y) / count(*) AS specificity FROM (SELECT DISTINCT doc_id, y, unnest(regexp_extract_all(t, '[\\p{L}\\p{N}_]+')) AS term FROM d) GROUP BY 1 HAVING count(*) >= 3),
-t AS (SELECT *, row_number() OVER (ORDER BY round(coverage * specificity, 12) DESC, term) - 1 AS n FROM s QUALIFY n < 80)"""
+t AS (SELECT *, row_number() OVER (ORDER BY round(coverage * specificity, 12) DESC, term) - 1 AS n FROM s WHERE length(term) > 4 QUALIFY n < 80)"""
 
 
 def _terms(labelled: DataFrame) -> list[Q.Term]:
-    return Q.top_terms(L.term_statistics(labelled, "text", "y"), WORDS)
+    return Q.top_terms(L.term_statistics(labelled, "text", "y").where(F.length("term") > 4), WORDS)
 
 
 @query(f"""WITH {_STATS}, f AS (SELECT doc_id, term, n, coverage * specificity AS weight FROM p, t WHERE contains(p.t, term)),
@@ -86,7 +86,7 @@ def learned_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = {t.term: t for t in Q.top_terms(stats, 100)}
     scored = stats.where(F.col("term").isin(list(best))).select("term", F.round(F.col("coverage") * F.col("specificity"), 12).alias("score"))
     kept = {r["term"] for r in Q.without_subsumed(scored).collect()}
-    queries = Q.candidates(d.where("y = 1"), d.where("y = 0"), "doc_id", "text", brand, [t for name, t in best.items() if name in kept])
+    queries = Q.candidates(d.where("y = 1"), d.where("y = 0"), "doc_id", "text", brand, [t for name, t in best.items() if name in kept], shortest=5)
     return Q.report(d, Q.cover(Q.matches(d.where("y = 1"), "doc_id", "text", queries)), queries)
 
 
