@@ -107,8 +107,14 @@ def milestones(edges: DataFrame, share: float = 0.01) -> DataFrame:
 
 
 def together(rows: DataFrame, group: str, member: str, least: int = 2) -> DataFrame:
-    """a, b, weight: members that share at least `least` groups, a < b."""
+    """a, b, weight: members that share at least `least` groups, a < b.
+
+    Members of fewer groups can't reach that and make no pairs: in a crowded group most are such.
+    """
     one = rows.select(F.col(group).alias("g"), F.col(member).alias("a")).distinct()
+    if least > 1:
+        able = one.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("a")
+        one = one.join(able, "a", "left_semi")
     pairs = one.join(one.select("g", F.col("a").alias("b")), "g").where("a < b")
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= least)
 

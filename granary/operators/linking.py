@@ -93,17 +93,42 @@ def similar_titles(df: DataFrame, id_col: str, title_col: str, least: float = 0.
 
 
 def shared_identifiers(df: DataFrame, id_col: str, identifiers: str) -> DataFrame:
-    """left_id, right_id, kind: pairs that share a pmid, else a doi, else a url (J7, J8); identifiers is the struct of text.identifiers."""
-    kinds = ("pmids", "dois", "urls")
+    """left_id, right_id, kind: pairs that share a pmid, else a doi, else a url (J7, J8); identifiers is the struct of text.identifiers.
+
+    For identifiers that few rows share; identifier_links tells the same in one row an id and identifier, however many share it.
+    """
+    rows = _identifiers(df, id_col, identifiers)
+    pairs = rows.select(F.col("id").alias("left_id"), "rank", "value").join(rows.select(F.col("id").alias("right_id"), "rank", "value"), ["rank", "value"]).where("left_id <> right_id")
+    return pairs.groupBy("left_id", "right_id").agg(F.min("rank").alias("rank")).select("left_id", "right_id", _kind(F.col("rank")).alias("kind"))
+
+
+def identifier_links(df: DataFrame, id_col: str, identifiers: str) -> DataFrame:
+    """id, kind, value, class_id, links: of each id and identifier that others share, the class (its smallest id) and how many others.
+
+    No pair is made: identifiers are counted before they are shuffled, and a crowded one costs its rows once. Two ids are linked if they
+    are of one class of any kind.
+    """
+    rows = _identifiers(df, id_col, identifiers).distinct()
+    classes = rows.groupBy("rank", "value").agg(F.min("id").alias("class_id"), (F.count(F.lit(1)) - 1).alias("links")).where("links > 0")
+    return rows.join(classes, ["rank", "value"]).select("id", _kind(F.col("rank")).alias("kind"), "value", "class_id", "links")
+
+
+#: Kinds of identifiers, best first.
+KINDS = ("pmids", "dois", "urls")
+
+
+def _identifiers(df: DataFrame, id_col: str, identifiers: str) -> DataFrame:
+    """id, rank, value: each identifier of a row once, with the place of its kind."""
 
     def ranked(i: int) -> Column:
-        return F.transform(F.col(f"{identifiers}.{kinds[i]}"), lambda v: F.struct(F.lit(i).alias("rank"), v.alias("value")))
+        return F.transform(F.col(f"{identifiers}.{KINDS[i]}"), lambda v: F.struct(F.lit(i).alias("rank"), v.alias("value")))
 
-    each = F.concat(*map(ranked, range(len(kinds))))
-    rows = df.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(each)).alias("e")).select("id", "e.rank", "e.value")
-    pairs = rows.select(F.col("id").alias("left_id"), "rank", "value").join(rows.select(F.col("id").alias("right_id"), "rank", "value"), ["rank", "value"]).where("left_id <> right_id")
-    names = F.array(*(F.lit(k[:-1]) for k in kinds))
-    return pairs.groupBy("left_id", "right_id").agg(F.min("rank").alias("rank")).select("left_id", "right_id", F.element_at(names, F.col("rank") + 1).alias("kind"))
+    each = F.concat(*map(ranked, range(len(KINDS))))
+    return df.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(each)).alias("e")).select("id", "e.rank", "e.value")
+
+
+def _kind(rank: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(k[:-1]) for k in KINDS)), rank + 1)
 
 
 def named_in(texts: DataFrame, text_id: str, text: str, titles: DataFrame, title_id: str, title: str) -> DataFrame:

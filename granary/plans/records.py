@@ -241,3 +241,14 @@ def shared_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     o = table(spark, sf_dir, "orders").select("o_orderkey", T.identifiers([_text("'PMID: ", F.floor(F.col("o_orderkey") / 40) + 1000)]).alias("i"))
     return K.shared_identifiers(o, "o_orderkey", "i")
+
+
+@query("""WITH e AS (SELECT o_orderkey AS id, 'pmid' AS kind, CAST(o_orderkey // 40 + 1000 AS VARCHAR) AS value FROM orders UNION ALL SELECT o_orderkey, 'doi', '10.1234/all' FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'doi', '10.1234/' || o_orderkey FROM orders WHERE o_orderkey % 3 > 0)
+SELECT id, kind, value, min(id) OVER w AS class_id, count(*) OVER w - 1 AS links FROM e WINDOW w AS (PARTITION BY kind, value) QUALIFY count(*) OVER w > 1""")
+def identifier_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that name an identifier that others name too, one of them named by a third of all rows."""
+    from granary.functions import text as T
+
+    doi = F.when(F.col("o_orderkey") % 3 == 0, "all").otherwise(F.col("o_orderkey").cast("string"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", T.identifiers([_text("'PMID: ", F.floor(F.col("o_orderkey") / 40) + 1000, "' see 10.1234/", doi)]).alias("i"))
+    return K.identifier_links(o, "o_orderkey", "i")

@@ -149,6 +149,14 @@ def test_shared_identifiers_prefer_pmids(spark):
     assert {(r.left_id, r.right_id, r.kind) for r in rows} == {(1, 2, "pmid"), (1, 3, "doi"), (2, 3, "doi")}
 
 
+def test_a_crowded_identifier_makes_no_pairs(spark):
+    n = 20000
+    texts = [(i, f"PMID: {1000 + i}" if i % 3 else "PMID: 999 and PMID: 999, 10.1234/x") for i in range(n)] + [(n, None), (n + 1, "")]
+    rows = K.identifier_links(spark.createDataFrame(texts, "id int, t string").select("id", T.identifiers([F.col("t")]).alias("i")), "id", "i").collect()
+    hot = (n + 2) // 3
+    assert len(rows) == 2 * hot and {(r.class_id, r.links) for r in rows} == {(0, hot - 1)} and {r.kind for r in rows} == {"pmid", "doi"}
+
+
 def test_merge_duplicates(spark):
     rows = [("k", 1, 0.1, "aa", ["x"], 3), ("k", 2, 0.9, "bbb", ["y", "x"], None)]
     df = spark.createDataFrame(rows, "k string, seq int, score double, body string, cats array<string>, views int")
