@@ -5,6 +5,8 @@ Inputs are reduced to one row per (year, entity) by a groupBy; the windows run o
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,3 +91,31 @@ def drill_down(df: DataFrame, path: dict[str, object], dimension: str, size: int
 def within_result(df: DataFrame, field: str, previous: DataFrame) -> DataFrame:
     """Rows whose field is among the keys of an earlier result."""
     return df.join(previous.select(F.col("key").alias(field)), field, "left_semi")
+
+
+def trends(rows: DataFrame, term: str, ts: str, now: Column, days: int = 30, tolerance: float = 0.1) -> DataFrame:
+    """term, n, before, trend: counts of the last days and of as many before them; up, down or stable within the tolerance.
+
+    Both periods are counted in one pass over the rows of these days; a term of one period alone is up or down.
+    """
+    start, middle = now - F.make_interval(days=F.lit(2 * days)), now - F.make_interval(days=F.lit(days))
+    two = rows.where((F.col(ts) > start) & (F.col(ts) <= now) & F.col(term).isNotNull())
+    counts = two.groupBy(term).agg(F.count_if(F.col(ts) > middle).alias("n"), F.count_if(F.col(ts) <= middle).alias("before"))
+    trend = F.when(F.col("n") > F.col("before") * (1 + tolerance), "up").when(F.col("n") < F.col("before") * (1 - tolerance), "down").otherwise("stable")
+    return counts.withColumn("trend", trend)
+
+
+def range_shares(df: DataFrame, score: str, bounds: Sequence[float]) -> DataFrame:
+    """range, n, percentage: rows from one bound to below the next, the last bound included.
+
+    Every range has a row; scores beyond the bounds and null ones count in none, and the percentages are of those that count.
+    """
+    at = F.lit(None).cast("int")
+    for i in range(len(bounds) - 1):
+        below = F.col(score) <= bounds[i + 1] if i == len(bounds) - 2 else F.col(score) < bounds[i + 1]
+        at = F.when((F.col(score) >= bounds[i]) & below, i).otherwise(at)
+    counted = df.groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    ranges = df.sparkSession.createDataFrame([(i, f"{a:g}-{b:g}") for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))], "at int, range string")
+    rows = ranges.join(counted, "at", "left").na.fill(0, ["n"])
+    every = F.sum("n").over(Window.partitionBy())  # one row a range
+    return rows.select("range", "n", F.when(every > 0, 100 * F.col("n") / every).otherwise(0.0).alias("percentage"))

@@ -124,3 +124,22 @@ def centrality(links: DataFrame, top: int = 10) -> DataFrame:
     ends = links.select(F.col("a").alias("node"), "weight").unionByName(links.select(F.col("b").alias("node"), "weight"))
     rows = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("weight")).orderBy(F.desc("degree"), F.desc("weight"), "node").limit(top)
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("degree"), F.desc("weight"), "node")))
+
+
+def citation_stats(edges: DataFrame, papers: DataFrame, as_of: int, recent: int = 2) -> DataFrame:
+    """node, years, citations, references, velocity, recent, own: of each paper (G2); papers: node, year, authors.
+
+    velocity: citations a year since publication, the first year counted as one. recent: by papers of the last years up to as_of.
+    own: by papers that share an author. A citation counts once; papers without any have zeros, citations by unknown papers count
+    in total alone.
+    """
+    links = edges.select("src", "dst").where("src <> dst").distinct()
+    cited = links.join(papers.select(F.col("node").alias("dst"), F.col("authors").alias("_b")), "dst")
+    by = papers.select(F.col("node").alias("src"), F.col("year").alias("_year"), F.col("authors").alias("_a"))
+    met = cited.join(by, "src", "left")
+    late = F.col("_year").between(as_of - recent + 1, as_of)
+    shared = F.arrays_overlap(F.array_compact("_a"), F.array_compact("_b"))
+    inward = met.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("citations"), F.count_if(late).alias("recent"), F.count_if(shared).alias("own"))
+    outward = links.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("references"))
+    rows = papers.select("node", (as_of - F.col("year")).alias("years")).join(inward, "node", "left").join(outward, "node", "left").na.fill(0, ["citations", "recent", "own", "references"])
+    return rows.select("node", "years", "citations", "references", (F.col("citations") / F.greatest("years", F.lit(1))).alias("velocity"), "recent", "own")

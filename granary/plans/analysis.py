@@ -169,3 +169,20 @@ def citation_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most cited hundredth."""
     return G.milestones(_citations(spark, sf_dir))
+
+
+@query("""WITH t AS (SELECT max(ts) AS t FROM events), c AS (SELECT user_id, count(*) FILTER (ts > t - INTERVAL 10 DAYS) AS n, count(*) FILTER (ts <= t - INTERVAL 10 DAYS) AS before FROM events, t WHERE ts > t - INTERVAL 20 DAYS AND user_id IS NOT NULL GROUP BY 1)
+SELECT user_id, n, before, CASE WHEN n > before * CAST(1.1 AS DOUBLE) THEN 'up' WHEN n < before * CAST(0.9 AS DOUBLE) THEN 'down' ELSE 'stable' END AS trend FROM c""")
+def user_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of two periods and where they go."""
+    e = table(spark, sf_dir, "events")
+    newest = F.lit(e.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
+    return A.trends(e, "user_id", "ts", newest, 10)
+
+
+@query("""WITH r AS (SELECT unnest(['0-0.2', '0.2-0.4', '0.4-0.6', '0.6-0.8', '0.8-1']) AS range, unnest([0, 20, 40, 60, 80]) AS a, unnest([20, 40, 60, 80, 101]) AS b), d AS (SELECT n_chars % 103 AS s FROM documents), c AS (SELECT range, count(s) AS n FROM r LEFT JOIN d ON s >= a AND s < b GROUP BY 1)
+SELECT range, n, round(100.0 * n / (SELECT sum(n) FROM c), 6) AS percentage FROM c""")
+def quality_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How scores are spread over ranges, those out of range left out."""
+    scored = table(spark, sf_dir, "documents").select(((F.col("n_chars") % 103).cast("double") / 100).alias("score"))
+    return A.range_shares(scored, "score", [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]).withColumn("percentage", F.round("percentage", 6))

@@ -128,3 +128,13 @@ def forum_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
     every = K.union_sources([a.where("lang = 'en'"), a.where("n_chars > 3000"), a.where("lang = 'de'")])
     return K.first_seen(every, ["source"], [-F.col("n_chars"), "doc_id"]).select("source", "doc_id")
+
+
+@query("""WITH p AS (SELECT o_orderkey AS node, year(o_orderdate) AS year, [o_custkey % 9, o_custkey % 11 + 100] AS authors FROM orders), e AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_orderkey <> l_partkey), t AS (SELECT CAST(1998 AS BIGINT) AS now),
+m AS (SELECT e.dst, count(*) AS c, count(*) FILTER (a.year IN (now - 1, now)) AS r, count(*) FILTER (list_has_any(a.authors, b.authors)) AS o FROM e JOIN p b ON b.node = e.dst LEFT JOIN p a ON a.node = e.src, t GROUP BY 1), x AS (SELECT src, count(*) AS n FROM e GROUP BY 1)
+SELECT node, CAST(now - year AS INT) AS years, coalesce(c, 0) AS citations, coalesce(n, 0) AS "references", round(coalesce(c, 0) / greatest(now - year, 1), 6) AS velocity, coalesce(r, 0) AS recent, coalesce(o, 0) AS own FROM p LEFT JOIN m ON m.dst = node LEFT JOIN x ON x.src = node, t""")
+def citation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations, their speed, recent ones and those by one's own."""
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
+    papers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), F.year("o_orderdate").alias("year"), F.array(F.col("o_custkey") % 9, F.col("o_custkey") % 11 + 100).alias("authors"))
+    return G.citation_stats(edges, papers, 1998).withColumn("velocity", F.round("velocity", 6))

@@ -273,3 +273,21 @@ def test_forest_and_calibration(spark):
     fitted = L.calibrator(scored, "y").transform(scored)
     assert fitted.where("calibrated < 0 or calibrated > 1").count() == 0
     assert fitted.where((F.col("calibrated") >= 0.5) != (F.col("y") == 1)).count() == 0
+
+
+def test_citation_stats(spark):
+    papers = spark.createDataFrame([(1, 2020, ["a"]), (2, 2023, ["a", None]), (3, 2024, [None]), (4, None, None)], "node int, year int, authors array<string>")
+    edges = spark.createDataFrame([(2, 1), (2, 1), (3, 1), (9, 1), (1, 1), (3, 2), (1, 4)], "src int, dst int")
+    got = {r.node: tuple(r)[1:] for r in G.citation_stats(edges, papers, 2024).collect()}
+    assert got == {1: (4, 3, 1, 0.75, 2, 1), 2: (1, 1, 1, 1.0, 1, 0), 3: (0, 0, 2, 0.0, 0, 0), 4: (None, 1, 0, 1.0, 0, 0)}
+
+
+def test_trends_and_ranges(spark):
+    now = dt.datetime(2024, 3, 1)
+    rows = [(t, now - dt.timedelta(days=d)) for t, days in {"up": [0, 1, 12], "down": [11, 12, 3], "same": [0, 10], "new": [9], "old": [20, 21], None: [1]}.items() for d in days]
+    df = spark.createDataFrame(rows, "t string, ts timestamp")
+    got = {r.t: (r.n, r.before, r.trend) for r in A.trends(df, "t", "ts", F.lit(now), 10).collect()}
+    assert got == {"up": (2, 1, "up"), "down": (1, 2, "down"), "same": (1, 1, "stable"), "new": (1, 0, "up")}
+    scores = spark.createDataFrame([(v,) for v in (0.0, 0.5, 1.0, 1.0, 1.1, -0.1, None)], "s double")
+    assert {r.range: (r.n, r.percentage) for r in A.range_shares(scores, "s", [0, 0.25, 0.5, 1]).collect()} == {"0-0.25": (1, 25.0), "0.25-0.5": (0, 0.0), "0.5-1": (3, 75.0)}
+    assert {r.percentage for r in A.range_shares(scores.limit(0), "s", [0, 0.5, 1]).collect()} == {0.0}
