@@ -100,8 +100,9 @@ def article_records(rows: DataFrame, xml: str) -> DataFrame:
     Rows that are null, don't parse, or have no citation, id or article are left out. Tags inside running text are taken out first, so that
     titles and abstracts are whole. A doi or full-text id is the article's own, never one of its references. No list is null.
     """
-    parsed = rows.select(F.from_xml(F.regexp_replace(xml, INLINE, ""), RECORD).alias("r")).where("r.MedlineCitation.PMID <> '' AND r.MedlineCitation.Article IS NOT NULL")
-    parsed = parsed.select(F.col("r.MedlineCitation").alias("m"), F.col("r.MedlineCitation.Article").alias("a"), F.col("r.PubmedData").alias("p"))
+    # inline keeps filters and fields from parsing again: Spark would copy the parser into each.
+    parsed = rows.select(F.inline(F.array(F.from_xml(F.regexp_replace(xml, INLINE, ""), RECORD)))).where("MedlineCitation.PMID <> '' AND MedlineCitation.Article IS NOT NULL")
+    parsed = parsed.select(F.col("MedlineCitation").alias("m"), F.col("MedlineCitation.Article").alias("a"), F.col("PubmedData").alias("p"))
     m, a, p = F.col("m"), F.col("a"), F.col("p")
     ids = p["ArticleIdList"]["ArticleId"]
     journal, issue, more = a["Journal"], a["Journal"]["JournalIssue"], m["MedlineJournalInfo"]
