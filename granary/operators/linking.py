@@ -138,9 +138,10 @@ def named_in(texts: DataFrame, text_id: str, text: str, titles: DataFrame, title
     """
     whole = texts.select(F.col(text_id).alias("text_id"), normalised(F.col(text)).alias("t"))
     named = titles.select(F.col(title_id).alias("title_id"), normalised(F.col(title)).alias("n")).withColumn("w", F.split("n", " ")).where("size(w) > 2")
-    words = F.split("t", " ")
-    grams = F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)))
-    rows = whole.select("text_id", F.explode(F.array_distinct(grams)).alias("gram"))
+    words = whole.select("text_id", F.split("t", " ").alias("w")).where("size(w) > 2")
+    runs = F.arrays_zip(*(F.slice("w", F.lit(i + 1), F.size("w") - 2).alias(f"w{i}") for i in range(3)))  # no lambda reads the whole text's array
+    grams = F.transform(runs, lambda r: F.concat_ws(" ", r["w0"], r["w1"], r["w2"]))
+    rows = words.select("text_id", F.explode(F.array_distinct(grams)).alias("gram"))
     met = rows.join(named.select("title_id", F.array_join(F.slice("w", 1, 3), " ").alias("gram")), "gram").select("text_id", "title_id").distinct()
     pairs = met.join(named.select("title_id", "n"), "title_id").join(whole, "text_id")
     return pairs.where(F.contains(F.concat(F.lit(" "), "t", F.lit(" ")), F.concat(F.lit(" "), "n", F.lit(" ")))).select("text_id", "title_id")
