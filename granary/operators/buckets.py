@@ -144,7 +144,17 @@ def merged_buckets(buckets: DataFrame, names: dict[str, str]) -> DataFrame:
     return buckets.groupBy(key.alias("key")).agg(F.sum("doc_count").alias("doc_count")).orderBy(F.desc("doc_count"), "key")
 
 
+#: Milliseconds of a day, and the first that no date reaches.
+_DAY, _NO_DATE = 86400000, 2**31 * 86400000
+
+
 def bucket_key(value: Column) -> Column:
-    """Numbers above 10^12 are milliseconds and become dates; the rest becomes text (P20)."""
+    """Numbers above 10^12 are milliseconds and become dates (UTC), years beyond 9999 without a sign; the rest becomes text (P20).
+
+    So do numbers beyond the last date, in the year 5,881,580.
+    """
     number = value.cast("double")
-    return F.when(number > 1e12, F.date_format(F.timestamp_millis(value.cast("long")), "yyyy-MM-dd")).otherwise(value.cast("string"))
+    is_date = (number > 1e12) & (number < _NO_DATE)
+    ms = F.when(is_date, value).cast("long")
+    days = ((ms - ms % _DAY) / _DAY).cast("int")  # a multiple of a day, so that the division is exact
+    return F.when(is_date, F.ltrim(F.date_add(F.lit("1970-01-01").cast("date"), days).cast("string"), F.lit("+"))).otherwise(value.cast("string"))

@@ -4,6 +4,8 @@ import time
 
 from pyspark.sql import functions as F
 
+from granary.functions import extract as E
+from granary.operators import buckets as B
 from granary.operators import linking as K
 
 
@@ -25,3 +27,15 @@ def test_titles_at_the_ends_of_texts(spark):
     texts = spark.createDataFrame([(1, "A b, c!"), (2, "x a B c"), (3, "a b"), (4, ""), (5, None), (6, "a b cd")], "id long, text string")
     titles = spark.createDataFrame([(7, "a b c"), (8, "b c"), (9, None)], "tid long, title string")
     assert sorted(tuple(r) for r in K.named_in(texts, "id", "text", titles, "tid", "title").collect()) == [(1, 7), (2, 7)]
+
+
+def test_bucket_keys_of_late_years(spark):
+    rows = [(10**12,), (10**12 + 1,), (253402300799999,), (253402300800000,), (999990000000000,), (60_000_000_000_000_000,), (2**31 * 86400000 - 1,), (2**31 * 86400000,), (None,)]
+    got = [r.k for r in spark.createDataFrame(rows, "v long").select(B.bucket_key(F.col("v")).alias("k")).collect()]
+    assert got == ["1000000000000", "2001-09-09", "9999-12-31", "10000-01-01", "33658-06-03", "1903294-04-23", "5881580-07-11", "185542587187200000", None]
+
+
+def test_a_question_word_ends_before_an_accent(spark):
+    titles = [("Do\u00f3 ci\u00f3nado",), ("do it",), ("dough",), ("do_it",), ("do",), ("is\u4e2d",), ("redo it",)]
+    facts = E.thread_facts(F.col("t"), F.lit(""), F.array().cast("array<string>"), F.lit(False), [], [])
+    assert [r.q for r in spark.createDataFrame(titles, "t string").select(facts["is_question"].alias("q")).collect()] == [True, True, False, False, True, True, False]
