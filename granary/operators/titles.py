@@ -3,7 +3,7 @@
 A new title is compared with the `most` known ones of the highest score among those that share `share` of its distinct words.
 Known titles that are the same after normalising are one class, so copies can't crowd out others. Candidates come from an
 equi-join on words: whoever shares at least m of n words shares one of the n - m + 1 rarest, so only those of the new
-side are joined. The ratio is taken in Arrow batches, after upper bounds by length and by counts of characters.
+side are joined; the rest are looked up for the pairs found so, as rows of numbers and one word. The ratio is taken in Arrow batches, after upper bounds by length and by counts of characters.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import normalised
+from granary.session import durable
 
 #: The share of words, the number of titles compared, the least ratio.
 SHARE, MOST, LEAST = 0.8, 10, 0.85
@@ -42,31 +43,46 @@ def sequence_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
 
 
 def _classes(df: DataFrame, id_col: str, title_col: str) -> DataFrame:
+    """number, name, id, words, long, many, length (words, distinct ones, characters): a row for each title, numbered in the order of the names.
+
+    Kept, as numbers have to stay.
+    """
     rows = df.select(F.col(id_col).alias("id"), normalised(F.col(title_col)).alias("name")).where("name <> ''")
-    return rows.groupBy("name").agg(F.min("id").alias("id")).withColumn("words", F.split("name", " ", -1))
+    classes = rows.groupBy("name").agg(F.min("id").alias("id")).withColumn("words", F.split("name", " ", -1))
+    classes = classes.select("name", "id", "words", F.size("words").alias("long"), F.size(F.array_distinct("words")).alias("many"), F.length("name").alias("length"))
+    return durable(classes.orderBy("name").withColumn("number", F.monotonically_increasing_id()))
 
 
 def candidates(new: DataFrame, known: DataFrame, share: float = SHARE) -> DataFrame:
-    """(name, other, id, score) of classes (name, id, words): which known names share enough words with which new ones, and how well."""
-    size = known.agg(F.count(F.lit(1)).alias("classes"), F.avg(F.size("words")).alias("usual"))
-    df = known.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    each = new.select("name", F.explode(F.array_distinct("words")).alias("w")).join(df, "w", "left").na.fill(0, ["df"])
-    asked = each.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("asked"))  # a title's words
+    """(ours, theirs, score) of numbered classes: which known names share enough words with which new ones, and how well.
+
+    Only numbers, words and counts are shuffled, never titles: the words of a pair that are not among the rarest are looked up
+    one by one. A known name of fewer distinct words than have to be shared is no candidate, however rare a word they share.
+    """
+    held = known.select(F.col("number").alias("theirs"), "long", "many", F.explode("words").alias("w"))
+    held = durable(held.groupBy("theirs", "w", "long", "many").agg(F.count(F.lit(1)).alias("times")))
+    size = known.agg(F.count(F.lit(1)).alias("classes"), F.avg("long").alias("usual"))
+    df = held.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    each = new.select(F.col("number").alias("ours"), F.explode(F.array_distinct("words")).alias("w")).join(df, "w", "left").na.fill(0, ["df"])
+    asked = each.groupBy("ours").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("asked"))  # a title's words
     asked = asked.withColumn("need", F.greatest(F.lit(1), F.floor(F.size("asked") * F.lit(share) + 1e-9)).cast("int"))
-    rare = asked.select("name", F.explode(F.slice("asked", F.lit(1), F.size("asked") - F.col("need") + 1)).alias("e")).where("e.df > 0")
-    held = known.select(F.col("name").alias("other"), F.explode(F.array_distinct("words")).alias("w"))
-    met = rare.select("name", F.col("e.w").alias("w")).join(held, "w").select("name", "other").distinct()
-    pairs = met.join(asked, "name").join(known.select(F.col("name").alias("other"), "id", "words"), "other")
-    shared = F.filter("asked", lambda a: F.array_contains(F.col("words"), a["w"]))
-    pairs = pairs.withColumn("shared", shared).where(F.size("shared") >= F.col("need")).join(F.broadcast(size))  # one row
+    asked = asked.withColumn("first", F.size("asked") - F.col("need") + 1)
+
+    def among(words: Column) -> DataFrame:
+        return asked.select("ours", "need", F.explode(words).alias("e")).where("e.df > 0").select("ours", "need", "e.w", "e.df")
 
-    def weight(a: Column) -> Column:
-        times = F.size(F.filter("words", lambda w: w == a["w"]))
-        idf = F.log(1 + (F.col("classes") - a["df"] + 0.5) / (a["df"] + 0.5))
-        return idf * times * (K1 + 1) / (times + K1 * (1 - B + B * F.size("words") / F.col("usual")))
+    def weighed(rows: DataFrame) -> DataFrame:
+        times = F.col("times")
+        idf = F.log(1 + (F.col("classes") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        part = idf * times * (K1 + 1) / (times + K1 * (1 - B + B * F.col("long") / F.col("usual")))
+        return rows.join(F.broadcast(size)).groupBy("ours", "theirs", "need").agg(F.count(F.lit(1)).alias("shared"), F.sum(part).alias("score"))  # one row
 
-    score = F.aggregate("shared", F.lit(0.0), lambda acc, a: acc + weight(a))
-    return pairs.select("name", "other", "id", F.round(score, 6).alias("score"))
+    met = weighed(among(F.slice("asked", F.lit(1), F.col("first"))).join(held, "w").where("many >= need"))
+    met = durable(met)
+    others = among(F.slice("asked", F.col("first") + 1, F.size("asked") - F.col("first"))).drop("need")
+    more = weighed(met.select("ours", "theirs", "need").join(others, "ours").join(held, ["theirs", "w"]))
+    rows = met.unionByName(more).groupBy("ours", "theirs", "need").agg(F.sum("shared").alias("shared"), F.sum("score").alias("score"))
+    return rows.where("shared >= need").select("ours", "theirs", F.round("score", 6).alias("score"))
 
 
 def near_titles(new: DataFrame, known: DataFrame, id_col: str, title_col: str, share: float = SHARE, most: int = MOST, least: float = LEAST) -> DataFrame:
@@ -76,11 +92,15 @@ def near_titles(new: DataFrame, known: DataFrame, id_col: str, title_col: str, s
     """
     ours, theirs = _classes(new, id_col, title_col), _classes(known, id_col, title_col)
     found = candidates(ours, theirs, share)
-    order = [F.col("score").desc(), F.col("other")]
-    part = F.pmod(F.xxhash64("other"), F.lit(SPREAD)).alias("part")
-    best = found.select("*", part).withColumn("place", F.row_number().over(Window.partitionBy("name", "part").orderBy(*order))).where(F.col("place") <= most)
-    best = best.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy(*order))).where(F.col("place") <= most)
-    near = best.withColumn("ratio", sequence_ratio(F.col("name"), F.col("other"), least)).where(F.col("ratio").isNotNull())
+    order = [F.col("score").desc(), F.col("theirs")]
+    part = F.pmod(F.xxhash64("theirs"), F.lit(SPREAD)).alias("part")
+    best = found.select("*", part).withColumn("place", F.row_number().over(Window.partitionBy("ours", "part").orderBy(*order))).where(F.col("place") <= most)
+    best = best.withColumn("place", F.row_number().over(Window.partitionBy("ours").orderBy(*order))).where(F.col("place") <= most).select("ours", "theirs", "place")
+    for side, classes in (("ours", ours), ("theirs", theirs)):  # lengths first: most pairs can't reach the ratio, and their titles stay where they are
+        best = best.join(classes.select(F.col("number").alias(side), F.col("length").alias(f"{side}_length")), side)
+    best = best.where(2 * F.least("ours_length", "theirs_length") / (F.col("ours_length") + F.col("theirs_length")) >= least - 1e-9).select("ours", "theirs", "place")
+    pairs = best.join(ours.select(F.col("number").alias("ours"), "name"), "ours").join(theirs.select(F.col("number").alias("theirs"), F.col("name").alias("other"), "id"), "theirs")
+    near = pairs.withColumn("ratio", sequence_ratio(F.col("name"), F.col("other"), least)).where(F.col("ratio").isNotNull())
     first = near.groupBy("name").agg(F.min_by(F.struct("id", "ratio"), "place").alias("found"))
     rows = new.select(F.col(id_col), normalised(F.col(title_col)).alias("name"))
     return rows.join(first, "name", "left").select(id_col, F.col("found.id").alias("duplicate_of"), F.col("found.ratio").alias("ratio"))

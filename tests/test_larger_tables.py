@@ -39,3 +39,16 @@ def test_a_question_word_ends_before_an_accent(spark):
     titles = [("Do\u00f3 ci\u00f3nado",), ("do it",), ("dough",), ("do_it",), ("do",), ("is\u4e2d",), ("redo it",)]
     facts = E.thread_facts(F.col("t"), F.lit(""), F.array().cast("array<string>"), F.lit(False), [], [])
     assert [r.q for r in spark.createDataFrame(titles, "t string").select(facts["is_question"].alias("q")).collect()] == [True, True, False, False, True, True, False]
+
+
+def test_candidates_of_titles_are_rows_of_numbers(spark):
+    from granary.operators import titles
+
+    many = " ".join(f"w{i}" for i in range(3000))
+    new = spark.createDataFrame([(1, "w1 w2 rare"), (2, many + " more"), (3, "w7")], "id long, title string")
+    known = spark.createDataFrame([(10, many), (11, "w1 w2 rare thing"), (12, "w7"), (13, "w7 w8")], "id long, title string")
+    ours, theirs = titles._classes(new, "id", "title"), titles._classes(known, "id", "title")
+    found = titles.candidates(ours, theirs)
+    assert found.dtypes == [("ours", "bigint"), ("theirs", "bigint"), ("score", "double")]  # the titles themselves are not sent with each pair
+    named = found.join(ours.select(F.col("number").alias("ours"), "id"), "ours").join(theirs.select(F.col("number").alias("theirs"), F.col("id").alias("other")), "theirs")
+    assert sorted((r.id, r.other) for r in named.collect()) == [(1, 10), (1, 11), (2, 10), (3, 10), (3, 12), (3, 13)]
