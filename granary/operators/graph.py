@@ -115,8 +115,21 @@ def together(rows: DataFrame, group: str, member: str, least: int = 2) -> DataFr
     if least > 1:
         able = one.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("a")
         one = one.join(able, "a", "left_semi")
-    pairs = one.join(one.select("g", F.col("a").alias("b")), "g").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= least)
+    parts = _parts(rows, group)
+    pairs = one.repartition(parts, "g").join(one.select("g", F.col("a").alias("b")).repartition(parts, "g"), "g").where("a < b")
+    return pairs.select("a", "b").repartition(parts, "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= least)
+
+
+#: Pairs a task.
+TASK_PAIRS = 1_000_000
+
+
+def _parts(rows: DataFrame, group: str) -> int:
+    """Tasks for the pairs of all groups, so that the memory of one stays the same however many pairs there are."""
+    n = F.count(F.lit(1)).cast("double")
+    sizes = rows.groupBy(group).agg(n.alias("n")).agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
+    most = max(x or 0.0 for x in sizes)
+    return int(min(max(rows.sparkSession.sparkContext.defaultParallelism, most // TASK_PAIRS + 1), 20_000))
 
 
 def centrality(links: DataFrame, top: int = 10) -> DataFrame:

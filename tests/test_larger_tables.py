@@ -52,3 +52,14 @@ def test_candidates_of_titles_are_rows_of_numbers(spark):
     assert found.dtypes == [("ours", "bigint"), ("theirs", "bigint"), ("score", "double")]  # the titles themselves are not sent with each pair
     named = found.join(ours.select(F.col("number").alias("ours"), "id"), "ours").join(theirs.select(F.col("number").alias("theirs"), F.col("id").alias("other")), "theirs")
     assert sorted((r.id, r.other) for r in named.collect()) == [(1, 10), (1, 11), (2, 10), (3, 10), (3, 12), (3, 13)]
+
+
+def test_pairs_of_groups_are_dealt_by_their_number(spark, monkeypatch):
+    from granary.operators import graph as G
+
+    monkeypatch.setattr(G, "TASK_PAIRS", 100)
+    rows = spark.range(3).crossJoin(spark.range(50).withColumnRenamed("id", "m")).withColumnRenamed("id", "g")
+    pairs = G.together(rows, "g", "m", 2)
+    assert pairs.rdd.getNumPartitions() == 3 * (50 * 49 // 2) // 100 + 1  # before: as many as the session has, however many pairs
+    assert pairs.count() == 50 * 49 // 2 and pairs.agg(F.min("weight"), F.max("weight")).first() == (3, 3)
+    assert G.together(rows.limit(0), "g", "m", 2).count() == 0
