@@ -43,13 +43,22 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _counts(t: Column) -> Column:
+    """(term, tf) of a sorted array of tokens: where the runs of equal ones end, and how far apart."""
+    ends = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: ~F.get(t, i - 1).eqNullSafe(F.get(t, i)))
+    runs = F.zip_with(ends, F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0)))), lambda e, before: F.struct(F.get(t, e - 1).alias("term"), (e - before).alias("tf")))
+    return F.when(F.size(t) > 0, runs)
+
+
 def write_index(docs: DataFrame, id_col: str, fields: dict[str, Column], path: str) -> None:
-    """Tokenises each field once; a document's counts are made before the shuffle, by ranges of term and id, so a common word is several tasks."""
-    each = F.array(*(F.struct(F.lit(name).alias("field"), tokens(text).alias("t")) for name, text in fields.items()))
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(each).alias("e")).select("id", "e.field", F.size("e.t").alias("len"), "e.t")
-    counts = rows.select("id", "field", "len", F.explode("t").alias("term")).groupBy("field", "term", "id", "len").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    counts = counts.withColumn("bucket", _bucket(F.col("term"))).repartitionByRange("bucket", "field", "term", "id").sortWithinPartitions("bucket", "field", "term", "id")
-    counts.write.partitionBy("bucket").parquet(f"{path}/postings")
+    """Tokenises each field once and counts a text's terms in its own row; postings are shuffled once, by term bucket and part of the ids, so a common word is several tasks."""
+    each = F.array(*(F.struct(F.lit(name).alias("field"), F.array_sort(tokens(text)).alias("t")) for name, text in fields.items()))
+    rows = docs.select(F.col(id_col).alias("id"), F.explode(each).alias("e")).select("id", "e.field", "e.t")
+    counts = rows.select("id", "field", F.size("t").alias("len"), F.explode(_counts(F.col("t"))).alias("c")).select("id", "field", "len", "c.term", "c.tf")
+    parts = max(1, -(-docs.rdd.getNumPartitions() // 8))
+    counts = counts.withColumn("bucket", _bucket(F.col("term")))
+    counts = counts.repartition(BUCKETS * parts, "bucket", F.pmod(F.xxhash64("id"), F.lit(parts))).sortWithinPartitions("bucket", "field", "term", "id")
+    counts.select("field", "term", "id", "len", "tf", "bucket").write.partitionBy("bucket").parquet(f"{path}/postings")
     stored = docs.sparkSession.read.parquet(f"{path}/postings")
     vocabulary = stored.groupBy("bucket", "field", "term").agg(F.count(F.lit(1)).alias("df"))
     vocabulary.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/vocabulary")

@@ -63,3 +63,17 @@ def test_pairs_of_groups_are_dealt_by_their_number(spark, monkeypatch):
     assert pairs.rdd.getNumPartitions() == 3 * (50 * 49 // 2) // 100 + 1  # before: as many as the session has, however many pairs
     assert pairs.count() == 50 * 49 // 2 and pairs.agg(F.min("weight"), F.max("weight")).first() == (3, 3)
     assert G.together(rows.limit(0), "g", "m", 2).count() == 0
+
+
+def test_terms_are_counted_in_their_own_row(spark, tmp_path):
+    from granary.operators import search as S
+
+    rows = spark.createDataFrame([(1, ["a", "b", "b", "c"]), (2, []), (3, ["z"]), (4, ["q", "q", "q"])], "id int, t array<string>")
+    got = {r.id: r.c and [tuple(c) for c in r.c] for r in rows.select("id", S._counts(F.col("t")).alias("c")).collect()}
+    assert got == {1: [("a", 1), ("b", 2), ("c", 1)], 2: None, 3: [("z", 1)], 4: [("q", 3)]}
+    docs = spark.createDataFrame([(i, "the The other" if i % 2 else None) for i in range(400)], "id long, text string").repartition(64)
+    S.write_index(docs, "id", {"text": F.col("text")}, str(tmp_path / "index"))
+    index = S.read_index(spark, str(tmp_path / "index"))
+    assert index.numbers == {"text": (400, 1.5)}
+    assert {tuple(r) for r in index.postings.groupBy("term").agg(F.count("id"), F.min("tf"), F.max("len")).collect()} == {("the", 200, 2, 3), ("other", 200, 1, 3)}
+    assert index.postings.where("term = 'the'").select(F.input_file_name()).distinct().count() > 1
