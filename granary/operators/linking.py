@@ -95,11 +95,16 @@ def similar_titles(df: DataFrame, id_col: str, title_col: str, least: float = 0.
 def shared_identifiers(df: DataFrame, id_col: str, identifiers: str) -> DataFrame:
     """left_id, right_id, kind: pairs that share a pmid, else a doi, else a url (J7, J8); identifiers is the struct of text.identifiers.
 
+    A pair that shares several is made by the best of them alone, so pairs are not shuffled.
     For identifiers that few rows share; identifier_links tells the same in one row an id and identifier, however many share it.
     """
-    rows = _identifiers(df, id_col, identifiers)
-    pairs = rows.select(F.col("id").alias("left_id"), "rank", "value").join(rows.select(F.col("id").alias("right_id"), "rank", "value"), ["rank", "value"]).where("left_id <> right_id")
-    return pairs.groupBy("left_id", "right_id").agg(F.min("rank").alias("rank")).select("left_id", "right_id", _kind(F.col("rank")).alias("kind"))
+    rows = _identifiers(df, id_col, identifiers).distinct()
+    common = rows.groupBy("rank", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank", "value")
+    held = rows.join(common, ["rank", "value"]).groupBy("id").agg(F.collect_list(F.struct("rank", "value")).alias("every"))  # a row's own
+    each = held.select("id", "every", F.explode("every").alias("e"))
+    left, right = each.select(F.col("id").alias("left_id"), F.col("every").alias("_l"), "e"), each.select(F.col("id").alias("right_id"), F.col("every").alias("_r"), "e")
+    pairs = left.join(right, "e").where("left_id <> right_id").where(F.array_min(F.array_intersect("_l", "_r")) == F.col("e"))
+    return pairs.select("left_id", "right_id", _kind(F.col("e.rank")).alias("kind"))
 
 
 def identifier_links(df: DataFrame, id_col: str, identifiers: str) -> DataFrame:

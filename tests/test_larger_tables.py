@@ -77,3 +77,12 @@ def test_terms_are_counted_in_their_own_row(spark, tmp_path):
     assert index.numbers == {"text": (400, 1.5)}
     assert {tuple(r) for r in index.postings.groupBy("term").agg(F.count("id"), F.min("tf"), F.max("len")).collect()} == {("the", 200, 2, 3), ("other", 200, 1, 3)}
     assert index.postings.where("term = 'the'").select(F.input_file_name()).distinct().count() > 1
+
+
+def test_pairs_that_share_identifiers_are_not_shuffled(spark):
+    ids = "struct<pmids:array<string>,dois:array<string>,urls:array<string>>"
+    rows = spark.createDataFrame([(1, (["5", "6"], ["d"], [])), (2, (["6", "5"], ["d"], ["u"])), (3, ([], ["d"], ["u", "u"])), (4, (["9"], [], [])), (4, (["9"], ["x"], []))], f"id long, i {ids}")
+    found = K.shared_identifiers(rows, "id", "i")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 2, "pmid"), (1, 3, "doi"), (2, 1, "pmid"), (2, 3, "doi"), (3, 1, "doi"), (3, 2, "doi")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]  # nothing is grouped above the join that makes the pairs
