@@ -6,8 +6,11 @@ so one large file is read in many tasks, in any store, and no task holds more th
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.functions.text import clean
 from granary.sources.readers import bibliography_of, ids_of
@@ -32,6 +35,23 @@ FULL_TEXT = """
 front struct<`article-meta`:struct<`contrib-group`:array<struct<contrib:array<struct<
   `_contrib-type`:string, name:array<struct<surname:string, `given-names`:string>>, collab:array<string>,
   `contrib-id`:array<struct<`_contrib-id-type`:string, _VALUE:string>>, aff:array<string>, xref:array<struct<`_ref-type`:string, _rid:string>>>>>>>>"""
+#: The elements that a field of a record is made of, and the field that another is derived from.
+_C, _A, _P = "MedlineCitation", "MedlineCitation.Article", "PubmedData"
+_PRINTED, _OTHER, _HISTORY, _IDS = f"{_A}.Journal.JournalIssue.PubDate", f"{_A}.ArticleDate", f"{_P}.History", f"{_P}.ArticleIdList"
+ELEMENTS = {
+    "pmc_id": (_IDS,), "doi": (f"{_A}.ELocationID", _IDS), "vernacular_title": (f"{_A}.VernacularTitle",), "abstract": (f"{_A}.Abstract",), "abstract_sections": (f"{_A}.Abstract",), "authors": (f"{_A}.AuthorList",),
+    "journal": (f"{_A}.Journal.Title",), "journal_info": (f"{_A}.Journal.Title", f"{_A}.Journal.ISOAbbreviation", f"{_A}.Journal.ISSN", f"{_C}.MedlineJournalInfo"), "year": (f"{_PRINTED}.Year", f"{_PRINTED}.MedlineDate"),
+    "published_date": (_PRINTED, _OTHER, _HISTORY), "electronic_date": (_OTHER,), "print_date": (_OTHER,), "received_date": (_HISTORY,), "accepted_date": (_HISTORY,), "revised_date": (f"{_C}.DateRevised",), "pubmed_date": (_HISTORY,), "medline_date": (f"{_C}.DateCompleted",),
+    "volume": (f"{_A}.Journal.JournalIssue.Volume",), "issue": (f"{_A}.Journal.JournalIssue.Issue",), "pages": (f"{_A}.Pagination",), "keywords": (f"{_C}.KeywordList",), "mesh_terms": (f"{_C}.MeshHeadingList",), "publication_types": (f"{_A}.PublicationTypeList",),
+    "chemicals": (f"{_C}.ChemicalList",), "language": (f"{_A}.Language",), "grants": (f"{_A}.GrantList",), "reference_count": (f"{_C}.NumberOfReferences",), "medline_status": (f"{_C}._Status",), "indexing_method": (f"{_C}._IndexingMethod",),
+}
+FIELDS = tuple(
+    (
+        "id pmid pmc_id doi title vernacular_title abstract abstract_sections authors author_count journal journal_info year published_date electronic_date print_date received_date accepted_date revised_date "
+        "pubmed_date medline_date volume issue pages keywords mesh_terms publication_types chemicals language grants has_funding reference_count url medline_status indexing_method has_pmc_full_text pmc_url"
+    ).split()
+)
+DERIVED = {"author_count": "authors", "has_funding": "grants", "has_pmc_full_text": "pmc_id", "pmc_url": "pmc_id"}
 INLINE = r"</?(?:i|b|u|sup|sub|sc|em|strong|italic|bold|mml:[A-Za-z]+)(?:\s[^>]*)?/?>"
 AFFILIATION_PARTS = r"</?(?:label|institution|institution-wrap|institution-id|addr-line|city|state|country|postal-code|named-content|email|ext-link|break)(?:\s[^>]*)?/?>"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -94,15 +114,29 @@ def _authors(listed: Column) -> Column:
     return F.coalesce(found, F.array().cast("array<struct<position:int,last_name:string,first_name:string,initials:string,name:string,full_name:string,is_collective:boolean,affiliation:string,orcid:string,is_equal_contributor:boolean>>"))
 
 
-def article_records(rows: DataFrame, xml: str) -> DataFrame:
-    """The 37 fields of each article's XML (SC9, X8, X9, Z2-Z9).
+def _narrowed(schema: T.StructType, wanted: Sequence[str]) -> T.StructType:
+    """The schema with the wanted paths and what lies below them alone."""
+    out = T.StructType()
+    for f in schema.fields:
+        below = [w[len(f.name) + 1 :] for w in wanted if w == f.name or w.startswith(f"{f.name}.")]
+        if below:
+            out.add(f.name, f.dataType if "" in below else _narrowed(f.dataType, below))
+    return out
+
+
+def article_records(rows: DataFrame, xml: str, fields: Sequence[str] | None = None) -> DataFrame:
+    """The 37 fields of each article's XML (SC9, X8, X9, Z2-Z9), or those named: the parser makes only the elements these need, as each costs it more than reading over it.
 
     Rows that are null, don't parse, or have no citation, id or article are left out. Tags inside running text are taken out first, so that
     titles and abstracts are whole. A doi or full-text id is the article's own, never one of its references. No list is null.
     """
+    record = T.StructType.fromDDL(RECORD)
+    if fields is not None:
+        base = {DERIVED.get(f, f) for f in fields}
+        record = _narrowed(record, [f"{_C}.PMID", f"{_A}.ArticleTitle", *(e for f in base for e in ELEMENTS.get(f, ()))])
     # inline keeps filters and fields from parsing again: Spark would copy the parser into each.
-    parsed = rows.select(F.inline(F.array(F.from_xml(F.regexp_replace(xml, INLINE, ""), RECORD)))).where("MedlineCitation.PMID <> '' AND MedlineCitation.Article IS NOT NULL")
-    parsed = parsed.select(F.col("MedlineCitation").alias("m"), F.col("MedlineCitation.Article").alias("a"), F.col("PubmedData").alias("p"))
+    parsed = rows.select(F.inline(F.array(F.from_xml(F.regexp_replace(xml, INLINE, ""), record)))).where("MedlineCitation.PMID <> '' AND MedlineCitation.Article IS NOT NULL")
+    parsed = parsed.select(F.col("MedlineCitation").alias("m"), F.col("MedlineCitation.Article").alias("a"), *([F.col("PubmedData").alias("p")] if "PubmedData" in record.names else []))
     m, a, p = F.col("m"), F.col("a"), F.col("p")
     ids = p["ArticleIdList"]["ArticleId"]
     journal, issue, more = a["Journal"], a["Journal"]["JournalIssue"], m["MedlineJournalInfo"]
@@ -149,8 +183,7 @@ def article_records(rows: DataFrame, xml: str) -> DataFrame:
     pages = F.coalesce(_blank(pages["MedlinePgn"]), F.when(_blank(pages["StartPage"]).isNotNull(), F.concat_ws("-", _blank(pages["StartPage"]), _blank(pages["EndPage"]))))
     full = own(ids, "_IdType", "pmc")
     full = F.when(full.startswith("PMC"), full).otherwise(F.concat(F.lit("PMC"), _blank(full)))
-    authors = _authors(a["AuthorList"]["Author"])
-    return parsed.select(
+    made = (
         F.concat(F.lit("PMID"), m["PMID"]).alias("id"),
         m["PMID"].alias("pmid"),
         full.alias("pmc_id"),
@@ -159,8 +192,8 @@ def article_records(rows: DataFrame, xml: str) -> DataFrame:
         a["VernacularTitle"].alias("vernacular_title"),
         F.coalesce(clean(F.array_join(lines, " ")), F.lit("")).alias("abstract"),
         F.coalesce(sections, F.create_map().cast("map<string,string>")).alias("abstract_sections"),
-        authors.alias("authors"),
-        F.size(authors).alias("author_count"),
+        _authors(a["AuthorList"]["Author"]).alias("authors"),
+        F.size("authors").alias("author_count"),
         F.coalesce(journal["Title"], F.lit("")).alias("journal"),
         info.alias("journal_info"),
         F.coalesce(year, F.lit("")).alias("year"),
@@ -181,14 +214,18 @@ def article_records(rows: DataFrame, xml: str) -> DataFrame:
         F.coalesce(substances, F.array().cast("array<struct<registry_number:string,name:string,ui:string>>")).alias("chemicals"),
         F.coalesce(_blank(F.get(a["Language"], F.lit(0))), F.lit("eng")).alias("language"),
         grants.alias("grants"),
-        (F.size(grants) > 0).alias("has_funding"),
+        (F.size("grants") > 0).alias("has_funding"),
         F.when(m["NumberOfReferences"].rlike("^[0-9]+$"), m["NumberOfReferences"].try_cast("int")).otherwise(0).alias("reference_count"),
         F.concat(F.lit(ARTICLE_URL), m["PMID"], F.lit("/")).alias("url"),
         F.coalesce(m["_Status"], F.lit("PubMed")).alias("medline_status"),
         m["_IndexingMethod"].alias("indexing_method"),
-        full.isNotNull().alias("has_pmc_full_text"),
-        F.concat(F.lit(FULL_TEXT_URL), full, F.lit("/")).alias("pmc_url"),
+        F.col("pmc_id").isNotNull().alias("has_pmc_full_text"),
+        F.concat(F.lit(FULL_TEXT_URL), "pmc_id", F.lit("/")).alias("pmc_url"),
     )
+    named = dict(zip(FIELDS, made, strict=True))
+    wanted = FIELDS if fields is None else fields
+    first = dict.fromkeys(DERIVED.get(f, f) for f in wanted)  # what others are derived from is made once
+    return parsed.select(*(named[f] for f in first)).select(*(named[f] if f in DERIVED else f for f in wanted))
 
 
 def full_text_authors(rows: DataFrame, key: str, xml: str) -> DataFrame:

@@ -31,6 +31,26 @@ def test_all_fields(spark):
     assert empty.authors == [] and empty.grants == [] and empty.keywords == [] and empty.abstract == "" and empty.abstract_sections == {} and empty.language == "eng" and empty.doi is None and empty.published_date is None and empty.medline_status == "PubMed"
 
 
+def test_fields_that_are_not_wanted_are_not_parsed(spark):
+    bare = "<PubmedArticle><MedlineCitation><PMID>5</PMID><Article/></MedlineCitation></PubmedArticle>"
+    rows = spark.createDataFrame([(x,) for x in (ONE, "bad", None, bare)], "x string")
+    whole = A.article_records(rows, "x")
+    assert tuple(whole.columns) == A.FIELDS
+    want = {r.pmid: r for r in whole.collect()}
+    for some in (["grants", "has_funding"], ["pmc_url", "author_count"], ["published_date", "journal_info", "doi"], ["url", "language"]):
+        got = A.article_records(rows, "x", ["pmid", *some])
+        assert got.columns == ["pmid", *some] and {r.pmid: tuple(r) for r in got.collect()} == {k: (k, *(r[f] for f in some)) for k, r in want.items()}
+    plan = A.article_records(rows, "x", ["grants"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "GrantList" in plan and "AuthorList" not in plan and "PubmedData" not in plan
+
+
+def test_orders_are_dealt_to_tasks_before_they_are_parsed(spark, monkeypatch):
+    from granary.plans import articles as P
+
+    monkeypatch.setattr(P, "TASK_ROWS", 100)
+    assert P.article_records(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 1500 // 100 + 1  # before: one task a split of the file
+
+
 @pytest.mark.parametrize(("day", "want"), [(("2020", "3", "4"), "2020-03-04"), (("2020", "Sept", None), "2020-09-01"), (("2020", "Winter", "4"), "2020-01-01"), (("2020", None, "4"), "2020-01-01"), (("2020", "11", ""), "2020-11-01"), ((None, "1", "1"), None), (("", "1", "1"), None)])
 def test_days(spark, day, want):
     df = spark.createDataFrame([(day,)], "d struct<Year:string,Month:string,Day:string>")
