@@ -6,12 +6,14 @@ Names that mark official content are parameters.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from granary.functions import text as T
 from granary.functions.scores import ladder
 
 Fields = dict[str, Column]
@@ -41,6 +43,11 @@ def _sum(base: float, parts: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts, F.lit(base))
 
 
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value) with the value computed once; Spark computes it anew in each branch of a case."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def by_type(content_type: Column, scores: dict[str, Column], other: float) -> Column:
     """The score of the row's type, at most 1."""
     out = F.lit(other)
@@ -158,10 +165,17 @@ INDICATORS = {
 }
 
 
+def _any_of(text: Column, pattern: str) -> Column:
+    """Whether any alternative of the pattern, none in brackets, is in the text: plain words are searched as such, which costs a small part of a regular expression."""
+    plain = [w for w in pattern.split("|") if re.fullmatch(r"\w+", w)]
+    rest = [w for w in pattern.split("|") if w not in plain]
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in plain] + [text.contains(re.match(r"\w*", w)[0]) & text.rlike(f"(?d){w}") for w in rest])
+
+
 def indicators(text: Column) -> Column:
     """Struct of the eight flags of a page's contents."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.struct(*(low.rlike(p).alias(n) for n, p in INDICATORS.items()))
+    return F.struct(*(_any_of(low, p).alias(n) for n, p in INDICATORS.items()))
 
 
 def documentation_quality(fields: Fields, flags: Column) -> Column:
@@ -169,7 +183,7 @@ def documentation_quality(fields: Fields, flags: Column) -> Column:
     share = reduce(lambda a, b: a + b, [flags[n].cast("int") for n in INDICATORS]) / float(len(INDICATORS))
     kind = _t(fields, "doc_type")
     parts = [
-        ladder(_n(fields, "n_words"), [(1000, 0.15), (500, 0.08)]),
+        _once(_n(fields, "n_words"), lambda n: ladder(n, [(1000, 0.15), (500, 0.08)])),
         _if(_t(fields, "description") != "", 0.05),
         _if(_n(fields, "n_headings") > 3, 0.1),
         _if(_n(fields, "n_code") > 0, 0.1),
@@ -189,8 +203,7 @@ TECHNICAL = ("analysis", "method", "algorithm", "model", "data", "study")
 def transcript_quality(text: Column, n_mentions: Column) -> Column:
     """From 0.5, by words, structure, mentions, numbers and technical words; 0 without a text."""
     t = F.coalesce(text, F.lit(""))
-    low = F.lower(t)
-    terms = reduce(lambda a, b: a + b, [low.contains(w).cast("int") for w in TECHNICAL])
-    words = F.regexp_count(t, F.lit(r"\S+"))
-    score = _sum(0.5, [ladder(words, [(1000, 0.2), (500, 0.1)]), _if(t.contains("\n\n") | t.contains(". "), 0.1), ladder(n_mentions, [(5, 0.2), (2, 0.1)]), _if(t.rlike(r"\b[0-9]+\b"), 0.05), _if(terms > 3, 0.05)])
+    terms = _once(F.lower(t), lambda low: reduce(lambda a, b: a + b, [low.contains(w).cast("int") for w in TECHNICAL]))
+    words = _once(F.size(T.words(text)), lambda n: ladder(n, [(1000, 0.2), (500, 0.1)]))
+    score = _sum(0.5, [words, _if(t.contains("\n\n") | t.contains(". "), 0.1), ladder(n_mentions, [(5, 0.2), (2, 0.1)]), _if(t.rlike(r"\b[0-9]+\b"), 0.05), _if(terms > 3, 0.05)])
     return F.when(t == "", 0.0).otherwise(F.least(F.lit(1.0), score))

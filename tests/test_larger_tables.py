@@ -1,5 +1,6 @@
 """Steps whose cost grew faster than their rows, and results at values that only larger tables have."""
 
+import re
 import time
 
 from pyspark.sql import functions as F
@@ -86,3 +87,15 @@ def test_pairs_that_share_identifiers_are_not_shuffled(spark):
     assert sorted(tuple(r) for r in found.collect()) == [(1, 2, "pmid"), (1, 3, "doi"), (2, 1, "pmid"), (2, 3, "doi"), (3, 1, "doi"), (3, 2, "doi")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Join")]  # nothing is grouped above the join that makes the pairs
+
+
+def test_flags_search_plain_words_without_regular_expressions(spark):
+    from granary.functions import quality as Q
+
+    texts = ["an EXAMPLE", "stepXby step", "step\rby\u2028step", "step\nby step", "how to", "howto", "how\nto how-to", "step by", "", None, "faq glossary error api guide install manual"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    flags = rows.select("i", "t", Q.indicators(F.col("t")).alias("f"), Q.transcript_quality(F.col("t"), F.lit(3)).alias("q"))
+    want = [{n: bool(re.search(p.replace(".", "[^\n]"), (t or "").lower())) for n, p in Q.INDICATORS.items()} for t in texts]
+    assert [r.f.asDict() for r in flags.orderBy("i").collect()] == want  # before: other line ends than \\n stopped the dot, unlike SQL's
+    plan = flags._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") <= 3 and plan.count("split(") == 1  # before: one for each flag, and the words counted anew for each step of the score
