@@ -24,8 +24,8 @@ from granary.session import durable
 SHARE, GAP_SHARE, LEAST_DOCS, GROUP_DOCS, CONTEXTS = 0.30, 0.15, 3, 5, 3
 #: Recall aimed at and queries at most; a gap of fewer documents is left alone.
 TARGET, MOST_QUERIES, LEAST_GAP = 0.90, 15, 10
-#: Terms in one automaton.
-BLOCK = 200_000
+#: Terms whose parts one task makes; a term of a title has some sixty.
+BLOCK = 20_000
 
 
 @dataclass(frozen=True)
@@ -90,25 +90,23 @@ def occurrences(docs: DataFrame, key: str, text: Column, terms: Sequence[str]) -
 
 
 def without_subsumed(terms: DataFrame) -> DataFrame:
-    """terms (term, score) without those that lie inside a longer one of a higher score, or of the same and smaller as text.
+    """terms (term, score), a row a term, without those that lie inside a longer one of a higher score, or of the same and smaller as text.
 
     What contains a kept term of higher rank is itself no bar: containment is transitive, so any better term that contains
-    one is enough, and no order of rounds is needed. Automata of BLOCK terms each find the containments inside tasks.
+    one is enough, and no order of rounds is needed. A term's parts of the lengths that terms have are rows; of each part the
+    best term that it is part of is kept, by an aggregate that combines in the tasks, so a part of very many terms is no large group.
     """
     terms = durable(terms.select("term", "score").where(F.col("term") != ""))
-    rows = terms.select(F.struct("term", "score").alias("key"), F.col("term").alias("text"))
-    blocks = -(-terms.count() // BLOCK)
-    found = []
-    for k in range(blocks):
-        part = terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k).select("term", "score").collect()
-        met = _found(rows, [(i, r["term"]) for i, r in enumerate(part)])
-        known = terms.sparkSession.createDataFrame([(i, r["term"], float(r["score"])) for i, r in enumerate(part)], "n int, inner string, score double")
-        met = met.select("key", F.explode("found").alias("n")).join(F.broadcast(known), "n").where(F.col("inner") != F.col("key.term"))
-        better = (F.col("key.score") > F.col("score")) | ((F.col("key.score") == F.col("score")) & (F.col("key.term") < F.col("inner")))
-        found.append(met.where(better).select(F.col("inner").alias("term")).distinct())
-    if not found:
+    size, lengths = F.length("term"), sorted(r[0] for r in terms.select(F.length("term")).distinct().collect())  # a number a length
+    if not lengths:
         return terms
-    return terms.join(reduce(lambda a, b: a.unionByName(b), found), "term", "left_anti").select("term", "score")
+    rows = terms.repartition(-(-terms.count() // BLOCK), "term")
+    rows = rows.select("term", "score", F.explode(F.filter(F.array(*map(F.lit, lengths)), lambda n: n < size)).alias("n"))
+    rows = rows.select("term", "score", "n", F.explode(F.sequence(F.lit(1), size - F.col("n") + 1)).alias("at"))
+    best = rows.groupBy(F.substr("term", F.col("at"), F.col("n")).alias("part")).agg(F.min(F.struct((-F.col("score")).alias("less"), F.col("term").alias("of"))).alias("best"))
+    met = terms.join(best, F.col("term") == F.col("part"), "left")
+    better = (-F.col("best.less") > F.col("score")) | ((-F.col("best.less") == F.col("score")) & (F.col("best.of") < F.col("term")))
+    return met.where(~F.coalesce(better, F.lit(False))).select("term", "score")
 
 
 def together(found: DataFrame, share: float = SHARE, least: int = LEAST_DOCS) -> DataFrame:

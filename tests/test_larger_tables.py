@@ -99,3 +99,22 @@ def test_flags_search_plain_words_without_regular_expressions(spark):
     assert [r.f.asDict() for r in flags.orderBy("i").collect()] == want  # before: other line ends than \\n stopped the dot, unlike SQL's
     plan = flags._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") <= 3 and plan.count("split(") == 1  # before: one for each flag, and the words counted anew for each step of the score
+
+
+def test_subsumed_terms_need_no_python_and_no_large_group(spark):
+    from granary.operators import query_learning as Q
+
+    rows = [("a", 5), ("a b", 5), ("b", 6), ("ab", 7), ("zz", 1), ("a b c", 4), ("ét", 2), ("été", 2), ("", 9), ("w" * 3000, 3), ("w" * 2999, 3), ("w" * 2998, 9)]
+    found = Q.without_subsumed(spark.createDataFrame(rows, "term string, score long"))
+    assert sorted(r.term for r in found.collect()) == sorted(kept_by_rule(dict(rows)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan  # before: an automaton of 200,000 terms in each Python worker, and each term met every automaton
+    assert Q.without_subsumed(spark.createDataFrame([("", 1)], "term string, score long")).count() == 0
+
+
+def kept_by_rule(scores):
+    kept = []
+    for t in sorted((t for t in scores if t), key=lambda t: (-scores[t], t)):
+        if not any(t in k for k in kept):
+            kept.append(t)
+    return kept
