@@ -5,7 +5,7 @@ Term statistics are one explode and one groupBy; what comes to the driver is a b
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from granary.functions.text import tokens
 from granary.session import durable
 
+#: Words that a plan holds as a set; of more, runs of all words are made.
+LITERALS = 8192
+
 
 def confusion(df: DataFrame, label: Column, predicted: Column) -> DataFrame:
     """One row: tp, fp, tn, fn, precision, recall, f1, fpr, fnr; 0 where a ratio has no base."""
@@ -57,27 +60,43 @@ def thresholds(df: DataFrame, score: str, label: str, steps: int = 20) -> DataFr
     return agg.select("threshold", safe(F.col("tp"), F.col("p")).alias("precision"), safe(F.col("tp"), F.col("y")).alias("recall"), safe(F.col("n") - F.col("p") - F.col("y") + F.col("tp"), F.col("n") - F.col("p")).alias("npv"))
 
 
-def grams(text: Column, most: int = 3) -> Column:
-    """Distinct word n-grams of 1 to `most` words."""
+def grams(text: Column, most: int = 3, words: Sequence[str] | None = None) -> Column:
+    """Distinct word n-grams of 1 to `most` words (L12); with `words` only those made of these."""
+
+    def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+        # bound once by a one-element transform, so that a text isn't split again for each gram
+        return F.get(F.transform(F.array(x), f), 0)
 
-    def of(t: Column, n: int) -> Column:
-        if n == 1:
-            return t
-        return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - n + 1)), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    def of(t: Column, runs: list[Column]) -> Column:
+        if len(runs) == most:
+            return F.array_distinct(F.array_compact(F.concat(*runs)))
+        # a run is the one a word shorter and the next word; null where that is missing or none of `words`
+        return bound(F.zip_with(runs[-1], F.slice(t, len(runs) + 1, F.size(t)), lambda a, b: F.concat(a, F.lit(" "), b)), lambda longer: of(t, [*runs, longer]))
 
-    # bound once by a one-element transform, so that a text isn't split again for each gram
-    return F.get(F.transform(F.array(tokens(text)), lambda t: F.array_distinct(F.concat(*(of(t, n) for n in range(1, most + 1))))), 0)
+    each = tokens(text)
+    if words is not None:
+        each = F.transform(each, lambda w: F.when(w.isin(list(words)), w))
+    return bound(each, lambda t: of(t, [t]))
 
 
-def term_statistics(df: DataFrame, text: str, label: str, most: int = 1, least_docs: int = 3) -> DataFrame:
-    """term, pos, neg, coverage (share of positives), specificity (share of positives among those with it)."""
+def term_statistics(df: DataFrame, text: str, label: str, most: int = 1, least_docs: int = 3, words: Sequence[str] | None = None) -> DataFrame:
+    """term, pos, neg, coverage (share of positives), specificity (share of positives among those with it) (A43, L11-L13); with `words` of terms made of these."""
     sizes = df.agg(F.sum(label).alias("all_pos"))
-    rows = df.select(F.col(label).alias("y"), F.explode(grams(F.col(text), most)).alias("term"))
+    rows = df.select(F.col(label).alias("y"), F.explode(grams(F.col(text), most, words)).alias("term"))
     rows = rows.groupBy("term").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs)
     rows = rows.join(F.broadcast(sizes))  # one row
     return rows.select("term", "pos", (F.col("n") - F.col("pos")).alias("neg"), (F.col("pos") / F.col("all_pos")).alias("coverage"), (F.col("pos") / F.col("n")).alias("specificity"))
 
 
+def covering_words(stats: DataFrame, coverage: float) -> list[str] | None:
+    """The words of at least this coverage, for `words`; None (no bound) if they are more than a plan should hold.
+
+    No term is in more positives than a word of it, so terms of this coverage are made of these words alone.
+    """
+    found = stats.where(F.col("coverage") >= coverage).select("term").limit(LITERALS + 1).collect()
+    return [r["term"] for r in found] if len(found) <= LITERALS else None
+
+
 def brand_terms(stats: DataFrame, coverage: float = 0.2, specificity: float = 0.95, most: int = 50) -> DataFrame:
     """Terms over both bounds by coverage times squared specificity."""
     rows = stats.where((F.col("coverage") >= coverage) & (F.col("specificity") >= specificity))

@@ -17,13 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.operators.learning import term_statistics
+from granary.operators.learning import covering_words, matches_query, term_statistics
 from granary.session import durable
 
 #: The least share of joint occurrences, documents with the phrase and in a group, contexts of a phrase.
 SHARE, GAP_SHARE, LEAST_DOCS, GROUP_DOCS, CONTEXTS = 0.30, 0.15, 3, 5, 3
 #: Recall aimed at and queries at most; a gap of fewer documents is left alone.
 TARGET, MOST_QUERIES, LEAST_GAP = 0.90, 15, 10
+#: Least coverage of a term of the gap; how many of the best make queries.
+GAP_COVERAGE, GAP_TERMS = 0.08, 30
 #: Terms whose parts one task makes; a term of a title has some sixty.
 BLOCK = 20_000
 
@@ -194,8 +196,8 @@ def candidates(positives: DataFrame, negatives: DataFrame, key: str, text: str,
     groups = phrase_groups(phrases)
     shared = shared_contexts(found, list(groups.values()), terms, stop)
     out += [Candidate(f"combined: {name}", "combined", (tuple(group[:4]), tuple(shared[g]))) for g, (name, group) in enumerate(groups.items()) if shared.get(g)]
-    names = F.array(*(F.lit(place[t.term]) for t in brand)) if brand else F.array().cast("array<int>")
-    gap = positives.join(found.where(~F.arrays_overlap("found", names)).select(F.col("key").alias(key)), key, "left_semi")
+    names = [t.term for t in brand if t.term]
+    gap = positives.where(~matches_query(F.col(text), [names])) if names else positives
     return out + gap_candidates(gap, negatives, key, text, stop, shortest)
 
 
@@ -204,18 +206,20 @@ def gap_candidates(gap: DataFrame, negatives: DataFrame, key: str, text: str, st
     n, others = gap.count(), negatives.count()
     if n < LEAST_GAP:
         return []
-    rows = gap.select(F.col(text), F.lit(1).alias("_y")).unionByName(negatives.select(F.col(text), F.lit(0).alias("_y")))
-    stats = term_statistics(rows, text, "_y", most=3, least_docs=max(2, n * 5 // 100))
+    good, bad = (d.select(F.col(text), F.lit(y).alias("_y")) for d, y in ((gap, 1), (negatives, 0)))
+    words = covering_words(term_statistics(good, text, "_y", least_docs=1), GAP_COVERAGE)
+    stats = term_statistics(good.unionByName(bad), text, "_y", most=3, least_docs=max(2, n * 5 // 100), words=words)
     specificity = 1 - F.col("neg") / max(others, 1)
-    stats = stats.select("term", "coverage", specificity.alias("specificity")).where("coverage >= 0.08 AND specificity >= 0.50").where(F.length("term") >= shortest).where(~F.col("term").isin(list(stop)) if stop else F.lit(True))
+    stats = stats.select("term", "coverage", specificity.alias("specificity")).where((F.col("coverage") >= GAP_COVERAGE) & (F.col("specificity") >= 0.50)).where(F.length("term") >= shortest).where(~F.col("term").isin(list(stop)) if stop else F.lit(True))
     best = stats.orderBy(F.round(F.col("coverage") * F.col("specificity"), 12).desc(), "term").limit(200).collect()
     terms = [Term(r["term"], r["coverage"], r["specificity"]) for r in best]
-    found = occurrences(gap, key, F.col(text), [t.term for t in terms])
+    found = durable(occurrences(gap, key, F.col(text), [t.term for t in terms]))
     joint = {}
-    for a, b, both in together(found, 0.0, 1).where(F.col("both") >= GAP_SHARE * n - 1e-9).select("a", "b", "both").collect():  # at most terms squared
+    pairs = together(found, 0.0, 1).where((F.col("both") >= GAP_SHARE * n - 1e-9) & (F.col("a") < GAP_TERMS))
+    for a, b in pairs.select("a", "b").collect():  # at most GAP_TERMS times terms
         joint.setdefault(a, set()).add(b)
     out = []
-    for i, t in enumerate(terms[:30]):
+    for i, t in enumerate(terms[:GAP_TERMS]):
         context = [x.term for j, x in enumerate(terms) if j in joint.get(i, ()) and x.term not in t.term and t.term not in x.term][:CONTEXTS]
         if context and len(out) < most:
             out.append(Candidate(f"gap: {t.term}", "gap_recovery", ((t.term,), tuple(context))))
@@ -284,3 +288,15 @@ def top_terms(stats: DataFrame, most: int, least_coverage: float = 0.0, least_sp
     rows = stats.where((F.col("coverage") >= least_coverage) & (F.col("specificity") >= least_specificity))
     rows = rows.orderBy(F.round(F.col("coverage") * F.col("specificity"), 12).desc(), "term").limit(most)
     return [Term(r["term"], r["coverage"], r["specificity"]) for r in rows.collect()]
+
+
+def best_terms(docs: DataFrame, text: str, label: str, words: DataFrame, most: int, longest: int = 3, shortest: int = 1) -> list[Term]:
+    """top_terms of all terms of up to `longest` words and of `shortest` characters and more; `words` are the statistics of the single words.
+
+    No term scores above its coverage, nor has more coverage than any word of it. So a term with a word of less coverage than
+    the score of the last of the best `most` single words is behind all these, and such runs of words are never made.
+    """
+    fits = F.length("term") >= shortest
+    alone = top_terms(words.where(fits), most)
+    least = min(t.coverage * t.specificity for t in alone) - 1e-9 if len(alone) == most else 0.0
+    return top_terms(term_statistics(docs, text, label, longest, words=covering_words(words, least)).where(fits), most)

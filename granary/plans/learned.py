@@ -10,6 +10,7 @@ from granary.operators import explain, titles
 from granary.operators import learning as L
 from granary.operators import query_learning as Q
 from granary.plans.registry import query, table
+from granary.session import durable
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,12 +81,12 @@ def cover_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def learned_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search queries learned from the labelled documents: terms, candidates of all strategies, cover, rounds."""
-    d = _labelled(spark, sf_dir)
-    stats = L.term_statistics(d, "text", "y", most=3).where(F.length("term") > 4)
-    brand = Q.top_terms(stats.where(~F.col("term").contains(" ")), 200, 0.1, 0.8)[:5]
-    best = {t.term: t for t in Q.top_terms(stats, 100)}
-    scored = stats.where(F.col("term").isin(list(best))).select("term", F.round(F.col("coverage") * F.col("specificity"), 12).alias("score"))
-    kept = {r["term"] for r in Q.without_subsumed(scored).collect()}
+    d = durable(_labelled(spark, sf_dir))  # read by each of the steps
+    words = durable(L.term_statistics(d, "text", "y"))
+    brand = Q.top_terms(words.where(F.length("term") > 4), 200, 0.1, 0.8)[:5]
+    best = {t.term: t for t in Q.best_terms(d, "text", "y", words, 100, shortest=5)}
+    scored = spark.createDataFrame([(t.term, t.coverage * t.specificity) for t in best.values()], "term string, score double")
+    kept = {r["term"] for r in Q.without_subsumed(scored.withColumn("score", F.round("score", 12))).collect()}
     queries = Q.candidates(d.where("y = 1"), d.where("y = 0"), "doc_id", "text", brand, [t for name, t in best.items() if name in kept], shortest=5)
     return Q.report(d, Q.cover(Q.matches(d.where("y = 1"), "doc_id", "text", queries)), queries)
 

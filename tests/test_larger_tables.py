@@ -1,13 +1,17 @@
 """Steps whose cost grew faster than their rows, and results at values that only larger tables have."""
 
+import random
 import re
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from granary.functions import extract as E
 from granary.operators import buckets as B
+from granary.operators import learning as L
 from granary.operators import linking as K
+from granary.operators import query_learning as Q
 
 
 def _long_text(spark, n, at):
@@ -118,3 +122,50 @@ def kept_by_rule(scores):
         if not any(t in k for k in kept):
             kept.append(t)
     return kept
+
+
+def _plain_grams(text, most, words=None):
+    t = [w if words is None or w in words else None for w in re.findall(r"[^\W]+", (text or "").lower())]
+    return list(dict.fromkeys(" ".join(t[i : i + n]) for n in range(1, most + 1) for i in range(len(t) - n + 1) if None not in t[i : i + n]))
+
+
+def test_grams_of_given_words(spark):
+    texts = ["a b c a b c", "a", "a b", "", None, "x", "a x b", "Été, a_1! b a b", "x a b x b c x", "c b a"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for most in (1, 2, 3, 4):
+        for words in (None, ["a", "b", "c"], []):
+            got = [r.g for r in rows.select("i", L.grams(F.col("t"), most, words).alias("g")).orderBy("i").collect()]
+            assert got == [_plain_grams(t, most, words) for t in texts]
+
+
+@pytest.mark.parametrize("literals", [8192, 5])
+def test_best_terms_without_all_runs_of_words(spark, monkeypatch, literals):
+    monkeypatch.setattr(L, "LITERALS", literals)
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(40)]
+    docs = [(" ".join(rng.choices(vocabulary[: 12 + 28 * (i % 2)], [1 / (k + 1) for k in range(12 + 28 * (i % 2))], k=rng.randint(0, 30))), 1 - i % 2) for i in range(300)] + [(None, 1), (None, None)]
+    rows = spark.createDataFrame(docs, "t string, y int")
+    words = L.term_statistics(rows, "t", "y")
+    for most, shortest in ((1, 1), (8, 1), (20, 3), (25, 4), (30, 6), (5000, 1)):
+        every = L.term_statistics(rows, "t", "y", most=3).where(F.length("term") >= shortest)
+        assert Q.best_terms(rows, "t", "y", words, most, shortest=shortest) == Q.top_terms(every, most)
+
+
+def test_gap_terms_are_those_of_all_runs(spark, monkeypatch):
+    rng = random.Random(8)
+    a, b = (spark.createDataFrame([(k + i, " ".join(rng.choices([f"w{j}" for j in range(30)], range(m, m + 30), k=25))) for i in range(60)], "k long, t string") for k, m in ((0, 1), (100, 90)))
+    got = Q.gap_candidates(a, b, "k", "t")
+    monkeypatch.setattr(Q, "covering_words", lambda *_: None)
+    assert got == Q.gap_candidates(a, b, "k", "t") and len(got) > 2
+
+
+def test_learned_queries_make_no_runs_of_rare_words(spark, monkeypatch):
+    from granary.plans.learned import learned_queries
+
+    made, grams = [], L.grams
+    monkeypatch.setattr(L, "grams", lambda text, most=3, *words: made.append((most, *(words or [None]))) or grams(text, most, *words))
+    rows = learned_queries(spark, "/root/testdata/sf0.001").collect()
+    assert rows and [w for most, w in made if most > 1 and w is None] == []  # before: all runs of up to three words, of all labelled texts three times and of the gap once
+    assert sum(most > 1 for most, _ in made) <= 2
+    monkeypatch.setattr(L, "LITERALS", -1)
+    assert learned_queries(spark, "/root/testdata/sf0.001").collect() == rows
