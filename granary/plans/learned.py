@@ -13,9 +13,15 @@ from granary.plans.registry import query, table
 from granary.session import durable
 
 
+#: Labels are broadcast up to so many, and then no text is sent; of more, documents and labels are dealt by id.
+BROADCAST_LABELS = 2_000_000
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a quality label, one row an id, in lower case."""
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("y"))
+    rows = table(spark, sf_dir, "labels")
+    labels = rows.groupBy("doc_id").agg(F.max("quality").alias("y"))
+    labels = F.broadcast(labels) if rows.count() <= BROADCAST_LABELS else labels
     return table(spark, sf_dir, "documents").join(labels, "doc_id").select("doc_id", F.lower("text").alias("text"), "source", F.col("y").cast("int").alias("y"))
 
 
@@ -81,7 +87,7 @@ def cover_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def learned_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search queries learned from the labelled documents: terms, candidates of all strategies, cover, rounds."""
-    d = durable(_labelled(spark, sf_dir))  # read by each of the steps
+    d = durable(_labelled(spark, sf_dir).drop("source"))  # read by each of the steps
     words = durable(L.term_statistics(d, "text", "y"))
     brand = Q.top_terms(words.where(F.length("term") > 4), 200, 0.1, 0.8)[:5]
     best = {t.term: t for t in Q.best_terms(d, "text", "y", words, 100, shortest=5)}

@@ -169,3 +169,21 @@ def test_learned_queries_make_no_runs_of_rare_words(spark, monkeypatch):
     assert sum(most > 1 for most, _ in made) <= 2
     monkeypatch.setattr(L, "LITERALS", -1)
     assert learned_queries(spark, "/root/testdata/sf0.001").collect() == rows
+
+
+def test_labelled_texts_are_not_sent_to_be_joined(spark, monkeypatch):
+    from granary.plans import learned
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16")  # as if the labels were many
+    try:
+        plans = {}
+        for most in (learned.BROADCAST_LABELS, 0):
+            monkeypatch.setattr(learned, "BROADCAST_LABELS", most)
+            d = learned._labelled(spark, "/root/testdata/sf0.001")
+            plans[most] = (sorted(map(tuple, d.collect())), d._jdf.queryExecution().sparkPlan().toString())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    (few, sent), (many, dealt) = plans.values()
+    assert few == many and few
+    assert "BroadcastHashJoin" in sent and "SortMergeJoin" not in sent  # before: all documents were dealt by id, once for each step
+    assert "SortMergeJoin" in dealt
