@@ -59,6 +59,27 @@ def test_candidates_of_titles_are_rows_of_numbers(spark):
     assert sorted((r.id, r.other) for r in named.collect()) == [(1, 10), (1, 11), (2, 10), (3, 10), (3, 12), (3, 13)]
 
 
+def test_titles_that_share_a_common_word_are_not_sent_as_pairs(spark, monkeypatch):
+    from granary.operators import titles
+
+    new = spark.range(400).select("id", F.concat(F.lit("of the "), F.lit("common thing n"), "id").alias("title"))
+    known = spark.range(300).select("id", F.concat(F.lit("in of the common thing m"), "id").alias("title")).unionByName(spark.range(1000, 1003).select("id", F.concat(F.lit("the common thing of n"), F.col("id") - 1000).alias("title")))
+    ours, theirs = titles._classes(new, "id", "title"), titles._classes(known, "id", "title")
+    whole = {(r.ours, r.theirs): r.score for r in titles.candidates(ours, theirs).collect()}
+    assert len(whole) == 400 * 303
+    for name, size in (("BLOCK", 2000), ("PART", 4000), ("AT_ONCE", 500)):  # several blocks, and pieces smaller than a title's pairs
+        monkeypatch.setattr(titles, name, size)
+    cells = titles.compared(ours, theirs, most=10)
+    assert cells.count() <= 400 * 10 * 5  # before: all of the 121,200 pairs that share a word
+    best = {}
+    for r in cells.collect():
+        best.setdefault(r.ours, []).append((-r.score, r.theirs))
+    for k, found in best.items():
+        assert sorted(found)[:10] == sorted((-s, t) for (o, t), s in whole.items() if o == k)[:10]
+    got = {r.id: r.duplicate_of for r in titles.near_titles(new, known, "id", "title", least=0.5).collect()}
+    assert got[0] == 1000 and got[2] == 1002 and all(v is not None for v in got.values())
+
+
 def test_pairs_of_groups_are_dealt_by_their_number(spark, monkeypatch):
     from granary.operators import graph as G
 
