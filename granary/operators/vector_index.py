@@ -128,10 +128,13 @@ def _best(size: int, least: float, others: bool):
                 near = np.round(_unit(np.array(queries["v"].tolist()[at : at + AT_ONCE], np.float64)) @ x.T, 9)
                 if others:
                     near[names[:, None] == ids[None]] = -np.inf
-                top = np.argsort(-near, axis=1, kind="stable")[:, :size]
-                score = np.take_along_axis(near, top, axis=1)
-                keep = score >= least
-                out.append(pd.DataFrame({"query": np.repeat(names, top.shape[1])[keep.ravel()], "id": ids[top][keep], "similarity": score[keep]}))
+                bar = np.partition(near, -size, axis=1)[:, -size] if len(ids) > size else np.full(len(names), -np.inf)
+                row, col = np.nonzero((near >= bar[:, None]) & (near >= least))  # a few, and what ties with the last of them
+                order = np.lexsort((col, -near[row, col], row))
+                row, col = row[order], col[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < size
+                row, col = row[first], col[first]
+                out.append(pd.DataFrame({"query": names[row], "id": ids[col], "similarity": near[row, col]}))
         return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
 
     return run

@@ -43,15 +43,17 @@ def indexed_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def document_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One edge table by kind: near vectors, benchmark passages named in texts, documents that share an identifier."""
+    """One edge table by kind: near vectors of every vector, benchmark passages named in texts, documents that share an identifier with the first that has it."""
     vectors, docs = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
     index = _index(spark, vectors)
-    near = V.search(index, vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", 5, probes=V.probes_for(index, vectors, "vec_id", "embedding", 5))
+    near = V.search(index, vectors, "vec_id", "embedding", 5, probes=V.probes_for(index, vectors, "vec_id", "embedding", 5))
     titles = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract("text", "^([^.]*)", 1).alias("title"))
     named = K.named_in(docs, "doc_id", "text", titles, "item_id", "title")
     near = near.select(F.concat(F.lit("v"), "query").alias("src"), F.concat(F.lit("v"), "id").alias("dst"), F.col("similarity").alias("weight"))
     named = named.select(F.concat(F.lit("d"), "text_id").alias("src"), F.concat(F.lit("b"), "title_id").alias("dst"), F.lit(1.0).alias("weight"))
-    return V.relations({"similar": near, "names": named})
+    shared = K.identifier_links(docs.select("doc_id", text.identifiers([F.col("text")]).alias("i")), "doc_id", "i")
+    shared = shared.select(F.concat(F.lit("d"), "id").alias("src"), F.concat(F.lit("d"), "class_id").alias("dst"), F.lit(1.0).alias("weight"))
+    return V.relations({"similar": near, "names": named, "identifier": shared})
 
 
 @query()

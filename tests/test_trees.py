@@ -84,6 +84,25 @@ def test_relations_of_all_kinds(spark):
     assert vector_index.recall(one.select(F.col("src").alias("query"), F.col("dst").alias("id")), one.select(F.col("src").alias("query"), F.col("dst").alias("id")).where("query = 9")) == 1.0
 
 
+def test_document_relations_of_every_row(spark, tmp_path):
+    from granary.plans.catalog import QUERIES
+
+    rows = clustered(120, 8, 9)
+    texts = [(1, "See PMID: 77 and more."), (2, "As 10.1234/ab.c and PMID 77 say, the quick brown fox ran"), (3, "Also pmid:77, 10.1234/ab.c"), (4, "PMID 78"), (5, None)]
+    for name, df in (("embeddings", spark.createDataFrame(rows, "vec_id long, embedding array<float>")), ("documents", spark.createDataFrame(texts, "doc_id long, text string")), ("benchmark", spark.createDataFrame([(9, "The quick brown fox. Then")], "item_id long, text string"))):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    edges = QUERIES["document_relations"](spark, str(tmp_path)).collect()
+    found = Counter(e.src for e in edges if e.kind == "similar")
+    assert set(found) == {f"v{i}" for i in range(120)} and max(found.values()) == 5  # before: v0, v20, v40 and so on alone
+    assert sorted((e.src, e.dst) for e in edges if e.kind == "names") == [("d2", "b9")]
+    assert sorted((e.src, e.dst) for e in edges if e.kind == "identifier") == [("d2", "d1"), ("d3", "d1"), ("d3", "d2")]
+    x = np.array([v for _, v in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T - 9 * np.eye(120)
+    exact = {(f"v{i}", f"v{j}") for i in range(120) for j in np.argsort(-near[i])[:5]}
+    assert len(exact & {(e.src, e.dst) for e in edges if e.kind == "similar"}) >= 0.9 * len(exact)
+
+
 def test_landscape_is_the_same_on_two_runs(spark):
     from granary.operators import landscape
 
