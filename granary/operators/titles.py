@@ -195,6 +195,7 @@ def compared(new: DataFrame, known: DataFrame, share: float = SHARE, most: int |
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("part", "block", "ours", "name", "dfs")
     held = known.select(F.col("number").alias("theirs"), "name").withColumn("block", F.pmod(F.xxhash64("theirs"), F.lit(blocks)).cast("int"))
     held = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("part", "block", "theirs", "name")
+    asked, held = (side.repartition(2 * blocks * parts, "part", "block") for side in (asked, held))  # small cells are long work, so none are put together by their bytes
     cells = asked.groupBy("part", "block").cogroup(held.groupBy("part", "block"))
     return cells.applyInArrow(_compared(share, most, least, classes, usual), "ours long, theirs long, score double, able boolean")
 
